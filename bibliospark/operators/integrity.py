@@ -128,7 +128,7 @@ def first_come(
     open_claims = keep(
         claimed.select(order, F.size("claims").alias("need"), F.inline("claims")), "claims"
     )
-    while not open_claims.isEmpty():
+    while n_open := open_claims.count():
         firsts = open_claims.groupBy("slot", "value").agg(
             F.min(order).alias(order), F.min_by("need", order).alias("need")
         )
@@ -141,7 +141,9 @@ def first_come(
         )
         accepted = accepted.unionByName(winners)
         taken = firsts.join(winners, order, "left_semi").select("slot", "value")
-        decided = spread.join(open_claims, taken, ["slot", "value"], "left_semi", min_rows)
+        decided = spread.join(
+            open_claims, taken, ["slot", "value"], "left_semi", min_rows, n_fact=n_open
+        )
         open_claims = keep(
             open_claims.join(decided.select(order).distinct(), order, "left_anti"), "claims"
         )

@@ -45,6 +45,7 @@ def join(
     how: str = "left",
     min_rows: int | None = None,
     probe: DataFrame | None = None,
+    n_fact: int | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``dim``, which has one row per key.
 
@@ -52,14 +53,16 @@ def join(
     salt made from the row itself, so that a recomputed task makes the same
     one, and the matching ``dim`` row is repeated once per salt: at most
     HEAVY_KEYS rows are repeated. ``probe`` is a cheaper DataFrame with the
-    same distribution of keys, to be sketched instead of ``fact``.
+    same distribution of keys, to be sketched instead of ``fact``. A known row
+    count ``n_fact`` too small for a heavy key saves the sketch.
     """
     on = [on] if isinstance(on, str) else on
     fact_types, dim_types = dict(fact.dtypes), dict(dim.dtypes)
     for name in on:
         if fact_types[name] != dim_types[name]:
             raise ValueError(f"join key {name}: {fact_types[name]} against {dim_types[name]}")
-    heavy = heavy_hashes(fact if probe is None else probe, on, min_rows)
+    few = n_fact is not None and n_fact < (HEAVY_ROWS if min_rows is None else min_rows)
+    heavy = [] if few else heavy_hashes(fact if probe is None else probe, on, min_rows)
     if not heavy:
         return fact.join(dim, on, how)
     salts = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -120,8 +120,12 @@ def queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def processing_log(spark: SparkSession, folder: str) -> DataFrame:
+    return log_entries(table(spark, folder, "events"))
+
+
+def log_entries(events: DataFrame) -> DataFrame:
     stage = F.pmod("event_id", F.lit(4))
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("paper_id"),
         F.when(stage == 0, "download").when(stage == 1, "extract").when(stage == 2, "parse").otherwise("embed").alias("stage"),
