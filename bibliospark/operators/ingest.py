@@ -135,7 +135,7 @@ def resolve_authors(
         F.min_by(F.struct(*details), first).alias("_author"), F.min(first).alias("_first")
     )
     known = authors.select("name_normalized", F.col("id").alias("author_id"))
-    missing = keep(firsts.join(known, "name_normalized", "left_anti"), "new-authors")
+    missing = firsts.join(known, "name_normalized", "left_anti")
     created = assign_ids(missing, [f"_first.{c}" for c in order], above)
     added = _finish(created.select("id", "name_normalized", "_author.*"), "authors", now)
     wanted = mentions.select("name_normalized").distinct()
@@ -187,9 +187,8 @@ def insert_papers(
     resolved = resolve_authors(
         mentions.where(~unnamed), authors, above_authors, now, (order, "position"), min_rows
     )
-    links = keep(
-        resolved.mentions.select(order, "paper_id", "author_id", F.col("position").cast("int")),
-        "links",
+    links = resolved.mentions.select(
+        order, "paper_id", "author_id", F.col("position").cast("int")
     )
     bridge = links.groupBy("paper_id", "author_id").agg(F.min("position").alias("position"))
     repeats = links.join(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,41 +129,30 @@ def first_come(
         claimed.select(order, F.size("claims").alias("need"), F.inline("claims")), "claims"
     )
     while n_open := open_claims.count():
-        firsts = open_claims.groupBy("slot", "value").agg(
-            F.min(order).alias(order), F.min_by("need", order).alias("need")
-        )
-        winners = keep(
-            firsts.groupBy(order)
-            .agg(F.count("*").alias("won"), F.first("need").alias("need"))
-            .where(F.col("won") == F.col("need"))
-            .select(order),
-            "winners",
-        )
-        accepted = accepted.unionByName(winners)
-        taken = firsts.join(winners, order, "left_semi").select("slot", "value")
-        decided = spread.join(
-            open_claims, taken, ["slot", "value"], "left_semi", min_rows, n_fact=n_open
-        )
-        open_claims = keep(
-            open_claims.join(decided.select(order).distinct(), order, "left_anti"), "claims"
-        )
+        decided = keep(_settle(open_claims, order, n_open, min_rows), "round")
+        accepted = accepted.unionByName(decided.where("won").select(order).distinct())
+        open_claims = decided.where(~(F.col("won") | F.col("lost"))).drop("won", "lost")
     return accepted
 
 
-def holders(
-    rows: DataFrame, order: str, key: tuple[str, ...], existing: DataFrame | None
-) -> DataFrame:
-    """Who holds each key: ``_holder``, a row of the batch, or ``_stored``, the table."""
-    held = rows.where(has_key(key)).groupBy(*key).agg(F.min(order).alias("_holder"))
-    held = held.withColumn("_stored", F.lit(False))
-    if existing is None:
-        return held
-    stored = existing.withColumn("_holder", F.lit(None).cast(held.schema["_holder"].dataType))
-    stored = stored.withColumn("_stored", F.lit(True))
-    return (
-        held.unionByName(stored)
-        .groupBy(*key)
-        .agg(F.min("_holder").alias("_holder"), F.max("_stored").alias("_stored"))
+def _settle(claims: DataFrame, order: str, n_claims: int, min_rows: int | None) -> DataFrame:
+    """One round: mark the claims of rows that have ``won`` all their keys or ``lost`` one."""
+    firsts = claims.groupBy("slot", "value").agg(
+        F.min(order).alias("_holder"), F.min_by("need", order).alias("need")
+    )
+    winners = (
+        firsts.groupBy("_holder")
+        .agg(F.count("*").alias("n"), F.first("need").alias("need"))
+        .where(F.col("n") == F.col("need"))
+    )
+    taken = firsts.join(winners, "_holder", "left_semi").select("slot", "value", "_holder")
+    marked = spread.join(claims, taken, ["slot", "value"], "left", min_rows, n_fact=n_claims)
+    of_row = Window.partitionBy(order)
+    mine = F.col("_holder") == F.col(order)
+    return marked.select(
+        *claims.columns,
+        F.min(F.coalesce(mine, F.lit(False))).over(of_row).alias("won"),
+        F.max(F.coalesce(~mine, F.lit(False))).over(of_row).alias("lost"),
     )
 
 
@@ -199,41 +188,34 @@ def judge(
             rows = orphans(rows, column, parents[rules.references[column]], f"_orphan_{column}", min_rows)
         orphan = first_fault([(F.col(f"_orphan_{c}"), fault("foreign_key", c)) for c in references])
     rows = rows.withColumn("_orphan", orphan).drop(*(f"_orphan_{c}" for c in references))
-    if unique:
-        if parents or len(unique) > 1:
-            rows = keep(rows, "keys")
-        rows = _mark_duplicates(rows, order, unique, target, min_rows)
-    else:
-        rows = rows.withColumn("_clash", F.lit(None).cast(FAULT))
-    verdict = F.coalesce("_fault", "_clash", "_orphan")
-    return keep(rows.select(order, verdict.alias("_v")).select(order, "_v.reason", "_v.key"), "verdicts")
-
-
-def _mark_duplicates(
-    rows: DataFrame,
-    order: str,
-    unique: list[tuple[str, ...]],
-    target: DataFrame | None,
-    min_rows: int | None,
-) -> DataFrame:
+    stored = {key: f"_stored_{i}" for i, key in enumerate(unique)}
+    for key, flag in stored.items():
+        rows = _mark_stored(rows, key, target, flag, min_rows)
+    n_rows = None
+    if len(unique) > 1 or (unique and (parents or target is not None)):
+        rows = keep(rows, "keys")
+        n_rows = rows.count()
     contenders = rows.where(F.col("_fault").isNull() & F.col("_orphan").isNull())
-    existing = {}
-    for key in unique:
-        if target is not None:
-            wanted = rows.where(has_key(key)).select(*key)
-            existing[key] = _present(target, wanted)
-            if len(unique) > 1:
-                existing[key] = keep(existing[key], "stored-keys")
-                contenders = spread.join(contenders, existing[key], list(key), "left_anti", min_rows)
     if len(unique) > 1:
-        admitted = first_come(contenders, order, unique, min_rows)
+        fresh = contenders.where(~reduce(lambda a, b: a | b, map(F.col, stored.values())))
+        admitted = first_come(fresh, order, unique, min_rows)
         contenders = contenders.join(admitted, order, "left_semi")
-    clashes = []
-    for i, key in enumerate(unique):
-        held = holders(contenders, order, key, existing.get(key))
-        rows = spread.join(rows, held, list(key), "left", min_rows)
-        clash = F.col("_stored") | (F.col("_holder") < F.col(order))
-        name = ",".join(key)
-        rows = rows.withColumn(f"_clash_{i}", F.coalesce(clash, F.lit(False))).drop("_holder", "_stored")
-        clashes.append((F.col(f"_clash_{i}"), fault("duplicate", name)))
-    return rows.withColumn("_clash", first_fault(clashes))
+    clash = F.lit(None).cast(FAULT)
+    for i, (key, flag) in enumerate(stored.items()):
+        held = contenders.where(has_key(key)).groupBy(*key).agg(F.min(order).alias(f"_holder_{i}"))
+        rows = spread.join(rows, held, list(key), "left", min_rows, n_fact=n_rows)
+        clashes = F.col(flag) | F.coalesce(F.col(f"_holder_{i}") < F.col(order), F.lit(False))
+        clash = F.coalesce(clash, F.when(clashes, fault("duplicate", ",".join(key))))
+    verdict = F.coalesce("_fault", clash, "_orphan").alias("_v")
+    return keep(rows.select(order, verdict).select(order, "_v.reason", "_v.key"), "verdicts")
+
+
+def _mark_stored(
+    rows: DataFrame, key: tuple[str, ...], target: DataFrame | None, flag: str, min_rows: int | None
+) -> DataFrame:
+    """Add ``flag``: true where ``target`` has the key already."""
+    if target is None:
+        return rows.withColumn(flag, F.lit(False))
+    present = _present(target, rows.where(has_key(key)).select(*key))
+    marked = spread.join(rows, present.withColumn(flag, F.lit(True)), list(key), "left", min_rows)
+    return marked.withColumn(flag, F.coalesce(flag, F.lit(False)))
