@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibliospark.functions.scalars import batch_time
-from bibliospark.operators import spread
 from bibliospark.operators.outcomes import Outcome
 from bibliospark.schemas import PAPER_STATUSES
 from bibliospark.sources.durable import keep
@@ -78,7 +77,7 @@ def set_status(
         {"status": F.col("_new.value"), "updated_at": batch_time(now)},
     )
     bad = changes.where(~allowed).withColumn("id", F.col("id").cast("bigint"))
-    refused = spread.join(bad, papers.select("id"), "id", "left_semi")
+    refused = bad.join(papers.select("id"), "id", "left_semi")
     return Outcome(
         after,
         refused.select(
@@ -142,12 +141,9 @@ def _ids(ids: DataFrame) -> DataFrame:
     return keep(ids.select(F.col("id").cast("bigint")).where("id is not null").distinct(), "deleted")
 
 
-def _without(
-    table: DataFrame, column: str, ids: DataFrame, min_rows: int | None = None
-) -> DataFrame:
-    return spread.join(
-        table, ids.select(F.col("id").alias(column)), column, "left_anti", min_rows
-    ).select(*table.columns)
+def _without(table: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    gone = ids.select(F.col("id").alias(column))
+    return table.join(gone, column, "left_anti").select(*table.columns)
 
 
 def delete_papers(
@@ -156,7 +152,6 @@ def delete_papers(
     paper_authors: DataFrame,
     citations: DataFrame,
     processing_log: DataFrame,
-    min_rows: int | None = None,
 ) -> Cascade:
     """Delete papers with their links, their citations on both sides and their log.
 
@@ -164,41 +159,41 @@ def delete_papers(
     refresh, and retrieved-id lists of queries may still name them.
     """
     gone = _ids(ids)
-    edges = _without(citations, "citing_paper_id", gone, min_rows)
+    edges = _without(citations, "citing_paper_id", gone)
     return Cascade(
         {
             "papers": papers.join(gone, "id", "left_anti"),
-            "paper_authors": _without(paper_authors, "paper_id", gone, min_rows),
-            "citations": _without(edges, "cited_paper_id", gone, min_rows),
-            "processing_log": _without(processing_log, "paper_id", gone, min_rows),
+            "paper_authors": _without(paper_authors, "paper_id", gone),
+            "citations": _without(edges, "cited_paper_id", gone),
+            "processing_log": _without(processing_log, "paper_id", gone),
         },
         papers.select("id").join(gone, "id", "left_semi"),
     )
 
 
 def delete_conversations(
-    ids: DataFrame, conversations: DataFrame, queries: DataFrame, min_rows: int | None = None
+    ids: DataFrame, conversations: DataFrame, queries: DataFrame
 ) -> Cascade:
     """Delete conversations with their queries."""
     gone = _ids(ids)
     return Cascade(
         {
             "conversations": conversations.join(gone, "id", "left_anti"),
-            "queries": _without(queries, "conversation_id", gone, min_rows),
+            "queries": _without(queries, "conversation_id", gone),
         },
         conversations.select("id").join(gone, "id", "left_semi"),
     )
 
 
 def delete_authors(
-    ids: DataFrame, authors: DataFrame, paper_authors: DataFrame, min_rows: int | None = None
+    ids: DataFrame, authors: DataFrame, paper_authors: DataFrame
 ) -> Cascade:
     """Delete authors with their links."""
     gone = _ids(ids)
     return Cascade(
         {
             "authors": authors.join(gone, "id", "left_anti"),
-            "paper_authors": _without(paper_authors, "author_id", gone, min_rows),
+            "paper_authors": _without(paper_authors, "author_id", gone),
         },
         authors.select("id").join(gone, "id", "left_semi"),
     )

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibliospark.functions.scalars import batch_time
-from bibliospark.operators import spread
 from bibliospark.operators.lookup import Keys, lookup
 
 
@@ -43,7 +42,7 @@ def _ends(
     edges = citations.select(start, end)
     if starts is not None:
         edges = lookup(edges, start, starts, min_rows)
-    joined = spread.join(edges, papers.withColumnRenamed("id", end), end, "inner", min_rows)
+    joined = edges.join(papers.withColumnRenamed("id", end), end)
     others = [c for c in papers.columns if c != "id"]
     return joined.select(start, F.col(end).alias("id"), *others)
 

@@ -75,6 +75,10 @@ def has_key(key: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
 
 
+def _key_text(key: tuple[str, ...]) -> Column:
+    return F.to_json(F.struct(*key)) if len(key) > 1 else F.col(key[0]).cast("string")
+
+
 def _present(table: DataFrame, keys: DataFrame) -> DataFrame:
     """The keys of ``keys`` that ``table`` has, one row each.
 
@@ -120,7 +124,7 @@ def first_come(
         return firsts.unionByName(rows.where(~has_key(key)).select(order))
 
     claims = [
-        F.when(has_key(key), F.struct(F.lit(i).alias("slot"), F.to_json(F.struct(*key)).alias("value")))
+        F.when(has_key(key), F.struct(F.lit(i).alias("slot"), _key_text(key).alias("value")))
         for i, key in enumerate(keys)
     ]
     claimed = rows.select(order, F.array_compact(F.array(*claims)).alias("claims"))

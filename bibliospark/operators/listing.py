@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliospark.operators.lookup import Keys, lookup
-from bibliospark.operators.spread import rank_within
+from bibliospark.operators.spread import heavy_hashes, rank_within
 
 QUEUE_LIMIT = 100
 CONVERSATION_LIMIT = 50
@@ -54,22 +54,22 @@ def conversation_queries(
     queries: DataFrame, conversation_ids: Keys | None = None, min_rows: int | None = None
 ) -> DataFrame:
     """Queries of conversations with their place in time order as ``rank``."""
-    return _in_time_order(queries, "conversation_id", conversation_ids, min_rows)
+    return _entries(queries, "conversation_id", conversation_ids, min_rows)
 
 
 def paper_log(
     processing_log: DataFrame, paper_ids: Keys | None = None, min_rows: int | None = None
 ) -> DataFrame:
     """Log entries of papers with their place in time order as ``rank``."""
-    return _in_time_order(processing_log, "paper_id", paper_ids, min_rows)
+    return _entries(processing_log, "paper_id", paper_ids, min_rows)
 
 
-def _in_time_order(
-    entries: DataFrame, key: str, keys: Keys | None, min_rows: int | None
-) -> DataFrame:
-    if keys is None:
-        wanted = entries.where(F.col(key).isNotNull())
-    else:
-        wanted = lookup(entries, key, keys, min_rows)
+def _entries(entries: DataFrame, key: str, keys: Keys | None, min_rows: int | None) -> DataFrame:
+    wanted = entries if keys is None else lookup(entries, key, keys, min_rows)
+    return in_time_order(wanted, key, heavy_hashes(entries, [key], min_rows))
+
+
+def in_time_order(entries: DataFrame, key: str, heavy: list[int]) -> DataFrame:
+    """Number the entries of each key by time; entries without a key are left out."""
     order = [F.col("created_at").asc_nulls_first(), F.col("id").asc()]
-    return rank_within(wanted, key, order, "rank", min_rows)
+    return rank_within(entries.where(F.col(key).isNotNull()), key, order, "rank", heavy)

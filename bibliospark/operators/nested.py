@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibliospark.operators import spread
-from bibliospark.operators.listing import conversation_queries
+from bibliospark.operators.listing import in_time_order
 
 PAGE_SIZE = 1_000
 
@@ -21,18 +21,22 @@ def paper_authors(
     bridge: DataFrame, authors: DataFrame, min_rows: int | None = None
 ) -> DataFrame:
     """One row per paper and author; ``rank`` is the place by position, then author id."""
-    who = authors.withColumnRenamed("id", "author_id")
-    listed = spread.join(bridge, who, "author_id", "inner", min_rows)
+    return _paper_authors(bridge, authors, spread.heavy_hashes(bridge, ["paper_id"], min_rows))
+
+
+def _paper_authors(bridge: DataFrame, authors: DataFrame, heavy: list[int]) -> DataFrame:
+    listed = bridge.join(authors.withColumnRenamed("id", "author_id"), "author_id")
     order = [F.col("position").asc(), F.col("author_id").asc()]
-    return spread.rank_within(listed, "paper_id", order, "rank", min_rows, probe=bridge)
+    return spread.rank_within(listed, "paper_id", order, "rank", heavy)
 
 
 def author_papers(bridge: DataFrame, papers: DataFrame, min_rows: int | None = None) -> DataFrame:
     """One row per author and paper; ``rank`` is the place, newest year first."""
-    what = papers.withColumnRenamed("id", "paper_id")
-    listed = spread.join(bridge.select("paper_id", "author_id"), what, "paper_id", "inner", min_rows)
+    links = bridge.select("paper_id", "author_id")
+    listed = links.join(papers.withColumnRenamed("id", "paper_id"), "paper_id")
     order = [F.col("year").desc_nulls_last(), F.col("paper_id").asc()]
-    return spread.rank_within(listed, "author_id", order, "rank", min_rows, probe=bridge)
+    heavy = spread.heavy_hashes(bridge, ["author_id"], min_rows)
+    return spread.rank_within(listed, "author_id", order, "rank", heavy)
 
 
 def papers_with_authors(
@@ -43,8 +47,9 @@ def papers_with_authors(
     min_rows: int | None = None,
 ) -> DataFrame:
     """Papers with an ``authors`` array in list order, empty where there are none."""
-    listed = paper_authors(bridge, authors, min_rows)
-    return _nest(papers, listed, "paper_id", "authors", page_size, min_rows, bridge)
+    heavy = spread.heavy_hashes(bridge, ["paper_id"], min_rows)
+    listed = _paper_authors(bridge, authors, heavy)
+    return _nest(papers, listed, "paper_id", "authors", page_size, bridge if heavy else None)
 
 
 def conversations_with_queries(
@@ -54,17 +59,17 @@ def conversations_with_queries(
     min_rows: int | None = None,
 ) -> DataFrame:
     """Conversations with a ``queries`` array in time order, empty where there are none."""
-    listed = conversation_queries(queries, None, min_rows)
-    return _nest(conversations, listed, "conversation_id", "queries", page_size, min_rows, queries)
+    heavy = spread.heavy_hashes(queries, ["conversation_id"], min_rows)
+    listed = in_time_order(queries, "conversation_id", heavy)
+    return _nest(
+        conversations, listed, "conversation_id", "queries", page_size, queries if heavy else None
+    )
 
 
-def papers_with_venue(
-    papers: DataFrame, venues: DataFrame, min_rows: int | None = None
-) -> DataFrame:
+def papers_with_venue(papers: DataFrame, venues: DataFrame) -> DataFrame:
     """Papers with a ``venue`` struct, NULL where there is none."""
     venue = venues.select(F.col("id").alias("venue_id"), F.struct(*venues.columns).alias("venue"))
-    joined = spread.join(papers, venue, "venue_id", "left", min_rows)
-    return joined.select(*papers.columns, "venue")
+    return papers.join(venue, "venue_id", "left").select(*papers.columns, "venue")
 
 
 def _nest(
@@ -73,13 +78,13 @@ def _nest(
     key: str,
     name: str,
     page_size: int,
-    min_rows: int | None,
-    probe: DataFrame,
+    heavy_children: DataFrame | None,
 ) -> DataFrame:
     """Collect ranked elements into pages and attach them to their parents.
 
-    Without heavy keys a parent has few pages. With them, the pages are the
-    large side of the join and are spread; childless parents are added.
+    Usually a parent has few pages. ``heavy_children`` is the table of the
+    elements if some parent has very many; then the pages are the side of the
+    join that is split, and childless parents are added.
     """
     page = F.floor((F.col("rank") - 1) / page_size).cast("bigint")
     fields = ["rank", *(c for c in elements.columns if c not in ("rank", key))]
@@ -88,12 +93,12 @@ def _nest(
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
     )
     kind = pages.schema[name].dataType
-    if spread.heavy_hashes(probe, [key], min_rows):
-        paged = spread.join(pages, parents, "id", "inner", min_rows)
-        alone = parents.join(probe.select(F.col(key).alias("id")).distinct(), "id", "left_anti")
-        nested = paged.unionByName(alone, allowMissingColumns=True)
-    else:
+    if heavy_children is None:
         nested = parents.join(pages, "id", "left")
+    else:
+        paged = spread.join(pages, parents, "id", "inner")
+        alone = parents.join(heavy_children.select(F.col(key).alias("id")), "id", "left_anti")
+        nested = paged.unionByName(alone, allowMissingColumns=True)
     return nested.select(
         *parents.columns,
         F.coalesce("page", F.lit(0)).alias("page"),

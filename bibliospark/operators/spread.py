@@ -1,10 +1,12 @@
 """Joins and rankings that stay balanced when one key holds much of the data.
 
-A sketch over the key column finds the few keys with very many rows. Where
-there are none, the plain Spark operation is used, and Catalyst and adaptive
-execution choose its strategy by size. Where there are some, only these keys
-are spread over many tasks. What the sketch reports decides how the work is
-laid out, never which rows come out.
+A join of two stored tables needs no help: both sides are shuffled for the
+join, and adaptive execution splits the partitions a heavy key makes large.
+It cannot do so where a side arrives already grouped by the join key, nor for
+a window. For these a sketch over the key column finds the few keys with very
+many rows. Where there are none, the plain Spark operation is used; where
+there are some, only these keys are spread over many tasks. What the sketch
+reports decides how the work is laid out, never which rows come out.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from bibliospark.sources.durable import keep
 # the largest ones, so the list on the driver is bounded whatever the data.
 HEAVY_ROWS = 1_000_000
 HEAVY_KEYS = 1_000
-SKETCH_SLOTS = 10_000
+SKETCH_SLOTS = 4_096
 
 _LOCAL_ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
@@ -44,7 +46,6 @@ def join(
     on: str | list[str],
     how: str = "left",
     min_rows: int | None = None,
-    probe: DataFrame | None = None,
     n_fact: int | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``dim``, which has one row per key.
@@ -52,9 +53,8 @@ def join(
     ``how`` is inner, left, left_semi or left_anti. Rows of heavy keys get a
     salt made from the row itself, so that a recomputed task makes the same
     one, and the matching ``dim`` row is repeated once per salt: at most
-    HEAVY_KEYS rows are repeated. ``probe`` is a cheaper DataFrame with the
-    same distribution of keys, to be sketched instead of ``fact``. A known row
-    count ``n_fact`` too small for a heavy key saves the sketch.
+    HEAVY_KEYS rows are repeated. A known row count ``n_fact`` too small for a
+    heavy key saves the sketch.
     """
     on = [on] if isinstance(on, str) else on
     fact_types, dim_types = dict(fact.dtypes), dict(dim.dtypes)
@@ -62,7 +62,7 @@ def join(
         if fact_types[name] != dim_types[name]:
             raise ValueError(f"join key {name}: {fact_types[name]} against {dim_types[name]}")
     few = n_fact is not None and n_fact < (HEAVY_ROWS if min_rows is None else min_rows)
-    heavy = [] if few else heavy_hashes(fact if probe is None else probe, on, min_rows)
+    heavy = [] if few else heavy_hashes(fact, on, min_rows)
     if not heavy:
         return fact.join(dim, on, how)
     salts = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -95,16 +95,17 @@ def rank_within(
     key: str,
     order: list[Column],
     name: str = "rank",
-    min_rows: int | None = None,
-    probe: DataFrame | None = None,
+    heavy: list[int] | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 1; ``order`` must leave no ties.
 
+    ``heavy`` are the :func:`heavy_hashes` of the key, if known already.
+
     Heavy keys are sorted over range partitions instead of in one task. Their
     segments, one per key and partition, number at most HEAVY_KEYS plus the
     partitions and are broadcast.
     """
-    heavy = heavy_hashes(df if probe is None else probe, [key], min_rows)
+    heavy = heavy_hashes(df, [key]) if heavy is None else heavy
     in_key = Window.partitionBy(key).orderBy(*order)
     if not heavy:
         return df.withColumn(name, F.row_number().over(in_key).cast("bigint"))
