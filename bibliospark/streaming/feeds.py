@@ -66,12 +66,14 @@ def ingest_log(
     spark = entries.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        outcome = append_log(batch, papers, _last_id(spark, out, batch_id, above), now, order)
+        start = _last_id(spark, out, batch_id - 1) if batch_id else above
+        outcome = append_log(batch, papers, start, now, order)
         accepted = f"{out}/accepted/batch={batch_id}"
         outcome.accepted.write.mode("overwrite").parquet(accepted)
         outcome.rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
-        newest = spark.read.parquet(accepted).agg(F.max("id").alias("last_id"))
-        newest.write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
+        newest = F.coalesce(F.max("id"), F.lit(start)).alias("last_id")
+        mark = spark.read.parquet(accepted).agg(newest)
+        mark.write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
 
     return (
         entries.writeStream.foreachBatch(write)
@@ -81,15 +83,9 @@ def ingest_log(
     )
 
 
-def _last_id(spark, out: str, batch_id: int, above: int) -> int:
-    """The largest id given out before a batch: one small mark per earlier batch."""
-    if batch_id == 0:
-        return above
-    marks = spark.read.schema("last_id bigint, batch bigint").option(
-        "basePath", f"{out}/marks"
-    ).parquet(f"{out}/marks")
-    last = marks.where(F.col("batch") < batch_id).agg(F.max("last_id")).first()[0]
-    return above if last is None else last
+def _last_id(spark, out: str, batch_id: int) -> int:
+    """The largest id given out up to the end of a batch."""
+    return spark.read.parquet(f"{out}/marks/batch={batch_id}").first()["last_id"]
 
 
 def read_log(spark, out: str, part: str = "accepted") -> DataFrame:

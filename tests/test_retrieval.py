@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from bibliospark.operators.retrieval import retrieved_ids, similar
+
+
+@pytest.fixture(scope="module")
+def space(spark):
+    draw = np.random.default_rng(5)
+    base = draw.normal(size=(300, 8))
+    base[100:200] = base[7]  # a third of the vectors are copies
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    rows += [(900, [0.0] * 8), (901, None)]
+    return base, spark.createDataFrame(rows, "id bigint, vector array<double>").repartition(5)
+
+
+def brute_force(base, k, least, skip_self):
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    found = unit @ unit.T
+    wanted = {}
+    for q in range(len(base)):
+        ids = [i for i in range(len(base)) if found[q, i] >= least and not (skip_self and i == q)]
+        ids.sort(key=lambda i: (-round(found[q, i], 9), i))
+        wanted[q] = ids[:k]
+    return {q: ids for q, ids in wanted.items() if ids}
+
+
+@pytest.mark.parametrize("bytes_,block", [(1 << 26, 20_000), (0, 64), (0, 20_000)])
+@pytest.mark.parametrize("skip_self", [False, True])
+def test_equals_brute_force(space, bytes_, block, skip_self):
+    base, vectors = space
+    rows = similar(vectors, vectors, 5, 0.6, skip_self, bytes_, block).collect()
+    wanted = brute_force(base, 5, 0.6, skip_self)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r)
+    assert set(got) == set(wanted)
+    for q, found in got.items():
+        assert [r.rank for r in found] == list(range(1, len(found) + 1))
+        assert len(found) == len(wanted[q])
+        unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+        best = sorted((float(unit[q] @ unit[i]) for i in wanted[q]), reverse=True)
+        assert np.allclose([r.similarity for r in found], best)
+
+
+def test_threshold_is_included_and_lists_are_in_order(spark):
+    corpus = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0])], "id bigint, vector array<double>"
+    )
+    query = spark.createDataFrame([(50, [3.0, 0.0])], "id bigint, vector array<double>")
+    assert [(r.rank, r.id) for r in similar(query, corpus, 10, 1.0).collect()] == [(1, 1), (2, 3)]
+    lists = retrieved_ids(similar(query, corpus, 10, 0.0)).collect()
+    assert [tuple(r) for r in lists] == [(50, [1, 3, 2])]
+
+
+def test_bounds_of_the_settings(space):
+    for k, least in [(0, 0.5), (5, 1.5), (5, -0.1)]:
+        with pytest.raises(ValueError):
+            similar(space[1], space[1], k, least)
+
+
+def test_no_queries(spark, space):
+    none = spark.createDataFrame([], "id bigint, vector array<double>")
+    assert similar(none, space[1]).count() == 0
