@@ -66,13 +66,13 @@ def _insert(
     target: DataFrame | None = None,
     parents: dict[str, DataFrame] | None = None,
     min_rows: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows with their ``id`` and the order column, and the verdicts."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepted rows with their ``id`` and the order column, the two alone, and the verdicts."""
     batch = _with_defaults(batch, table)
     typed, type_checks = conform(batch, TABLES[table])
     verdicts = judge(batch, order, RULES[table], target, parents, type_checks, min_rows)
     ids = assign_ids(verdicts.where(F.col("reason").isNull()).select(order), [order], above)
-    return typed.join(ids, order), verdicts
+    return typed.join(ids, order), ids, verdicts
 
 
 def _rejects(verdicts: DataFrame, order: str, duplicate_only: bool = False) -> DataFrame:
@@ -88,7 +88,7 @@ def insert_venues(
     batch: DataFrame, venues: DataFrame, above: int, now: datetime | None = None, order: str = "seq"
 ) -> Outcome:
     """Add venues; names are unique."""
-    rows, verdicts = _insert(batch, "venues", order, above, now, venues)
+    rows, _, verdicts = _insert(batch, "venues", order, above, now, venues)
     return Outcome(_finish(rows, "venues", now), _rejects(verdicts, order))
 
 
@@ -111,7 +111,7 @@ def insert_authors(
     batch: DataFrame, authors: DataFrame, above: int, now: datetime | None = None, order: str = "seq"
 ) -> Outcome:
     """Add authors; normalised names are unique."""
-    rows, verdicts = _insert(with_name_key(batch), "authors", order, above, now, authors)
+    rows, _, verdicts = _insert(with_name_key(batch), "authors", order, above, now, authors)
     return Outcome(_finish(rows, "authors", now), _rejects(verdicts, order))
 
 
@@ -126,24 +126,29 @@ def resolve_authors(
     """Give each mention of an author an ``author_id``, making missing authors.
 
     A known author keeps the stored spelling and affiliations; of an unknown
-    one the first mention in ``order`` counts.
+    one the first mention in ``order`` counts. A mention without a name gets
+    no id.
     """
     mentions = with_name_key(mentions)
+    names = mentions.select("name_normalized").distinct()
+    known = authors.select("name_normalized", F.col("id").alias("author_id")).join(
+        names, "name_normalized", "left_semi"
+    )
+    marked = keep(spread.join(mentions, known, "name_normalized", "left", min_rows), "mentions")
+    is_unknown = F.col("author_id").isNull() & F.col("name_normalized").isNotNull()
+    unknown = marked.where(is_unknown).drop("author_id")
     first = F.struct(*order)
     details = [c for c in ("name", "affiliations") if c in mentions.columns]
-    firsts = mentions.groupBy("name_normalized").agg(
+    firsts = unknown.groupBy("name_normalized").agg(
         F.min_by(F.struct(*details), first).alias("_author"), F.min(first).alias("_first")
     )
-    known = authors.select("name_normalized", F.col("id").alias("author_id"))
-    missing = firsts.join(known, "name_normalized", "left_anti")
-    created = assign_ids(missing, [f"_first.{c}" for c in order], above)
-    added = _finish(created.select("id", "name_normalized", "_author.*"), "authors", now)
-    wanted = mentions.select("name_normalized").distinct()
-    directory = known.join(wanted, "name_normalized", "left_semi").unionByName(
-        created.select("name_normalized", F.col("id").alias("author_id"))
+    created = assign_ids(firsts, [f"_first.{c}" for c in order], above)
+    made = created.select("name_normalized", F.col("id").alias("author_id"))
+    resolved = marked.where(~is_unknown).unionByName(
+        spread.join(unknown, made, "name_normalized", "inner", min_rows)
     )
-    resolved = spread.join(mentions, directory, "name_normalized", "inner", min_rows)
-    return ResolvedAuthors(resolved, added)
+    added = created.select("id", "name_normalized", "_author.*")
+    return ResolvedAuthors(resolved, _finish(added, "authors", now))
 
 
 def insert_papers(
@@ -167,7 +172,7 @@ def insert_papers(
     refused papers are not made. An author listed twice is linked at the first
     position; the repeat is refused.
     """
-    rows, verdicts = _insert(
+    rows, ids, verdicts = _insert(
         batch, "papers", order, above_papers, now, papers, {"venues": venues}, min_rows
     )
     added = _finish(rows, "papers", now)
@@ -180,12 +185,11 @@ def insert_papers(
             _rejects(verdicts, order),
             spark.createDataFrame([], f"{order} bigint, position int, reason string, key string"),
         )
-    paper_ids = rows.select(order, F.col("id").alias("paper_id"))
+    paper_ids = ids.select(order, F.col("id").alias("paper_id"))
     listed = spread.join(author_lists, paper_ids, order, "inner", min_rows)
     unnamed = F.col("name").isNull()
-    mentions = keep(with_name_key(listed), "mentions")
     resolved = resolve_authors(
-        mentions.where(~unnamed), authors, above_authors, now, (order, "position"), min_rows
+        listed.where(~unnamed), authors, above_authors, now, (order, "position"), min_rows
     )
     links = resolved.mentions.select(
         order, "paper_id", "author_id", F.col("position").cast("int")
@@ -194,7 +198,7 @@ def insert_papers(
     repeats = links.join(
         bridge, ["paper_id", "author_id", "position"], "left_anti"
     ).select(order, "position", F.lit("duplicate").alias("reason"), F.lit("paper_id,author_id").alias("key"))
-    nameless = mentions.where(unnamed).select(
+    nameless = listed.where(unnamed).select(
         order,
         F.col("position").cast("int"),
         F.lit("not_null").alias("reason"),
@@ -268,7 +272,7 @@ def insert_queries(
     min_rows: int | None = None,
 ) -> QueriesOutcome:
     """Add queries and the next snapshot of the conversations they touch."""
-    rows, verdicts = _insert(
+    rows, _, verdicts = _insert(
         batch, "queries", order, above, now, None, {"conversations": conversations}, min_rows
     )
     accepted = _finish(rows, "queries", now)
@@ -286,7 +290,7 @@ def append_log(
     min_rows: int | None = None,
 ) -> Outcome:
     """Append processing-log entries."""
-    rows, verdicts = _insert(
+    rows, _, verdicts = _insert(
         batch, "processing_log", order, above, now, None, {"papers": papers}, min_rows
     )
     return Outcome(_finish(rows, "processing_log", now), _rejects(verdicts, order))

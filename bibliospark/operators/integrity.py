@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,11 @@ from bibliospark.operators import spread
 from bibliospark.schemas import Rules
 from bibliospark.sources.durable import keep
 
+# Clashes that form long chains leave few rows open but need many rounds. After
+# FAST_ROUNDS a rest of at most REST_CLAIMS claims is settled in one task.
+FAST_ROUNDS = 4
+REST_CLAIMS = 50_000
+
 FAULT = "struct<reason:string,key:string>"
 
 
@@ -116,13 +122,6 @@ def first_come(
     Each round decides at least the first open row; for keys in no adversarial
     order the rounds grow with the logarithm of the batch.
     """
-    if len(keys) == 1:
-        (key,) = keys
-        firsts = (
-            rows.where(has_key(key)).groupBy(*key).agg(F.min(order).alias(order)).select(order)
-        )
-        return firsts.unionByName(rows.where(~has_key(key)).select(order))
-
     claims = [
         F.when(has_key(key), F.struct(F.lit(i).alias("slot"), _key_text(key).alias("value")))
         for i, key in enumerate(keys)
@@ -132,7 +131,11 @@ def first_come(
     open_claims = keep(
         claimed.select(order, F.size("claims").alias("need"), F.inline("claims")), "claims"
     )
+    rounds = 0
     while n_open := open_claims.count():
+        rounds += 1
+        if rounds > FAST_ROUNDS and n_open <= REST_CLAIMS:
+            return accepted.unionByName(_settle_rest(open_claims, order))
         decided = keep(_settle(open_claims, order, n_open, min_rows), "round")
         accepted = accepted.unionByName(decided.where("won").select(order).distinct())
         open_claims = decided.where(~(F.col("won") | F.col("lost"))).drop("won", "lost")
@@ -160,6 +163,23 @@ def _settle(claims: DataFrame, order: str, n_claims: int, min_rows: int | None)
     )
 
 
+def _settle_rest(claims: DataFrame, order: str) -> DataFrame:
+    """Take the rows of a small rest one by one."""
+
+    def take(rest: pd.DataFrame) -> pd.DataFrame:
+        held, accepted = set(), []
+        for row, mine in rest.sort_values(order).groupby(order, sort=True):
+            wanted = set(zip(mine["slot"], mine["value"]))
+            if held.isdisjoint(wanted):
+                held |= wanted
+                accepted.append(row)
+        return pd.DataFrame({order: accepted})
+
+    schema = T.StructType([claims.schema[order]])
+    whole = claims.select(order, "slot", "value").groupBy(F.lit(0).alias("rest"))
+    return keep(whole.applyInPandas(take, schema), "rest")
+
+
 def judge(
     batch: DataFrame,
     order: str,

@@ -86,7 +86,7 @@ def _nest(
     elements if some parent has very many; then the pages are the side of the
     join that is split, and childless parents are added.
     """
-    page = F.floor((F.col("rank") - 1) / page_size).cast("bigint")
+    page = F.expr(f"(rank - 1) div {page_size}")
     fields = ["rank", *(c for c in elements.columns if c not in ("rank", key))]
     pages = (
         elements.groupBy(F.col(key).alias("id"), page.alias("page"))

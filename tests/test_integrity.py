@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from bibliospark.operators import integrity
 from bibliospark.operators.integrity import first_come, judge
 from bibliospark.schemas import RULES
 from tests.samples import make, papers
@@ -66,14 +67,17 @@ def test_refused_row_does_not_occupy_its_other_key(spark):
     assert sorted(r.seq for r in accepted.collect()) == [1, 3, 4, 5]
 
 
-def test_chain_of_clashes(spark):
+@pytest.mark.parametrize("rest", [0, 50_000])
+def test_chain_of_clashes(spark, monkeypatch, rest):
     """Each row shares a key with the next one, so every other row is in."""
+    monkeypatch.setattr(integrity, "REST_CLAIMS", rest)
+    n = 12 if rest == 0 else 400
     rows = spark.createDataFrame(
-        [(i, f"a{i // 2}", f"d{(i + 1) // 2}") for i in range(12)],
+        [(i, f"a{i // 2}", f"d{(i + 1) // 2}") for i in range(n)],
         "seq bigint, arxiv_id string, doi string",
     )
     accepted = first_come(rows, "seq", [("arxiv_id",), ("doi",)])
-    assert sorted(r.seq for r in accepted.collect()) == [0, 2, 4, 6, 8, 10]
+    assert sorted(r.seq for r in accepted.collect()) == list(range(0, n, 2))
 
 
 def test_missing_required_column(spark):
