@@ -22,43 +22,48 @@ MIN_SIMILARITY = 0.5
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
 _TILE_CELLS = 4_000_000
+# Products of equal vectors may differ in the last bits; rounded, they tie.
+_DIGITS = 12
 
 _MATCHES = "query_id bigint, id bigint, similarity double"
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return rows / norms
-
-
-def _best(
-    query_ids: np.ndarray,
-    queries: np.ndarray,
-    ids: np.ndarray,
-    corpus: np.ndarray,
-    k: int,
-    least: float,
-    skip_self: bool,
-) -> Iterator[pd.DataFrame]:
-    """The k best matches of each query in one corpus block, some queries at a time.
-
-    Ties at the k-th place are all given out: the ranking settles them by id.
-    """
-    step = max(1, _TILE_CELLS // max(1, len(ids)))
-    for at in range(0, len(query_ids), step):
-        some = query_ids[at : at + step]
-        found = queries[at : at + step] @ corpus.T
-        good = found >= least
-        if skip_self:
-            good &= some[:, None] != ids[None, :]
-        if len(ids) > k:
-            masked = np.where(good, found, -np.inf)
-            kth = np.partition(masked, len(ids) - k, axis=1)[:, len(ids) - k]
-            good &= masked >= kth[:, None]
-        q, c = np.nonzero(good)
-        yield pd.DataFrame({"query_id": some[q], "id": ids[c], "similarity": found[q, c]})
+def _task_code(k: int, least: float, skip_self: bool):
+    """The functions that run in tasks, made here so that they travel with the job."""
+
+    def matrix(vectors: pd.Series) -> np.ndarray:
+        rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+        norms = np.linalg.norm(rows, axis=1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return rows / norms
+
+    def best(
+        query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray
+    ) -> Iterator[pd.DataFrame]:
+        """The k best matches of each query in one corpus block, some queries at a time.
+
+        Of matches that tie at the k-th place those with the smallest ids are
+        given out, so that many copies of a vector give no more than k rows.
+        """
+        by_id = np.argsort(ids, kind="stable")
+        ids, corpus = ids[by_id], corpus[by_id]
+        step = max(1, _TILE_CELLS // max(1, len(ids)))
+        for at in range(0, len(query_ids), step):
+            some = query_ids[at : at + step]
+            found = np.round(queries[at : at + step] @ corpus.T, _DIGITS)
+            good = found >= least
+            if skip_self:
+                good &= some[:, None] != ids[None, :]
+            if len(ids) > k:
+                masked = np.where(good, found, -np.inf)
+                kth = np.partition(masked, len(ids) - k, axis=1)[:, len(ids) - k, None]
+                above, level = masked > kth, masked == kth
+                room = k - above.sum(axis=1, keepdims=True)
+                good &= above | (level & (np.cumsum(level, axis=1) <= room))
+            q, c = np.nonzero(good)
+            yield pd.DataFrame({"query_id": some[q], "id": ids[c], "similarity": found[q, c]})
+
+    return matrix, best
 
 
 def _against_broadcast(
@@ -67,8 +72,9 @@ def _against_broadcast(
     block = queries.toPandas()
     if block.empty:
         return corpus.sparkSession.createDataFrame([], _MATCHES)
+    matrix, best = _task_code(k, least, skip_self)
     shared = corpus.sparkSession.sparkContext.broadcast(
-        (block["id"].to_numpy(), _matrix(block["vector"]))
+        (block["id"].to_numpy(), matrix(block["vector"]))
     )
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,9 +82,7 @@ def _against_broadcast(
         for batch in batches:
             if len(batch):
                 ids = batch["id"].to_numpy()
-                yield from _best(
-                    query_ids, vectors, ids, _matrix(batch["vector"]), k, least, skip_self
-                )
+                yield from best(query_ids, vectors, ids, matrix(batch["vector"]))
 
     return corpus.mapInPandas(scan, _MATCHES)
 
@@ -106,18 +110,13 @@ def _by_blocks(
 
     left = cut(queries, "qb", query_blocks, "cb", corpus_blocks)
     right = cut(corpus, "cb", corpus_blocks, "qb", query_blocks)
+    matrix, best = _task_code(k, least, skip_self)
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        parts = _best(
-            q["id"].to_numpy(),
-            _matrix(q["vector"]),
-            c["id"].to_numpy(),
-            _matrix(c["vector"]),
-            k,
-            least,
-            skip_self,
+            return pd.DataFrame(columns=["query_id", "id", "similarity"])
+        parts = best(
+            q["id"].to_numpy(), matrix(q["vector"]), c["id"].to_numpy(), matrix(c["vector"])
         )
         return pd.concat(list(parts), ignore_index=True)
 
