@@ -96,13 +96,13 @@ def _present(table: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def orphans(
-    rows: DataFrame, column: str, parent: DataFrame, flag: str, min_rows: int | None = None
+    rows: DataFrame, column: str, parent: DataFrame, flag: str, heavy: list[int] | None = None
 ) -> DataFrame:
     """Add ``flag``: true where ``column`` names no ``id`` of ``parent``; NULL names nothing."""
     ids = parent.select(F.col("id").alias(column))
     wanted = rows.where(F.col(column).isNotNull()).select(column)
     found = _present(ids, wanted).withColumn("_found", F.lit(True))
-    joined = spread.join(rows, found, column, "left", min_rows)
+    joined = spread.join(rows, found, column, "left", heavy=heavy)
     return joined.withColumn(flag, F.col(column).isNotNull() & F.col("_found").isNull()).drop(
         "_found"
     )
@@ -128,9 +128,7 @@ def first_come(
     ]
     claimed = rows.select(order, F.array_compact(F.array(*claims)).alias("claims"))
     accepted = claimed.where(F.size("claims") == 0).select(order)
-    open_claims = keep(
-        claimed.select(order, F.size("claims").alias("need"), F.inline("claims")), "claims"
-    )
+    open_claims = claimed.select(order, F.size("claims").alias("need"), F.inline("claims"))
     rounds = 0
     while n_open := open_claims.count():
         rounds += 1
@@ -153,7 +151,9 @@ def _settle(claims: DataFrame, order: str, n_claims: int, min_rows: int | None)
         .where(F.col("n") == F.col("need"))
     )
     taken = firsts.join(winners, "_holder", "left_semi").select("slot", "value", "_holder")
-    marked = spread.join(claims, taken, ["slot", "value"], "left", min_rows, n_fact=n_claims)
+    few = n_claims < (spread.HEAVY_ROWS if min_rows is None else min_rows)
+    heavy = [] if few else None
+    marked = spread.join(claims, taken, ["slot", "value"], "left", min_rows, heavy)
     of_row = Window.partitionBy(order)
     mine = F.col("_holder") == F.col(order)
     return marked.select(
@@ -206,19 +206,20 @@ def judge(
         rows = rows.select(
             *(F.col(c).try_cast(types[c]).alias(c) if c in types and c != order else c for c in rows.columns)
         )
+    keys = [*([c] for c in references if parents), *map(list, unique)]
+    heavy = {tuple(k): h for k, h in zip(keys, spread.heavy_hashes_of(rows, keys, min_rows))}
     orphan = F.lit(None).cast(FAULT)
     if parents:
         for column in references:
-            rows = orphans(rows, column, parents[rules.references[column]], f"_orphan_{column}", min_rows)
+            parent = parents[rules.references[column]]
+            rows = orphans(rows, column, parent, f"_orphan_{column}", heavy[(column,)])
         orphan = first_fault([(F.col(f"_orphan_{c}"), fault("foreign_key", c)) for c in references])
     rows = rows.withColumn("_orphan", orphan).drop(*(f"_orphan_{c}" for c in references))
     stored = {key: f"_stored_{i}" for i, key in enumerate(unique)}
     for key, flag in stored.items():
-        rows = _mark_stored(rows, key, target, flag, min_rows)
-    n_rows = None
+        rows = _mark_stored(rows, key, target, flag, heavy[key])
     if len(unique) > 1 or (unique and (parents or target is not None)):
         rows = keep(rows, "keys")
-        n_rows = rows.count()
     contenders = rows.where(F.col("_fault").isNull() & F.col("_orphan").isNull())
     if len(unique) > 1:
         fresh = contenders.where(~reduce(lambda a, b: a | b, map(F.col, stored.values())))
@@ -227,7 +228,7 @@ def judge(
     clash = F.lit(None).cast(FAULT)
     for i, (key, flag) in enumerate(stored.items()):
         held = contenders.where(has_key(key)).groupBy(*key).agg(F.min(order).alias(f"_holder_{i}"))
-        rows = spread.join(rows, held, list(key), "left", min_rows, n_fact=n_rows)
+        rows = spread.join(rows, held, list(key), "left", heavy=heavy[key])
         clashes = F.col(flag) | F.coalesce(F.col(f"_holder_{i}") < F.col(order), F.lit(False))
         clash = F.coalesce(clash, F.when(clashes, fault("duplicate", ",".join(key))))
     verdict = F.coalesce("_fault", clash, "_orphan").alias("_v")
@@ -235,11 +236,12 @@ def judge(
 
 
 def _mark_stored(
-    rows: DataFrame, key: tuple[str, ...], target: DataFrame | None, flag: str, min_rows: int | None
+    rows: DataFrame, key: tuple[str, ...], target: DataFrame | None, flag: str, heavy: list[int]
 ) -> DataFrame:
     """Add ``flag``: true where ``target`` has the key already."""
     if target is None:
         return rows.withColumn(flag, F.lit(False))
     present = _present(target, rows.where(has_key(key)).select(*key))
-    marked = spread.join(rows, present.withColumn(flag, F.lit(True)), list(key), "left", min_rows)
+    stored = present.withColumn(flag, F.lit(True))
+    marked = spread.join(rows, stored, list(key), "left", heavy=heavy)
     return marked.withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -31,13 +31,22 @@ def heavy_hashes(df: DataFrame, on: list[str], min_rows: int | None = None) -> l
     The sketch is merged from partial ones, so finding heavy keys shuffles no
     rows. NULL keys hash to one value and are found like any other.
     """
+    return heavy_hashes_of(df, [on], min_rows)[0]
+
+
+def heavy_hashes_of(
+    df: DataFrame, keys: list[list[str]], min_rows: int | None = None
+) -> list[list[int]]:
+    """:func:`heavy_hashes` of several keys of one table in a single pass."""
+    if not keys:
+        return []
     least = HEAVY_ROWS if min_rows is None else min_rows
-    top = (
-        df.select(F.xxhash64(*on).alias("h"))
-        .agg(F.expr(f"approx_top_k(h, {HEAVY_KEYS}, {SKETCH_SLOTS})").alias("top"))
-        .first()["top"]
-    )
-    return [row["item"] for row in top or [] if row["count"] >= least]
+    hashes = df.select(*(F.xxhash64(*on).alias(f"h{i}") for i, on in enumerate(keys)))
+    sketches = [
+        F.expr(f"approx_top_k(h{i}, {HEAVY_KEYS}, {SKETCH_SLOTS})") for i in range(len(keys))
+    ]
+    tops = hashes.agg(*sketches).first()
+    return [[row["item"] for row in top or [] if row["count"] >= least] for top in tops]
 
 
 def join(
@@ -46,23 +55,22 @@ def join(
     on: str | list[str],
     how: str = "left",
     min_rows: int | None = None,
-    n_fact: int | None = None,
+    heavy: list[int] | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``dim``, which has one row per key.
 
     ``how`` is inner, left, left_semi or left_anti. Rows of heavy keys get a
     salt made from the row itself, so that a recomputed task makes the same
     one, and the matching ``dim`` row is repeated once per salt: at most
-    HEAVY_KEYS rows are repeated. A known row count ``n_fact`` too small for a
-    heavy key saves the sketch.
+    HEAVY_KEYS rows are repeated. ``heavy`` are the :func:`heavy_hashes` of
+    the key in ``fact``, if known already.
     """
     on = [on] if isinstance(on, str) else on
     fact_types, dim_types = dict(fact.dtypes), dict(dim.dtypes)
     for name in on:
         if fact_types[name] != dim_types[name]:
             raise ValueError(f"join key {name}: {fact_types[name]} against {dim_types[name]}")
-    few = n_fact is not None and n_fact < (HEAVY_ROWS if min_rows is None else min_rows)
-    heavy = [] if few else heavy_hashes(fact, on, min_rows)
+    heavy = heavy_hashes(fact, on, min_rows) if heavy is None else heavy
     if not heavy:
         return fact.join(dim, on, how)
     salts = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))

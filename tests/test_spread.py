@@ -52,9 +52,15 @@ def test_heavy_rows_land_in_many_tasks(spark, fact, dim):
     assert max(r["count"] for r in sizes) < 1000
 
 
-def test_known_small_fact_needs_no_sketch(fact, dim):
-    joined = spread.join(fact, dim, "k", "inner", min_rows=5000, n_fact=3000)
-    assert "_salt" not in joined._jdf.queryExecution().optimizedPlan().toString()
+def test_no_heavy_keys_no_salt(fact, dim):
+    for joined in (spread.join(fact, dim, "k", "inner"), spread.join(fact, dim, "k", heavy=[])):
+        assert "_salt" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_several_keys_in_one_pass(fact):
+    both = spread.heavy_hashes_of(fact, [["k"], ["id"], ["id", "k"]], 500)
+    assert [len(h) for h in both] == [2, 0, 0]
+    assert spread.heavy_hashes_of(fact, []) == []
 
 
 def test_key_types_must_agree(fact, dim):
