@@ -134,10 +134,10 @@ def _flat_author(df):
 
 @query(
     "authors_by_id",
-    f"SELECT {AUTHOR_SQL} FROM c_authors WHERE id IN (SELECT l_suppkey + 50 FROM lineitem)",
+    f"SELECT {AUTHOR_SQL} FROM c_authors WHERE id IN (SELECT l_suppkey * 2 FROM lineitem)",
 )
 def authors_by_id(spark, folder):
-    keys = shape.table(spark, folder, "lineitem").select(F.col("l_suppkey") + 50)
+    keys = shape.table(spark, folder, "lineitem").select(F.col("l_suppkey") * 2)
     return _flat_author(lookup.authors_by_id(shape.authors(spark, folder), keys))
 
 
