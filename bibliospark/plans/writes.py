@@ -728,12 +728,12 @@ def deleted_papers(spark, folder):
 
 @query(
     "delete_conversations",
-    """SELECT 'conversation' AS kind, id FROM c_chats WHERE id NOT IN (SELECT n_nationkey FROM nation)
+    """SELECT 'conversation' AS kind, id FROM c_chats WHERE id NOT IN (SELECT n_nationkey * 2 FROM nation)
        UNION ALL
-       SELECT 'query', id FROM c_queries WHERE conversation_id NOT IN (SELECT n_nationkey FROM nation)""",
+       SELECT 'query', id FROM c_queries WHERE conversation_id NOT IN (SELECT n_nationkey * 2 FROM nation)""",
 )
 def delete_conversations(spark, folder):
-    ids = shape.table(spark, folder, "nation").select(F.col("n_nationkey").alias("id"))
+    ids = shape.table(spark, folder, "nation").select((F.col("n_nationkey") * 2).alias("id"))
     after = changes.delete_conversations(
         ids, shape.chats(spark, folder), shape.queries(spark, folder)
     ).tables
@@ -746,10 +746,10 @@ def delete_conversations(spark, folder):
 @query(
     "delete_authors",
     """SELECT paper_id, author_id, position, name_normalized
-       FROM c_paper_authors JOIN c_authors ON id = author_id WHERE id NOT IN (SELECT n_nationkey FROM nation)""",
+       FROM c_paper_authors JOIN c_authors ON id = author_id WHERE id NOT IN (SELECT n_nationkey * 2 FROM nation)""",
 )
 def delete_authors(spark, folder):
-    ids = shape.table(spark, folder, "nation").select(F.col("n_nationkey").alias("id"))
+    ids = shape.table(spark, folder, "nation").select((F.col("n_nationkey") * 2).alias("id"))
     after = changes.delete_authors(
         ids, shape.authors(spark, folder), shape.paper_authors(spark, folder)
     ).tables
