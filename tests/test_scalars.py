@@ -10,7 +10,7 @@ SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0      　"
 
 
 def test_names_are_normalised_as_python_does(spark):
-    names = ["Pierre-Amaury Caron", "", "  ", "A  B", "İstanbul", "ΣΑΣ", "​zero width​"]
+    names = ["Anne-Marie DuBois", "", "  ", "A  B", "İstanbul", "ΣΑΣ", "​zero width​"]
     names += [f"{c}Ab{c}cd{c}" for c in SPACES] + [f"x{c}{c}" for c in SPACES]
     df = spark.createDataFrame([(n,) for n in names], "name string")
     got = [r[0] for r in df.select(scalars.normalize_name(F.col("name"))).collect()]
@@ -19,11 +19,11 @@ def test_names_are_normalised_as_python_does(spark):
 
 def test_given_name_key_is_kept(spark):
     df = spark.createDataFrame(
-        [("P.A. Caron", "pierre-amaury caron"), ("P.A. Caron", ""), ("P.A. Caron", None)],
+        [("A.M. DuBois", "anne-marie dubois"), ("A.M. DuBois", ""), ("A.M. DuBois", None)],
         "name string, given string",
     )
     got = [r[0] for r in df.select(scalars.name_key(F.col("name"), F.col("given"))).collect()]
-    assert got == ["pierre-amaury caron", "p.a. caron", "p.a. caron"]
+    assert got == ["anne-marie dubois", "a.m. dubois", "a.m. dubois"]
 
 
 def test_json_round_trip(spark):

@@ -89,3 +89,18 @@ def test_plans_use_no_python_rows(spark):
     plan = reads.papers_with_authors_and_counts(spark, "/root/testdata/sf0.001")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
