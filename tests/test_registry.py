@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from bibliospark.plans.base import ORACLE, QUERIES
 from tests.oracle import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -15,10 +16,10 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_agrees_with_sql(spark, con, name):
-    df = entry.queries()[name](spark, FOLDER)
-    assert differences(df, con, entry.oracle_sql()[name]) == []
+    df = QUERIES[name](spark, FOLDER)
+    assert differences(df, con, ORACLE[name]) == []
 
 
 def test_entry(spark):
