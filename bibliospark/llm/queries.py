@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliospark.llm import mixing, packing, secrets, sharding
+from bibliospark.llm import mixing, packing, repetition, secrets, sharding, toxicity
 from bibliospark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,57 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query(
+    "op2_repeat_rules",
+    r"""
+    WITH texts AS (
+        SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+               list_filter(string_split(coalesce(text, ''), chr(10)),
+                           lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM documents
+    ), places AS (
+        SELECT r, i, len(words) AS n,
+               CASE WHEN i + 2 <= len(words) THEN array_to_string(words[i:i + 2], ' ') END AS g3,
+               CASE WHEN i + 5 <= len(words) THEN array_to_string(words[i:i + 5], ' ') END AS g6,
+               CASE WHEN i + 100 <= len(words) THEN md5(array_to_string(words[i:i + 100], ' ')) END AS g101
+        FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM texts)
+    ), marked AS (
+        SELECT r, i,
+               g3 IS NOT NULL AND count(*) OVER (PARTITION BY r, g3) > 1 AS r3,
+               g6 IS NOT NULL AND count(*) OVER (PARTITION BY r, g6) > 1 AS r6,
+               g101 IS NOT NULL AND count(*) OVER (PARTITION BY r, g101) > 1 AS r101
+        FROM places
+    ), spread AS (
+        SELECT r, r101,
+               bool_or(r3) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3,
+               bool_or(r6) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS c6
+        FROM marked
+    ), counted AS (
+        SELECT r, count(*) FILTER (c3) AS n3, count(*) FILTER (c6) AS n6, bool_or(r101) AS too_long
+        FROM spread GROUP BY r
+    ), features AS (
+        SELECT doc_id, len(words)::BIGINT AS n_words,
+               length(array_to_string(words, ''))::BIGINT AS word_chars,
+               length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+               (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+               coalesce(n3, 0)::BIGINT AS n_repeat_words,
+               coalesce(n6, 0)::BIGINT AS n_covered_words,
+               coalesce(too_long, false) AS too_long
+        FROM texts LEFT JOIN counted USING (r)
+    ), judged AS (
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM features
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, base_failed,
+           NOT base_failed AND NOT (100 * n_covered_words > 40 * n_words) AND NOT too_long AS kept
+    FROM judged
+    """,
+)
+def op2_repeat_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetition.judge_repetition(docs).drop("longest_repeat", "repetitive")
+
+
 @query("op5_pattern_packing")
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -39,6 +90,12 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first)
 
 
+@query("op7_severity_grades")
+def op7_severity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.grade_documents(docs.select("doc_id", "text"), labels)
+
+
 @query("op8_differencing_shards")
 def op8_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
