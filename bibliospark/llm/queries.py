@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliospark.llm import mixing, packing, repetition, secrets, sharding, toxicity
+from bibliospark.llm import mixing, packing, repetition, secrets, sharding, simhash, toxicity
 from bibliospark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,13 @@ def op2_repeat_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge_repetition(docs).drop("longest_repeat", "repetitive")
 
 
+@query("op3_simhash_tiles")
+def op3_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    prints = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", prints.alias("fingerprint"), "component_id")
+
+
 @query("op5_pattern_packing")
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
