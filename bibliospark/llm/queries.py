@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliospark.llm import mixing, packing, repetition, secrets, sharding, simhash, toxicity
+from bibliospark.llm import mixing, packing, repetition, secrets, sharding, simhash, toxicity, warc
 from bibliospark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,40 @@ def op3_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", prints.alias("fingerprint"), "component_id")
 
 
+@query(
+    "op4_capture_index",
+    r"""
+    WITH keyed AS (
+        SELECT page_id, coalesce(html, '') AS payload,
+               regexp_replace(regexp_replace(coalesce(url, ''), '^[a-zA-Z]+://', ''), '#.*$', '') AS rest
+        FROM pages
+    ), parts AS (
+        SELECT *, regexp_extract(rest, '^[^/?]*') AS host, sha1(payload) AS hex FROM keyed
+    ), named AS (
+        SELECT page_id, payload, octet_length(encode(payload))::BIGINT AS payload_bytes,
+               array_to_string(list_reverse(string_split(
+                   regexp_replace(regexp_replace(lower(host), '^www\.', ''), ':(80|443)$', ''), '.')), ',')
+               || ')' || CASE WHEN length(rest) > length(host) THEN substr(rest, length(host) + 1) ELSE '/' END AS urlkey,
+               list_transform(range(0, 8), lambda i: ('0x' || substr(hex, i * 5 + 1, 5))::INTEGER) AS parts5,
+               max(page_id) OVER (PARTITION BY payload) AS first_id
+        FROM parts
+    )
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               (((parts5[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+           urlkey, row_number() OVER (ORDER BY urlkey, page_id) - 1 AS position
+    FROM named
+    """,
+)
+def op4_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return index.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "position"
+    )
+
+
 @query("op5_pattern_packing")
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
