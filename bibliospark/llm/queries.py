@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliospark.llm import mixing, packing, repetition, secrets, sharding, simhash, toxicity, warc
+from bibliospark.llm import maxscore, mixing, packing, repetition, secrets, sharding, simhash, toxicity, warc
 from bibliospark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +151,26 @@ def op8_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op9_maxscore",
+    """
+    WITH terms AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS t FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.t, c.t)::BIGINT AS score
+        FROM terms q JOIN terms c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+    )
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+    ) WHERE rank <= 5
+    """,
+)
+def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 @query("op10_secret_ownership")
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
