@@ -52,13 +52,19 @@ def number_within(
 
 
 def replace_column(
-    df: DataFrame, column: str, name: str, kind: str, make: Callable[[list], list], arrow_kind: pa.DataType
+    df: DataFrame,
+    column: str,
+    name: str,
+    kind: str,
+    make: Callable[[list], list],
+    arrow_kind: pa.DataType,
+    keep_column: bool = False,
 ) -> DataFrame:
     """``df`` with ``column`` given to ``make``, batch by batch, and its values as ``name`` instead.
 
-    The other columns pass as Arrow data, so their values stay exactly as they are.
+    With ``keep_column`` the column stays. The other columns pass as Arrow data, so their values stay exactly as they are.
     """
-    rest = [f for f in df.schema if f.name != column]
+    rest = [f for f in df.schema if keep_column or f.name != column]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{name}` {kind}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

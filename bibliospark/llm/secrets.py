@@ -89,8 +89,8 @@ def token_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple
     return found
 
 
-def find_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``candidates`` to ``docs``, without the text."""
+def find_candidates(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Add ``candidates`` to ``docs``, without the text unless ``keep_text``."""
 
     def scan(texts: list[str | None]) -> list[list[dict]]:
         out = []
@@ -111,7 +111,7 @@ def find_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
             )
         return out
 
-    return replace_column(docs, text_col, "candidates", CANDIDATES, scan, ARROW_CANDIDATES)
+    return replace_column(docs, text_col, "candidates", CANDIDATES, scan, ARROW_CANDIDATES, keep_text)
 
 
 def ownership(found: DataFrame, owner_col: str, repository_cols: list[str]) -> DataFrame:
@@ -143,9 +143,9 @@ def scan_secrets(
     owner_col: str = "source",
     repository_cols: tuple[str, ...] = ("source", "lang"),
     max_owners: int = MAX_OWNERS,
-    store_all: bool = True,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: its columns without the text, and ``spans``.
+    """One row per row of ``docs``: its columns, without the text unless ``keep_text``, and ``spans``.
 
     ``spans`` is an array of (kind, start, end, owners, repositories, verdict),
     sorted by start, then kind; positions count code points. ``verdict`` is
@@ -156,13 +156,13 @@ def scan_secrets(
     ``spans`` are dropped.
 
     Documents without candidates take no part in the shuffles: their rows are
-    passed on as they are. With ``store_all`` the scan is done once and stored;
-    without, only rows with candidates are stored and the others are scanned
-    again, which suits wide rows.
+    passed on as they are. The scan is done once and stored, but with
+    ``keep_text``, when rows are wide, only rows with candidates are stored and
+    the others are scanned again.
     """
     clash = [c for c in ("candidates", "spans") if c in docs.columns]
-    found = find_candidates(docs.drop(*clash), text_col)
-    if store_all:
+    found = find_candidates(docs.drop(*clash), text_col, keep_text)
+    if not keep_text:
         found = keep(found, "secret-candidates")
     columns = [c for c in found.columns if c != "candidates"]
     # stored, the key of a row stays the same however often the rows are read
@@ -212,23 +212,20 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **sc
 
     Overlapping spans become one mask. Columns and rows stay as they are.
     """
-    kept = [c for c in docs.columns if c != text_col]
-    # the text travels beside itself, as the scan drops the column that it reads
-    scanned = scan_secrets(docs.withColumn("_text", F.col(text_col)), text_col, store_all=False, **scan)
+    scanned = scan_secrets(docs, text_col, keep_text=True, **scan)
     secret = F.filter("spans", lambda s: s["verdict"] != "copied")
-    size = F.char_length("_text")
+    text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(state: Column, span: Column) -> Column:
+        more = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
         inside = span["start"] < state["at"]
-        more = F.substring(F.col("_text"), state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
         return F.struct(
             F.greatest(state["at"], span["end"]).alias("at"),
             F.when(inside, state["out"]).otherwise(F.concat(state["out"], more, F.lit(mask))).alias("out"),
         )
 
     masked = F.aggregate(
-        secret, start, add, lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, size))
+        secret, start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text)))
     )
-    text = F.when(F.size(secret) > 0, masked).otherwise(F.col("_text")).alias(text_col)
-    return scanned.select(*kept, text).select(*docs.columns)
+    return scanned.withColumn(text_col, F.when(F.size(secret) > 0, masked).otherwise(text)).select(*docs.columns)

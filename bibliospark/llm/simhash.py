@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliospark.llm.common import replace_column
@@ -222,16 +222,16 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, tile: int = TILE)
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """Every row of ``docs`` without its text, with ``fingerprint`` (long) and ``component_id``.
+    """Every row of ``docs`` without its text, with ``fingerprint``, ``component`` (longs) and ``component_id``.
 
     Fingerprints that differ in at most ``radius`` bits are linked, and
-    ``component_id`` is the smallest id that links reach, a row's own included.
+    ``component_id`` is the smallest id that links reach, a row's own included;
+    ``component`` is a fingerprint that names the component.
     Null and empty texts have fingerprint zero and are linked like others;
     repeated rows share a component. A null id is no smallest id unless its
-    component has no other. Columns named ``fingerprint`` or ``component_id``
-    are replaced.
+    component has no other. Columns of ``docs`` with those names are replaced.
     """
-    clash = [c for c in ("component_id",) if c in docs.columns]
+    clash = [c for c in ("component", "component_id") if c in docs.columns]
     rows = keep(add_fingerprints(docs.drop(*clash), text_col, shingle), "fingerprints")
     prints = keep(rows.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
     found = keep(link_fingerprints(prints.select("fingerprint"), radius), "fingerprint-links")
@@ -240,5 +240,22 @@ def near_duplicates(
         "fingerprint", "least", F.coalesce("component", "fingerprint").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select(*rows.columns, "component_id")
+    named = rooted.join(least, "root").select("fingerprint", F.col("root").alias("component"), "component_id")
+    return rows.join(named, "fingerprint").select(*rows.columns, "component", "component_id")
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **near) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id, then the smallest hash of the text.
+
+    A null id comes after all others. Of rows with the same id and text one stays.
+    """
+    key = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("_text_hash"))
+    found = near_duplicates(key, id_col, text_col, **near)
+    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("_id"), "_text_hash")
+    first = found.groupBy("component").agg(F.min(order).alias("first")).select("first._id", "first._text_hash")
+    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
+    kept = hashed.join(
+        first, hashed[id_col].eqNullSafe(first["_id"]) & (hashed["_hash"] == first["_text_hash"]), "left_semi"
+    )
+    same = Window.partitionBy(id_col, "_hash").orderBy(F.lit(0))
+    return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)

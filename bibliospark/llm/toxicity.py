@@ -222,8 +222,8 @@ def train(docs: DataFrame, labels: DataFrame, **sample) -> Severity:
     return fit(rows, grade(rows))
 
 
-def score(docs: DataFrame, model: Severity, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``severity``, ``toxic_probability``, ``grade`` and ``rejected``.
+def score(docs: DataFrame, model: Severity, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs``, without the text unless ``keep_text``, with ``severity``, ``toxic_probability``, ``grade`` and ``rejected``.
 
     ``severity`` is the expected grade. A null or empty text has no feature and
     gets what the thresholds alone say. Repeated rows score alike; columns of
@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: Severity, text_col: str = "text") -> DataFrame
 
     kind = "struct<severity:double,toxic_probability:double,grade:int>"
     arrow = pa.struct([("severity", pa.float64()), ("toxic_probability", pa.float64()), ("grade", pa.int32())])
-    scored = replace_column(docs.drop(*clash), text_col, "_s", kind, run, arrow)
+    scored = replace_column(docs.drop(*clash), text_col, "_s", kind, run, arrow, keep_text)
     return (
         scored.select("*", "_s.*").drop("_s").withColumn("rejected", F.col("toxic_probability") >= MIN_PROBABILITY)
     )
