@@ -4,8 +4,8 @@ Alternating large-star and small-star steps (Kiveris, Lattanzi, Mirrokni,
 Rastogi and Vassilvitskii, "Connected components in MapReduce and beyond",
 2014) turn every component into a star around its smallest node. Each step is
 a minimum per node, combined before the shuffle, and a join, so a node with
-very many neighbours is no task of its own. Before the first round, each
-partition replaces its edges by a spanning forest of them.
+very many neighbours is no task of its own. Before the first round, each batch
+of edges is replaced by stars that join the same nodes.
 """
 
 from __future__ import annotations
@@ -45,12 +45,18 @@ class Forest:
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each batch of edges."""
+    """Stars in place of each batch of edges: every node with the smallest that its edges reach."""
     for batch in batches:
-        forest, keep_it = Forest(), []
+        forest = Forest()
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            keep_it.append(forest.join(a, b))
-        yield batch.filter(pa.array(np.array(keep_it, dtype=bool)))
+            forest.join(a, b)
+        nodes = np.array(list(forest.number), dtype=np.int64)
+        roots = np.array([forest.find(n) for n in forest.number], dtype=np.int64)
+        least = np.full(len(nodes), np.iinfo(np.int64).max)
+        np.minimum.at(least, roots, nodes)
+        low = least[roots] if len(nodes) else nodes
+        apart = nodes != low
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(low[apart])], ["a", "b"])
 
 
 def _mirrored(edges: DataFrame) -> DataFrame:
