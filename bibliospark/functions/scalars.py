@@ -37,14 +37,23 @@ def json_to_array(text: Column, element: str) -> Column:
     Malformed text gives NULL, see :func:`is_malformed_json`.
     """
     empty = F.array().cast(f"array<{element}>")
-    return F.when(text.isNull() | (text == ""), empty).otherwise(
-        F.from_json(text, f"array<{element}>")
-    )
+    return F.when(text.isNull() | (text == ""), empty).otherwise(_strict_array(text, element))
+
+
+def _strict_array(text: Column, element: str) -> Column:
+    """The JSON array that ``text`` is as a whole, else NULL.
+
+    As the only field of an object, it may have nothing after it; a text that
+    closes the array and opens another field gives the object two.
+    """
+    wrapped = F.concat(F.lit('{"v":'), text, F.lit("}"))
+    parsed = F.from_json(wrapped, f"v array<{element}>", {"allowSingleQuotes": "false"})
+    return F.when(F.size(F.json_object_keys(wrapped)) == 1, parsed["v"])
 
 
 def is_malformed_json(text: Column, element: str) -> Column:
     """True for text that is neither empty, nor a JSON array, nor JSON ``null``."""
-    decoded = F.from_json(text, f"array<{element}>")
+    decoded = _strict_array(text, element)
     return F.coalesce((text != "") & decoded.isNull() & (F.trim(text) != "null"), F.lit(False))
 
 

@@ -56,3 +56,13 @@ def test_batch_time_is_fixed_when_the_plan_is_made(spark):
     first = {r.t for r in df.collect()}
     assert len(first) == 1 and {r.t for r in df.collect()} == first
     assert first.pop().microsecond == 0
+
+
+def test_only_whole_json_arrays_count(spark):
+    texts = ['[1,2] junk', '[1] [2]', "['a']", '[1],"w":[2]', '[1],"v":[2]', '["a","b"]', '[]', '["}\\"{"]', " [1] ", "null"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(
+        scalars.json_to_array(F.col("t"), "string").alias("v"), scalars.is_malformed_json(F.col("t"), "string").alias("bad")
+    ).collect()
+    assert [r.v for r in got] == [None] * 5 + [["a", "b"], [], ['}"{'], ["1"], None]
+    assert [r.bad for r in got] == [True] * 5 + [False] * 5
