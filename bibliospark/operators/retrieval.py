@@ -21,6 +21,8 @@ MIN_SIMILARITY = 0.5
 # sides are cut into blocks of BLOCK_ROWS rows.
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
+# What a row takes on the driver besides its components.
+ROW_BYTES = 200
 _TILE_CELLS = 4_000_000
 # Products of equal vectors may differ in the last bits; rounded, they tie.
 _DIGITS = 12
@@ -139,8 +141,8 @@ def similar(
     Both sides have ``id`` and ``vector``, all vectors of one length. Gives
     ``query_id``, ``rank`` from 1, ``id`` and ``similarity``, which is at least
     ``min_similarity``; equal similarities are ordered by id. ``skip_self``
-    leaves out the vector with the query's own id. A NULL vector, or one of
-    length zero, is like no other.
+    leaves out the vector with the query's own id. A NULL or empty vector, or
+    one of norm zero, is like no other; vectors of several lengths are an error.
     """
     if not 0 <= min_similarity <= 1:
         raise ValueError("min_similarity must be between 0 and 1")
@@ -148,14 +150,19 @@ def similar(
         raise ValueError("k must be positive")
 
     def tidy(df: DataFrame) -> DataFrame:
-        return df.select(F.col("id").cast("bigint"), "vector").where("vector is not null")
+        return df.select(F.col("id").cast("bigint"), "vector").where("size(vector) > 0")
 
     queries, corpus = tidy(queries), tidy(corpus)
-    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("cells")).first()
-    if 8 * (size["cells"] or 0) <= broadcast_bytes:
+    lengths = [F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most")]
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("cells"), *lengths).first()
+    held = corpus.agg(F.count("*").alias("n"), *lengths).first()
+    found = {n for r in (size, held) for n in (r["least"], r["most"]) if n is not None}
+    if len(found) > 1:
+        raise ValueError(f"vectors of {min(found)} to {max(found)} components cannot be compared")
+    if 8 * (size["cells"] or 0) + ROW_BYTES * size["n"] <= broadcast_bytes:
         matches = _against_broadcast(queries, corpus, k, min_similarity, skip_self)
     else:
-        sizes = (size["n"], corpus.count())
+        sizes = (size["n"], held["n"])
         matches = _by_blocks(queries, corpus, sizes, block_rows, k, min_similarity, skip_self)
     best_first = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id"))
     ranked = matches.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)

@@ -7,15 +7,18 @@ their settings from whatever session their DataFrames belong to.
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def local_session(name: str, cores: str | int | None = None) -> SparkSession:
     cores = cores or os.environ.get("BENCH_CPUS", "8")
+    shared = os.environ.get("BIBLIOSPARK_SHARED") or tempfile.mkdtemp(prefix="bibliospark-")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
+        .config("spark.checkpoint.dir", shared)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")

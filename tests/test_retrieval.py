@@ -64,3 +64,11 @@ def test_bounds_of_the_settings(space):
 def test_no_queries(spark, space):
     none = spark.createDataFrame([], "id bigint, vector array<double>")
     assert similar(none, space[1]).count() == 0
+
+
+def test_empty_and_mixed_vectors(spark):
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, []), (3, [1.0, 0.1])], "id bigint, vector array<double>")
+    assert {r.id for r in similar(some, some, 3, 0.5).collect()} == {1, 3}
+    mixed = some.union(spark.createDataFrame([(4, [1.0])], some.schema))
+    with pytest.raises(ValueError):
+        similar(some, mixed)
