@@ -150,3 +150,16 @@ RULES: dict[str, Rules] = {
         references={"paper_id": "papers"},
     ),
 }
+
+
+#: The columns by which a snapshot is range-sorted: what its keyed reads ask for.
+LAYOUT: dict[str, tuple[str, ...]] = {
+    "venues": ("id",),
+    "authors": ("id",),
+    "papers": ("id",),
+    "paper_authors": ("paper_id", "author_id"),
+    "citations": ("citing_paper_id", "cited_paper_id"),
+    "conversations": ("id",),
+    "queries": ("conversation_id", "id"),
+    "processing_log": ("paper_id", "id"),
+}
