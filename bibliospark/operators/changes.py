@@ -1,7 +1,8 @@
 """Updates and deletes as transforms from one snapshot to the next.
 
-Changes to one id apply in the order of the batch, so the last one stays.
-Unknown ids change nothing. Callers write the result to a new place.
+Changes to one id apply in the order of the batch, so the last one stays; one
+without an order value comes before all others, and of several with the same
+value the one that sets the largest value stays. Unknown ids change nothing. Callers write the result to a new place.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ class VenueDelete(NamedTuple):
 
 def _last(changes: DataFrame, value: str, order: str) -> DataFrame:
     """The last change of each id; many changes of one id shrink before the shuffle."""
-    newest = F.max_by(F.struct(F.col(value).alias("value")), order)
+    newest = F.max_by(F.struct(F.col(value).alias("value")), F.struct(F.col(order), F.col(value)))
     return changes.groupBy(F.col("id").cast("bigint").alias("id")).agg(newest.alias("_new"))
 
 
@@ -120,7 +121,7 @@ def touch_papers(papers: DataFrame, ids: DataFrame, now: datetime | None = None)
 
 
 def touch_conversations(conversations: DataFrame, queries: DataFrame) -> DataFrame:
-    """Set ``updated_at`` of each conversation to the time of its newest added query."""
+    """Move ``updated_at`` of each conversation up to the time of its newest added query, never back."""
     newest = (
         queries.where(F.col("conversation_id").isNotNull())
         .groupBy(F.col("conversation_id").alias("id"))
@@ -132,7 +133,7 @@ def touch_conversations(conversations: DataFrame, queries: DataFrame) -> DataFra
 def _touch(table: DataFrame, stamps: DataFrame) -> DataFrame:
     joined = table.join(stamps, "id", "left")
     return joined.select(
-        *(F.coalesce("_at", c).alias(c) if c == "updated_at" else c for c in table.columns)
+        *(F.greatest("_at", c).alias(c) if c == "updated_at" else c for c in table.columns)
     )
 
 

@@ -15,20 +15,18 @@ def cited_by(
     citations: DataFrame,
     papers: DataFrame,
     citing_ids: Keys | None = None,
-    min_rows: int | None = None,
 ) -> DataFrame:
     """The papers each citing paper refers to, one row per edge."""
-    return _ends(citations, papers, "citing_paper_id", "cited_paper_id", citing_ids, min_rows)
+    return _ends(citations, papers, "citing_paper_id", "cited_paper_id", citing_ids)
 
 
 def citing(
     citations: DataFrame,
     papers: DataFrame,
     cited_ids: Keys | None = None,
-    min_rows: int | None = None,
 ) -> DataFrame:
     """The papers that refer to each cited paper, one row per edge."""
-    return _ends(citations, papers, "cited_paper_id", "citing_paper_id", cited_ids, min_rows)
+    return _ends(citations, papers, "cited_paper_id", "citing_paper_id", cited_ids)
 
 
 def _ends(
@@ -37,11 +35,10 @@ def _ends(
     start: str,
     end: str,
     starts: Keys | None,
-    min_rows: int | None,
 ) -> DataFrame:
     edges = citations.select(start, end)
     if starts is not None:
-        edges = lookup(edges, start, starts, min_rows)
+        edges = lookup(edges, start, starts)
     joined = edges.join(papers.withColumnRenamed("id", end), end)
     others = [c for c in papers.columns if c != "id"]
     return joined.select(start, F.col(end).alias("id"), *others)

@@ -1,9 +1,13 @@
 """Batch inserts.
 
-Every insert takes a batch with an order column (``seq`` by default, unique in
-the batch), the present tables and the largest id given out so far, and
-returns the rows to add and the rows refused: ``seq``, ``reason``, ``key`` and
-``reported_as``, which is what a one-row insert would have called the failure.
+Every insert takes a batch with an order column (``seq`` by default), the
+present tables and the largest id given out so far, and returns the rows to
+add and the rows refused: ``seq``, ``reason``, ``key`` and ``reported_as``,
+which is what a one-row insert would have called the failure. A row without an
+order value, or with one that another row has too, is refused (``order_null``,
+``order_repeated``), so every row ends in one of the two. An ``id`` in the
+batch is ignored. Time stamps in the batch are kept, for loading history;
+without such columns all rows get the batch time.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from bibliospark.operators.outcomes import (
     QueriesOutcome,
     ResolvedAuthors,
 )
-from bibliospark.operators.integrity import conform, judge
+from bibliospark.operators.integrity import conform, judge, split_order
 from bibliospark.schemas import DEFAULT_VENUES, RULES, TABLES
 from bibliospark.sources.durable import keep
 
@@ -65,12 +69,11 @@ def _insert(
     now: datetime | None,
     target: DataFrame | None = None,
     parents: dict[str, DataFrame] | None = None,
-    min_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accepted rows with their ``id`` and the order column, the two alone, and the verdicts."""
-    batch = _with_defaults(batch, table)
+    batch, refused = split_order(_with_defaults(batch.drop("id"), table), order)
     typed, type_checks = conform(batch, TABLES[table])
-    verdicts = judge(batch, order, RULES[table], target, parents, type_checks, min_rows)
+    verdicts = judge(batch, order, RULES[table], target, parents, type_checks).unionByName(refused)
     ids = assign_ids(verdicts.where(F.col("reason").isNull()).select(order), [order], above)
     return typed.join(ids, order), ids, verdicts
 
@@ -121,7 +124,6 @@ def resolve_authors(
     above: int,
     now: datetime | None = None,
     order: tuple[str, ...] = ("seq", "position"),
-    min_rows: int | None = None,
 ) -> ResolvedAuthors:
     """Give each mention of an author an ``author_id``, making missing authors.
 
@@ -134,7 +136,7 @@ def resolve_authors(
     known = authors.select("name_normalized", F.col("id").alias("author_id")).join(
         names, "name_normalized", "left_semi"
     )
-    marked = keep(spread.join(mentions, known, "name_normalized", "left", min_rows), "mentions")
+    marked = keep(spread.join(mentions, known, "name_normalized", "left"), "mentions")
     is_unknown = F.col("author_id").isNull() & F.col("name_normalized").isNotNull()
     unknown = marked.where(is_unknown).drop("author_id")
     first = F.struct(*order)
@@ -145,7 +147,7 @@ def resolve_authors(
     created = assign_ids(firsts, [f"_first.{c}" for c in order], above)
     made = created.select("name_normalized", F.col("id").alias("author_id"))
     resolved = marked.where(~is_unknown).unionByName(
-        spread.join(unknown, made, "name_normalized", "inner", min_rows)
+        spread.join(unknown, made, "name_normalized", "inner")
     )
     added = created.select("id", "name_normalized", "_author.*")
     return ResolvedAuthors(resolved, _finish(added, "authors", now))
@@ -161,7 +163,6 @@ def insert_papers(
     author_lists: DataFrame | None = None,
     now: datetime | None = None,
     order: str = "seq",
-    min_rows: int | None = None,
 ) -> PapersOutcome:
     """Add papers with their ordered author lists.
 
@@ -173,7 +174,7 @@ def insert_papers(
     position; the repeat is refused.
     """
     rows, ids, verdicts = _insert(
-        batch, "papers", order, above_papers, now, papers, {"venues": venues}, min_rows
+        batch, "papers", order, above_papers, now, papers, {"venues": venues}
     )
     added = _finish(rows, "papers", now)
     spark = batch.sparkSession
@@ -186,23 +187,25 @@ def insert_papers(
             spark.createDataFrame([], f"{order} bigint, position int, reason string, key string"),
         )
     paper_ids = ids.select(order, F.col("id").alias("paper_id"))
-    listed = spread.join(author_lists, paper_ids, order, "inner", min_rows)
-    unnamed = F.col("name").isNull()
+    # a mention is told by its own number: the same author may stand twice at one position
+    numbered = author_lists.drop("id").withColumn("_mention", F.monotonically_increasing_id())
+    listed = keep(numbered, "author-lists").join(paper_ids, order)
+    lacking = F.when(F.col("name").isNull(), "name").when(F.col("position").isNull(), "position")
     resolved = resolve_authors(
-        listed.where(~unnamed), authors, above_authors, now, (order, "position"), min_rows
+        listed.where(lacking.isNull()), authors, above_authors, now, (order, "position", "_mention")
     )
     links = resolved.mentions.select(
-        order, "paper_id", "author_id", F.col("position").cast("int")
+        order, "paper_id", "author_id", F.col("position").cast("int"), "_mention"
     )
-    bridge = links.groupBy("paper_id", "author_id").agg(F.min("position").alias("position"))
-    repeats = links.join(
-        bridge, ["paper_id", "author_id", "position"], "left_anti"
-    ).select(order, "position", F.lit("duplicate").alias("reason"), F.lit("paper_id,author_id").alias("key"))
-    nameless = listed.where(unnamed).select(
-        order,
-        F.col("position").cast("int"),
-        F.lit("not_null").alias("reason"),
-        F.lit("name").alias("key"),
+    first = F.min(F.struct("position", "_mention")).alias("first")
+    bridge = links.groupBy("paper_id", "author_id").agg(first).select(
+        "paper_id", "author_id", "first.position", "first._mention"
+    )
+    repeats = links.join(bridge, "_mention", "left_anti").select(
+        order, "position", F.lit("duplicate").alias("reason"), F.lit("paper_id,author_id").alias("key")
+    )
+    nameless = listed.where(lacking.isNotNull()).select(
+        order, F.col("position").cast("int"), F.lit("not_null").alias("reason"), lacking.alias("key")
     )
     return PapersOutcome(
         added,
@@ -219,13 +222,13 @@ def insert_citations(
     papers: DataFrame,
     now: datetime | None = None,
     order: str = "seq",
-    min_rows: int | None = None,
 ) -> Outcome:
     """Add citation edges; every refusal is reported as a duplicate."""
+    batch, unordered = split_order(batch, order)
     typed, type_checks = conform(batch, TABLES["citations"])
     verdicts = judge(
-        batch, order, RULES["citations"], citations, {"papers": papers}, type_checks, min_rows
-    )
+        batch, order, RULES["citations"], citations, {"papers": papers}, type_checks
+    ).unionByName(unordered)
     refused = verdicts.where(F.col("reason").isNotNull())
     rows = typed.join(refused.select(order), order, "left_anti")
     return Outcome(_finish(rows, "citations", now), _rejects(verdicts, order, duplicate_only=True))
@@ -237,9 +240,9 @@ def insert_links(
     papers: DataFrame,
     authors: DataFrame,
     order: str = "seq",
-    min_rows: int | None = None,
 ) -> Outcome:
     """Add paper-author links; a pair is unique and both ends must exist."""
+    batch, unordered = split_order(batch, order)
     typed, type_checks = conform(batch, TABLES["paper_authors"])
     verdicts = judge(
         batch,
@@ -248,8 +251,7 @@ def insert_links(
         paper_authors,
         {"papers": papers, "authors": authors},
         type_checks,
-        min_rows,
-    )
+    ).unionByName(unordered)
     refused = verdicts.where(F.col("reason").isNotNull())
     rows = typed.join(refused.select(order), order, "left_anti")
     return Outcome(_finish(rows, "paper_authors", None), _rejects(verdicts, order))
@@ -259,7 +261,7 @@ def insert_conversations(
     batch: DataFrame, above: int, now: datetime | None = None, order: str = "seq"
 ) -> DataFrame:
     """Open conversations; the title may be NULL or absent."""
-    typed, _ = conform(batch, TABLES["conversations"])
+    typed, _ = conform(batch.drop("id"), TABLES["conversations"])
     return _finish(assign_ids(typed, [order], above), "conversations", now)
 
 
@@ -269,11 +271,10 @@ def insert_queries(
     above: int,
     now: datetime | None = None,
     order: str = "seq",
-    min_rows: int | None = None,
 ) -> QueriesOutcome:
     """Add queries and the next snapshot of the conversations they touch."""
     rows, _, verdicts = _insert(
-        batch, "queries", order, above, now, None, {"conversations": conversations}, min_rows
+        batch, "queries", order, above, now, None, {"conversations": conversations}
     )
     accepted = _finish(rows, "queries", now)
     return QueriesOutcome(
@@ -287,10 +288,9 @@ def append_log(
     above: int,
     now: datetime | None = None,
     order: str = "seq",
-    min_rows: int | None = None,
 ) -> Outcome:
     """Append processing-log entries."""
     rows, _, verdicts = _insert(
-        batch, "processing_log", order, above, now, None, {"papers": papers}, min_rows
+        batch, "processing_log", order, above, now, None, {"papers": papers}
     )
     return Outcome(_finish(rows, "processing_log", now), _rejects(verdicts, order))

@@ -1,12 +1,14 @@
 """Integrity rules on a batch: which rows a table takes, and why it refuses the others.
 
 The outcome equals that of inserting the rows one by one in the order of a
-column the caller names, which must be unique in the batch. All checks run on
-the key columns alone; the wide rows are joined once, at the end.
+column the caller names; rows without a value there, or with one that another
+row has too, are refused. All checks run on the key columns alone; the wide
+rows are joined once, at the end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -16,14 +18,10 @@ from pyspark.sql import types as T
 
 from bibliospark.functions.scalars import is_malformed_json, json_to_array
 from bibliospark.operators import spread
+from bibliospark.operators.components import connected_components
 from bibliospark.schemas import Rules
 from bibliospark.sources.durable import keep
 
-# Clashes that form long chains leave few rows open but need many rounds. After
-# FAST_ROUNDS a rest of at most REST_CLAIMS claims is settled in one task.
-FAST_ROUNDS = 4
-REST_CLAIMS = 50_000
-
 FAULT = "struct<reason:string,key:string>"
 
 
@@ -62,6 +60,22 @@ def conform(batch: DataFrame, schema: T.StructType) -> tuple[DataFrame, list[tup
     return batch.select(*columns), checks
 
 
+def split_order(batch: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose order value is theirs alone, and one refusal for each of the others."""
+    repeated = keep(
+        batch.where(F.col(order).isNotNull()).groupBy(order).agg(F.count("*").alias("_n")).where("_n > 1").select(order),
+        "repeated-order",
+    )
+    alone = batch.where(F.col(order).isNotNull()).join(repeated, order, "left_anti")
+    missing = batch.where(F.col(order).isNull()).select(
+        order, F.lit("order_null").alias("reason"), F.lit(order).alias("key")
+    )
+    several = batch.join(repeated, order, "left_semi").select(
+        order, F.lit("order_repeated").alias("reason"), F.lit(order).alias("key")
+    )
+    return alone.select(*batch.columns), missing.unionByName(several)
+
+
 def row_checks(rules: Rules, columns: list[str]) -> list[tuple[Column, Column]]:
     """NOT NULL, then allowed values; a missing required column is NULL in every row."""
     missing = [
@@ -96,64 +110,57 @@ def _present(table: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def orphans(
-    rows: DataFrame, column: str, parent: DataFrame, flag: str, heavy: list[int] | None = None
+    rows: DataFrame, column: str, parent: DataFrame, flag: str
 ) -> DataFrame:
     """Add ``flag``: true where ``column`` names no ``id`` of ``parent``; NULL names nothing."""
     ids = parent.select(F.col("id").alias(column))
     wanted = rows.where(F.col(column).isNotNull()).select(column)
     found = _present(ids, wanted).withColumn("_found", F.lit(True))
-    joined = spread.join(rows, found, column, "left", heavy=heavy)
+    joined = spread.join(rows, found, column, "left")
     return joined.withColumn(flag, F.col(column).isNotNull() & F.col("_found").isNull()).drop(
         "_found"
     )
 
 
-def first_come(
-    rows: DataFrame,
-    order: str,
-    keys: list[tuple[str, ...]],
-    min_rows: int | None = None,
-) -> DataFrame:
+def first_come(rows: DataFrame, order: str, keys: list[tuple[str, ...]]) -> DataFrame:
     """The rows that sequential insertion into an empty table accepts.
 
-    A refused row does not occupy its other keys. With several keys this is a
-    greedy maximal matching, found in rounds: a row that comes first on all its
-    keys is in, rows that share a key with it are out, and the rest goes on.
-    Each round decides at least the first open row; for keys in no adversarial
-    order the rounds grow with the logarithm of the batch.
+    A refused row does not occupy its other keys, so a refusal may let a later
+    row in, and so on along a chain. One parallel round settles most claims:
+    a row that comes first on all its keys is in, rows that share a key with
+    it are out. What is still open falls into connected components of rows and
+    the keys they share, which do not touch each other: each is taken in order,
+    as a sorted stream, by one task. The number of rounds does not depend on
+    the length of chains; one component is sequential by nature, and a task
+    holds no more of it than the keys that are taken.
     """
     claims = [
         F.when(has_key(key), F.struct(F.lit(i).alias("slot"), _key_text(key).alias("value")))
         for i, key in enumerate(keys)
     ]
     claimed = rows.select(order, F.array_compact(F.array(*claims)).alias("claims"))
-    accepted = claimed.where(F.size("claims") == 0).select(order)
-    open_claims = claimed.select(order, F.size("claims").alias("need"), F.inline("claims"))
-    rounds = 0
-    while n_open := open_claims.count():
-        rounds += 1
-        if rounds > FAST_ROUNDS and n_open <= REST_CLAIMS:
-            return accepted.unionByName(_settle_rest(open_claims, order))
-        decided = keep(_settle(open_claims, order, n_open, min_rows), "round")
-        accepted = accepted.unionByName(decided.where("won").select(order).distinct())
-        open_claims = decided.where(~(F.col("won") | F.col("lost"))).drop("won", "lost")
-    return accepted
-
-
-def _settle(claims: DataFrame, order: str, n_claims: int, min_rows: int | None) -> DataFrame:
+    unclaimed = claimed.where(F.size("claims") == 0).select(order)
+    wanted = claimed.select(order, F.size("claims").alias("need"), F.inline("claims"))
+    decided = keep(_settle(wanted, order), "round")
+    still_open = decided.where(~(F.col("won") | F.col("lost")))
+    winners = decided.where("won").select(order).distinct()
+    taken = keep(_settle_components(still_open, order), "components-settled")
+    return unclaimed.unionByName(winners).unionByName(taken)
+
+
+def _settle(claims: DataFrame, order: str) -> DataFrame:
     """One round: mark the claims of rows that have ``won`` all their keys or ``lost`` one."""
     firsts = claims.groupBy("slot", "value").agg(
         F.min(order).alias("_holder"), F.min_by("need", order).alias("need")
     )
+    firsts = keep(firsts, "firsts")
     winners = (
         firsts.groupBy("_holder")
         .agg(F.count("*").alias("n"), F.first("need").alias("need"))
         .where(F.col("n") == F.col("need"))
     )
     taken = firsts.join(winners, "_holder", "left_semi").select("slot", "value", "_holder")
-    few = n_claims < (spread.HEAVY_ROWS if min_rows is None else min_rows)
-    heavy = [] if few else None
-    marked = spread.join(claims, taken, ["slot", "value"], "left", min_rows, heavy)
+    marked = claims.join(taken, ["slot", "value"], "left")
     of_row = Window.partitionBy(order)
     mine = F.col("_holder") == F.col(order)
     return marked.select(
@@ -163,21 +170,36 @@ def _settle(claims: DataFrame, order: str, n_claims: int, min_rows: int | None)
     )
 
 
-def _settle_rest(claims: DataFrame, order: str) -> DataFrame:
-    """Take the rows of a small rest one by one."""
+def _settle_components(claims: DataFrame, order: str) -> DataFrame:
+    """Take the rows of each connected component one by one, all components at once."""
+    row = F.xxhash64(F.lit("row"), order)
+    edges = claims.select(row.alias("a"), F.xxhash64(F.lit("key"), "slot", "value").alias("b"))
+    parts = connected_components(edges)
+    placed = claims.withColumn("node", row).join(parts, "node").select("component", order, "slot", "value")
+    streamed = placed.repartition("component").sortWithinPartitions("component", order)
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, held, current, wanted = None, set(), None, set()
+
+        def settled() -> list:
+            if current is None or not held.isdisjoint(wanted):
+                return []
+            held.update(wanted)
+            return [current]
 
-    def take(rest: pd.DataFrame) -> pd.DataFrame:
-        held, accepted = set(), []
-        for row, mine in rest.sort_values(order).groupby(order, sort=True):
-            wanted = set(zip(mine["slot"], mine["value"]))
-            if held.isdisjoint(wanted):
-                held |= wanted
-                accepted.append(row)
-        return pd.DataFrame({order: accepted})
+        for batch in batches:
+            accepted = []
+            for part, at, slot, value in batch.itertuples(index=False, name=None):
+                if part != component or at != current:
+                    accepted += settled()
+                    if part != component:
+                        component, held = part, set()
+                    current, wanted = at, set()
+                wanted.add((slot, value))
+            yield pd.DataFrame({order: accepted})
+        yield pd.DataFrame({order: settled()})
 
-    schema = T.StructType([claims.schema[order]])
-    whole = claims.select(order, "slot", "value").groupBy(F.lit(0).alias("rest"))
-    return keep(whole.applyInPandas(take, schema), "rest")
+    return streamed.mapInPandas(take, T.StructType([claims.schema[order]]))
 
 
 def judge(
@@ -187,7 +209,6 @@ def judge(
     target: DataFrame | None = None,
     parents: dict[str, DataFrame] | None = None,
     extra_checks: list[tuple[Column, Column]] | None = None,
-    min_rows: int | None = None,
 ) -> DataFrame:
     """One row (``order``, ``reason``, ``key``) per row of the batch; no reason means accepted.
 
@@ -206,29 +227,27 @@ def judge(
         rows = rows.select(
             *(F.col(c).try_cast(types[c]).alias(c) if c in types and c != order else c for c in rows.columns)
         )
-    keys = [*([c] for c in references if parents), *map(list, unique)]
-    heavy = {tuple(k): h for k, h in zip(keys, spread.heavy_hashes_of(rows, keys, min_rows))}
     orphan = F.lit(None).cast(FAULT)
     if parents:
         for column in references:
             parent = parents[rules.references[column]]
-            rows = orphans(rows, column, parent, f"_orphan_{column}", heavy[(column,)])
+            rows = orphans(rows, column, parent, f"_orphan_{column}")
         orphan = first_fault([(F.col(f"_orphan_{c}"), fault("foreign_key", c)) for c in references])
     rows = rows.withColumn("_orphan", orphan).drop(*(f"_orphan_{c}" for c in references))
     stored = {key: f"_stored_{i}" for i, key in enumerate(unique)}
     for key, flag in stored.items():
-        rows = _mark_stored(rows, key, target, flag, heavy[key])
+        rows = _mark_stored(rows, key, target, flag)
     if len(unique) > 1 or (unique and (parents or target is not None)):
         rows = keep(rows, "keys")
     contenders = rows.where(F.col("_fault").isNull() & F.col("_orphan").isNull())
     if len(unique) > 1:
         fresh = contenders.where(~reduce(lambda a, b: a | b, map(F.col, stored.values())))
-        admitted = first_come(fresh, order, unique, min_rows)
+        admitted = first_come(fresh, order, unique)
         contenders = contenders.join(admitted, order, "left_semi")
     clash = F.lit(None).cast(FAULT)
     for i, (key, flag) in enumerate(stored.items()):
         held = contenders.where(has_key(key)).groupBy(*key).agg(F.min(order).alias(f"_holder_{i}"))
-        rows = spread.join(rows, held, list(key), "left", heavy=heavy[key])
+        rows = spread.join(rows, held, list(key), "left")
         clashes = F.col(flag) | F.coalesce(F.col(f"_holder_{i}") < F.col(order), F.lit(False))
         clash = F.coalesce(clash, F.when(clashes, fault("duplicate", ",".join(key))))
     verdict = F.coalesce("_fault", clash, "_orphan").alias("_v")
@@ -236,12 +255,12 @@ def judge(
 
 
 def _mark_stored(
-    rows: DataFrame, key: tuple[str, ...], target: DataFrame | None, flag: str, heavy: list[int]
+    rows: DataFrame, key: tuple[str, ...], target: DataFrame | None, flag: str
 ) -> DataFrame:
     """Add ``flag``: true where ``target`` has the key already."""
     if target is None:
         return rows.withColumn(flag, F.lit(False))
     present = _present(target, rows.where(has_key(key)).select(*key))
     stored = present.withColumn(flag, F.lit(True))
-    marked = spread.join(rows, stored, list(key), "left", heavy=heavy)
+    marked = spread.join(rows, stored, list(key), "left")
     return marked.withColumn(flag, F.coalesce(flag, F.lit(False)))

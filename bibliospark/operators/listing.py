@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliospark.operators.lookup import Keys, lookup
-from bibliospark.operators.spread import heavy_hashes, rank_within
+from bibliospark.operators.spread import rank_within
 
 QUEUE_LIMIT = 100
 CONVERSATION_LIMIT = 50
@@ -65,11 +65,11 @@ def paper_log(
 
 
 def _entries(entries: DataFrame, key: str, keys: Keys | None, min_rows: int | None) -> DataFrame:
-    wanted = entries if keys is None else lookup(entries, key, keys, min_rows)
-    return in_time_order(wanted, key, heavy_hashes(entries, [key], min_rows))
+    wanted = entries if keys is None else lookup(entries, key, keys)
+    return in_time_order(wanted, key, min_rows)
 
 
-def in_time_order(entries: DataFrame, key: str, heavy: list[int]) -> DataFrame:
+def in_time_order(entries: DataFrame, key: str, min_rows: int | None = None) -> DataFrame:
     """Number the entries of each key by time; entries without a key are left out."""
     order = [F.col("created_at").asc_nulls_first(), F.col("id").asc()]
-    return rank_within(entries.where(F.col(key).isNotNull()), key, order, "rank", heavy)
+    return rank_within(entries.where(F.col(key).isNotNull()), key, order, "rank", min_rows)

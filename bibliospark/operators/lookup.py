@@ -11,7 +11,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibliospark.operators import spread
 
 Keys = DataFrame | Iterable | int | str
 
@@ -21,67 +20,59 @@ def _typed(keys: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return keys.toDF(column).select(F.col(column).cast(table.schema[column].dataType))
 
 
-def lookup(table: DataFrame, column: str, keys: Keys, min_rows: int | None = None) -> DataFrame:
+def lookup(table: DataFrame, column: str, keys: Keys) -> DataFrame:
     """Rows of ``table`` whose ``column`` is one of ``keys``.
 
     Values in hand become a filter that reaches the scan; a DataFrame, with
-    the keys in its only column, becomes a semi join.
+    the keys in its only column, becomes a semi join, which needs no distinct
+    keys; adaptive execution splits what a heavy key makes large.
     """
     if isinstance(keys, DataFrame):
-        wanted = _typed(keys, table, column).where(F.col(column).isNotNull()).distinct()
-        return spread.join(table, wanted, column, "left_semi", min_rows).select(*table.columns)
+        return table.join(_typed(keys, table, column), column, "left_semi").select(*table.columns)
     if isinstance(keys, (int, str)):
         return table.where(F.col(column) == keys)
     return table.where(F.col(column).isin(list(keys)))
 
 
-def _unique_lookup(table: DataFrame, column: str, keys: Keys) -> DataFrame:
-    """As :func:`lookup` for a column without repeats, which cannot be skewed."""
-    if isinstance(keys, DataFrame):
-        wanted = _typed(keys, table, column)
-        return table.join(wanted, column, "left_semi").select(*table.columns)
-    return lookup(table, column, keys)
-
-
 def venues_by_id(venues: DataFrame, ids: Keys) -> DataFrame:
-    return _unique_lookup(venues, "id", ids)
+    return lookup(venues, "id", ids)
 
 
 def venues_by_name(venues: DataFrame, names: Keys) -> DataFrame:
-    return _unique_lookup(venues, "name", names)
+    return lookup(venues, "name", names)
 
 
 def authors_by_id(authors: DataFrame, ids: Keys) -> DataFrame:
-    return _unique_lookup(authors, "id", ids)
+    return lookup(authors, "id", ids)
 
 
 def authors_by_name(authors: DataFrame, normalized_names: Keys) -> DataFrame:
     """The caller normalises: the names are compared as they are."""
-    return _unique_lookup(authors, "name_normalized", normalized_names)
+    return lookup(authors, "name_normalized", normalized_names)
 
 
 def papers_by_id(papers: DataFrame, ids: Keys) -> DataFrame:
-    return _unique_lookup(papers, "id", ids)
+    return lookup(papers, "id", ids)
 
 
 def papers_by_arxiv_id(papers: DataFrame, arxiv_ids: Keys) -> DataFrame:
-    return _unique_lookup(papers, "arxiv_id", arxiv_ids)
+    return lookup(papers, "arxiv_id", arxiv_ids)
 
 
 def papers_by_doi(papers: DataFrame, dois: Keys) -> DataFrame:
-    return _unique_lookup(papers, "doi", dois)
+    return lookup(papers, "doi", dois)
 
 
 def conversations_by_id(conversations: DataFrame, ids: Keys) -> DataFrame:
-    return _unique_lookup(conversations, "id", ids)
+    return lookup(conversations, "id", ids)
 
 
 def queries_by_id(queries: DataFrame, ids: Keys) -> DataFrame:
-    return _unique_lookup(queries, "id", ids)
+    return lookup(queries, "id", ids)
 
 
-def papers_by_venue(papers: DataFrame, venue_ids: Keys, min_rows: int | None = None) -> DataFrame:
-    return lookup(papers, "venue_id", venue_ids, min_rows)
+def papers_by_venue(papers: DataFrame, venue_ids: Keys) -> DataFrame:
+    return lookup(papers, "venue_id", venue_ids)
 
 
 def papers_by_year(papers: DataFrame, first: int, last: int | None = None) -> DataFrame:

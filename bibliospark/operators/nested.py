@@ -1,9 +1,9 @@
 """Papers with their authors and venues, authors with their papers, conversations
 with their queries.
 
-The nested forms come in pages: one row per parent and page of at most
-``page_size`` elements. A parent with no more elements than that has one row.
-So no array grows with the data, and none is cut short.
+The nested forms give one row per parent. With a ``page_size`` they come in
+pages instead, one row per parent and page of at most so many elements, for
+parents whose elements are too many for one array. None is cut short.
 """
 
 from __future__ import annotations
@@ -13,21 +13,16 @@ from pyspark.sql import functions as F
 
 from bibliospark.operators import spread
 from bibliospark.operators.listing import in_time_order
-
-PAGE_SIZE = 1_000
+from bibliospark.sources.durable import keep
 
 
 def paper_authors(
     bridge: DataFrame, authors: DataFrame, min_rows: int | None = None
 ) -> DataFrame:
     """One row per paper and author; ``rank`` is the place by position, then author id."""
-    return _paper_authors(bridge, authors, spread.heavy_hashes(bridge, ["paper_id"], min_rows))
-
-
-def _paper_authors(bridge: DataFrame, authors: DataFrame, heavy: list[int]) -> DataFrame:
     listed = bridge.join(authors.withColumnRenamed("id", "author_id"), "author_id")
     order = [F.col("position").asc(), F.col("author_id").asc()]
-    return spread.rank_within(listed, "paper_id", order, "rank", heavy)
+    return spread.rank_within(listed, "paper_id", order, "rank", min_rows)
 
 
 def author_papers(bridge: DataFrame, papers: DataFrame, min_rows: int | None = None) -> DataFrame:
@@ -35,35 +30,29 @@ def author_papers(bridge: DataFrame, papers: DataFrame, min_rows: int | None = N
     links = bridge.select("paper_id", "author_id")
     listed = links.join(papers.withColumnRenamed("id", "paper_id"), "paper_id")
     order = [F.col("year").desc_nulls_last(), F.col("paper_id").asc()]
-    heavy = spread.heavy_hashes(bridge, ["author_id"], min_rows)
-    return spread.rank_within(listed, "author_id", order, "rank", heavy)
+    return spread.rank_within(listed, "author_id", order, "rank", min_rows)
 
 
 def papers_with_authors(
     papers: DataFrame,
     bridge: DataFrame,
     authors: DataFrame,
-    page_size: int = PAGE_SIZE,
+    page_size: int | None = None,
     min_rows: int | None = None,
 ) -> DataFrame:
     """Papers with an ``authors`` array in list order, empty where there are none."""
-    heavy = spread.heavy_hashes(bridge, ["paper_id"], min_rows)
-    listed = _paper_authors(bridge, authors, heavy)
-    return _nest(papers, listed, "paper_id", "authors", page_size, bridge if heavy else None)
+    return _nest(papers, paper_authors(bridge, authors, min_rows), "paper_id", "authors", page_size)
 
 
 def conversations_with_queries(
     conversations: DataFrame,
     queries: DataFrame,
-    page_size: int = PAGE_SIZE,
+    page_size: int | None = None,
     min_rows: int | None = None,
 ) -> DataFrame:
     """Conversations with a ``queries`` array in time order, empty where there are none."""
-    heavy = spread.heavy_hashes(queries, ["conversation_id"], min_rows)
-    listed = in_time_order(queries, "conversation_id", heavy)
-    return _nest(
-        conversations, listed, "conversation_id", "queries", page_size, queries if heavy else None
-    )
+    listed = in_time_order(queries, "conversation_id", min_rows)
+    return _nest(conversations, listed, "conversation_id", "queries", page_size)
 
 
 def papers_with_venue(papers: DataFrame, venues: DataFrame) -> DataFrame:
@@ -73,32 +62,23 @@ def papers_with_venue(papers: DataFrame, venues: DataFrame) -> DataFrame:
 
 
 def _nest(
-    parents: DataFrame,
-    elements: DataFrame,
-    key: str,
-    name: str,
-    page_size: int,
-    heavy_children: DataFrame | None,
+    parents: DataFrame, elements: DataFrame, key: str, name: str, page_size: int | None
 ) -> DataFrame:
-    """Collect ranked elements into pages and attach them to their parents.
-
-    Usually a parent has few pages. ``heavy_children`` is the table of the
-    elements if some parent has very many; then the pages are the side of the
-    join that is split, and childless parents are added.
-    """
-    page = F.expr(f"(rank - 1) div {page_size}")
+    """Collect ranked elements into arrays or pages and attach them to their parents."""
+    page = F.lit(0) if page_size is None else F.expr(f"(rank - 1) div {page_size}")
     fields = ["rank", *(c for c in elements.columns if c not in ("rank", key))]
     pages = (
-        elements.groupBy(F.col(key).alias("id"), page.alias("page"))
+        elements.groupBy(F.col(key).alias("id"), page.cast("bigint").alias("page"))
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
     )
     kind = pages.schema[name].dataType
-    if heavy_children is None:
+    if page_size is None:
         nested = parents.join(pages, "id", "left")
     else:
-        paged = spread.join(pages, parents, "id", "inner")
-        alone = parents.join(heavy_children.select(F.col(key).alias("id")), "id", "left_anti")
-        nested = paged.unionByName(alone, allowMissingColumns=True)
+        # a parent of very many pages is split if its pages are the left side of an inner join
+        stored = keep(pages, "pages")
+        alone = parents.join(stored.select("id"), "id", "left_anti")
+        nested = stored.join(parents, "id").unionByName(alone, allowMissingColumns=True)
     return nested.select(
         *parents.columns,
         F.coalesce("page", F.lit(0)).alias("page"),

@@ -2,11 +2,10 @@
 
 A join of two stored tables needs no help: both sides are shuffled for the
 join, and adaptive execution splits the partitions a heavy key makes large.
-It cannot do so where a side arrives already grouped by the join key, nor for
-a window. For these a sketch over the key column finds the few keys with very
-many rows. Where there are none, the plain Spark operation is used; where
-there are some, only these keys are spread over many tasks. What the sketch
-reports decides how the work is laid out, never which rows come out.
+It cannot do so where a side arrives already grouped by the join key, so such
+a side is stored first. For a window, keys with more rows than one task should
+sort are counted exactly, with partial counts before the shuffle, and only
+their rows are sorted over range partitions.
 """
 
 from __future__ import annotations
@@ -16,72 +15,24 @@ from pyspark.sql import functions as F
 
 from bibliospark.sources.durable import keep
 
-# Keys below this many rows fit one task. At most HEAVY_KEYS keys are spread,
-# the largest ones, so the list on the driver is bounded whatever the data.
+# A key with more rows than this is ranked by several tasks. Of n rows at most
+# n / HEAVY_ROWS keys are heavy, which bounds what is broadcast about them.
 HEAVY_ROWS = 1_000_000
-HEAVY_KEYS = 1_000
-SKETCH_SLOTS = 4_096
 
 _LOCAL_ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
-def heavy_hashes(df: DataFrame, on: list[str], min_rows: int | None = None) -> list[int]:
-    """Hashes of the keys with at least ``min_rows`` rows.
+def join(fact: DataFrame, dim: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
+    """Join ``fact`` to ``dim``, which has one row per key and was grouped by it.
 
-    The sketch is merged from partial ones, so finding heavy keys shuffles no
-    rows. NULL keys hash to one value and are found like any other.
-    """
-    return heavy_hashes_of(df, [on], min_rows)[0]
-
-
-def heavy_hashes_of(
-    df: DataFrame, keys: list[list[str]], min_rows: int | None = None
-) -> list[list[int]]:
-    """:func:`heavy_hashes` of several keys of one table in a single pass."""
-    if not keys:
-        return []
-    least = HEAVY_ROWS if min_rows is None else min_rows
-    hashes = df.select(*(F.xxhash64(*on).alias(f"h{i}") for i, on in enumerate(keys)))
-    sketches = [
-        F.expr(f"approx_top_k(h{i}, {HEAVY_KEYS}, {SKETCH_SLOTS})") for i in range(len(keys))
-    ]
-    tops = hashes.agg(*sketches).first()
-    return [[row["item"] for row in top or [] if row["count"] >= least] for top in tops]
-
-
-def join(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: str | list[str],
-    how: str = "left",
-    min_rows: int | None = None,
-    heavy: list[int] | None = None,
-) -> DataFrame:
-    """Join ``fact`` to ``dim``, which has one row per key.
-
-    ``how`` is inner, left, left_semi or left_anti. Rows of heavy keys get a
-    salt made from the row itself, so that a recomputed task makes the same
-    one, and the matching ``dim`` row is repeated once per salt: at most
-    HEAVY_KEYS rows are repeated. ``heavy`` are the :func:`heavy_hashes` of
-    the key in ``fact``, if known already.
+    ``how`` is inner, left, left_semi or left_anti.
     """
     on = [on] if isinstance(on, str) else on
     fact_types, dim_types = dict(fact.dtypes), dict(dim.dtypes)
     for name in on:
         if fact_types[name] != dim_types[name]:
             raise ValueError(f"join key {name}: {fact_types[name]} against {dim_types[name]}")
-    heavy = heavy_hashes(fact, on, min_rows) if heavy is None else heavy
-    if not heavy:
-        return fact.join(dim, on, how)
-    salts = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    is_heavy = F.xxhash64(*on).isin(heavy)
-    row_salt = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    left = fact.withColumn("_salt", F.when(is_heavy, row_salt).otherwise(0))
-    right = dim.withColumn(
-        "_salt", F.explode(F.when(is_heavy, all_salts).otherwise(F.array(F.lit(0))))
-    )
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return fact.join(keep(dim, "dimension"), on, how)
 
 
 def laid_out(df: DataFrame, order: list[str | Column], label: str) -> DataFrame:
@@ -99,38 +50,35 @@ def laid_out(df: DataFrame, order: list[str | Column], label: str) -> DataFrame:
 
 
 def rank_within(
-    df: DataFrame,
-    key: str,
-    order: list[Column],
-    name: str = "rank",
-    heavy: list[int] | None = None,
+    df: DataFrame, key: str, order: list[Column], name: str = "rank", min_rows: int | None = None
 ) -> DataFrame:
     """Number the rows of each key from 1; ``order`` must leave no ties.
 
-    ``heavy`` are the :func:`heavy_hashes` of the key, if known already.
-
-    Heavy keys are sorted over range partitions instead of in one task. Their
-    segments, one per key and partition, number at most HEAVY_KEYS plus the
-    partitions and are broadcast.
+    Keys of more than ``min_rows`` rows are sorted over range partitions
+    instead of in one task. Their segments, one per key and partition, are at
+    most as many as the heavy keys and the partitions together.
     """
-    heavy = heavy_hashes(df, [key]) if heavy is None else heavy
+    least = HEAVY_ROWS if min_rows is None else min_rows
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    heavy = keep(counts.where(F.col("_n") >= least).select("_key"), "heavy-keys")
     in_key = Window.partitionBy(key).orderBy(*order)
-    if not heavy:
+    if heavy.isEmpty():
         return df.withColumn(name, F.row_number().over(in_key).cast("bigint"))
-    is_heavy = F.xxhash64(key).isin(heavy)
-    light = df.where(~is_heavy).withColumn(name, F.row_number().over(in_key).cast("bigint"))
-    laid = laid_out(df.where(is_heavy), [key, *order], "ranked")
+    same_key = F.col(key).eqNullSafe(F.col("_key"))
+    light = df.join(F.broadcast(heavy), same_key, "left_anti")
+    light = light.withColumn(name, F.row_number().over(in_key).cast("bigint"))
+    laid = laid_out(df.join(F.broadcast(heavy), same_key, "left_semi"), [key, *order], "ranked")
     earlier = Window.partitionBy("_key").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     segments = (
         laid.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_seg"))
         .agg(F.min("_slot").alias("_start"), F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     )
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_seg"))
-    spread = laid.join(F.broadcast(segments), same).withColumn(
+    same = same_key & (F.col("_part") == F.col("_seg"))
+    ranked = laid.join(F.broadcast(segments), same).withColumn(
         name, F.col("_slot") - F.col("_start") + F.col("_before") + 1
     )
-    return light.unionByName(spread.select(*df.columns, name))
+    return light.unionByName(ranked.select(*df.columns, name))
 
 
 def high_water(table: DataFrame) -> int:

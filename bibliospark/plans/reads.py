@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bibliospark.functions import scalars
-from bibliospark.operators import graph, listing, lookup, nested, retrieval
+from bibliospark.operators import graph, listing, lookup, maintenance, nested, retrieval
+from bibliospark.operators.ids import assign_ids
 from bibliospark.plans.base import NOW, NOW_SQL, query
-from bibliospark.schemas import PAPER_COLS
+from bibliospark.schemas import DEFAULT_VENUES, PAPER_COLS
 from bibliospark.sources import driver_tables as shape
 from bibliospark.sources import tables
 from bibliospark.sources.durable import new_path
 
 ALL_PAPER = ", ".join(PAPER_COLS)
 BRIEF = ["id", "title", "venue_id", "year", "status"]
+SEEDS = ", ".join(f"({i}, '{n}', '{t}', '{u}')" for i, (n, t, u) in enumerate(DEFAULT_VENUES))
 
 
 # --- scans and sinks -------------------------------------------------------
@@ -32,6 +35,50 @@ def snapshot_papers(spark, folder):
     return tables.read_table(spark, root, "papers")
 
 
+@query(
+    "declared_and_seeded_venues",
+    "SELECT row_number() OVER (ORDER BY seq) AS id, name, type, url FROM c_seeds",
+    {"c_seeds": f"SELECT * FROM (VALUES {SEEDS}) AS v(seq, name, type, url)"},
+)
+def declared_and_seeded_venues(spark, folder):
+    """Declare all tables in a new place and seed the venues, twice: the second run adds none."""
+    roots = [new_path(spark, "declared") for _ in range(3)]
+    added = [maintenance.initialise(spark, a, b) for a, b in zip(roots, roots[1:])]
+    if added[1]:
+        raise AssertionError(f"the second run added {added[1]} venues")
+    return tables.read_table(spark, roots[2], "venues").drop("created_at")
+
+
+@query(
+    "refresh_counts_of_snapshot",
+    """SELECT p.id, coalesce(n, 0) AS citation_count
+       FROM c_papers p LEFT JOIN (SELECT cited_paper_id, count(*) AS n FROM c_citations GROUP BY 1) e
+         ON e.cited_paper_id = p.id""",
+)
+def refresh_counts_of_snapshot(spark, folder):
+    """The maintenance job, from a stored snapshot to the next."""
+    root, after = new_path(spark, "snapshot"), new_path(spark, "refreshed")
+    tables.write_snapshot(shape.papers(spark, folder), root, "papers")
+    tables.write_snapshot(shape.citations(spark, folder), root, "citations")
+    maintenance.refresh_counts(spark, root, after)
+    return tables.read_table(spark, after, "papers").select("id", "citation_count")
+
+
+@query(
+    "ids_after_a_delete",
+    "SELECT o_orderkey AS seq, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY o_orderkey) AS id FROM orders",
+)
+def ids_after_a_delete(spark, folder):
+    """All papers go, and new ones get ids above those that are gone."""
+    first, second = new_path(spark, "snapshot"), new_path(spark, "emptied")
+    papers = shape.papers(spark, folder)
+    tables.write_snapshot(papers, first, "papers")
+    left = tables.read_table(spark, first, "papers").join(papers.select("id"), "id", "left_anti")
+    tables.write_snapshot(left, second, "papers", tables.high_water(spark, first, "papers"))
+    batch = papers.select(F.col("id").alias("seq"))
+    return assign_ids(batch, ["seq"], tables.high_water(spark, second, "papers")).select("seq", "id")
+
+
 # --- scalar functions ------------------------------------------------------
 
 
@@ -63,20 +110,22 @@ def array_to_json(spark, folder):
        FROM (SELECT event_id,
                     CASE WHEN text IS NULL OR text = '' THEN []::BIGINT[]
                          ELSE TRY_CAST(TRY_CAST(text AS JSON) AS BIGINT[]) END AS ids,
-                    coalesce(text LIKE '%;', false) AS bad
+                    coalesce(text LIKE '%;' OR (text LIKE '[%' AND event_id % 7 < 3), false) AS bad
              FROM (SELECT event_id,
                           CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN ''
                                WHEN 'error' THEN '[' || event_id || ';'
-                               ELSE '[' || event_id || ', ' || user_id || ']' END AS text
+                               ELSE '[' || event_id || ', ' || user_id || ']' || CASE event_id % 7 WHEN 0 THEN ' junk' WHEN 1 THEN ' [2]'
+                                    WHEN 2 THEN ',"w":[1]' ELSE '' END END AS text
                    FROM events))""",
 )
 def json_to_array(spark, folder):
-    kind = F.col("event_type")
+    kind, rest = F.col("event_type"), F.col("event_id") % 7
+    after = F.when(rest == 0, " junk").when(rest == 1, " [2]").when(rest == 2, ',"w":[1]').otherwise("")
     text = (
         F.when(kind == "view", F.lit(None))
         .when(kind == "click", "")
         .when(kind == "error", F.concat(F.lit("["), F.col("event_id"), F.lit(";")))
-        .otherwise(F.concat(F.lit("["), F.col("event_id"), F.lit(", "), F.col("user_id"), F.lit("]")))
+        .otherwise(F.concat(F.lit("["), F.col("event_id"), F.lit(", "), F.col("user_id"), F.lit("]"), after))
     )
     events = shape.table(spark, folder, "events").select("event_id", text.alias("text"))
     ids = scalars.json_to_array(F.col("text"), "bigint")
@@ -222,6 +271,11 @@ def embedded_papers(spark, folder):
 # --- sorted lists ----------------------------------------------------------
 
 
+def _place(*order):
+    """The place in a list that a limit has bounded, to expose its order to the check."""
+    return F.row_number().over(Window.orderBy(*order)).cast("bigint")
+
+
 @query("list_venues", "SELECT id, name, type, url FROM c_venues ORDER BY name")
 def list_venues(spark, folder):
     return listing.list_venues(shape.venues(spark, folder)).drop("created_at")
@@ -229,10 +283,12 @@ def list_venues(spark, folder):
 
 @query(
     "papers_in_status",
-    f"SELECT {ALL_PAPER} FROM c_papers WHERE status = 'pending' ORDER BY created_at, id LIMIT 100",
+    f"""SELECT {ALL_PAPER}, row_number() OVER (ORDER BY created_at, id) AS rank
+        FROM c_papers WHERE status = 'pending' ORDER BY created_at, id LIMIT 100""",
 )
 def papers_in_status(spark, folder):
-    return listing.papers_in_status(shape.papers(spark, folder), "pending")
+    queue = listing.papers_in_status(shape.papers(spark, folder), "pending")
+    return queue.withColumn("rank", _place(F.col("created_at").asc(), F.col("id").asc()))
 
 
 @query(
@@ -256,10 +312,12 @@ def all_papers_per_status(spark, folder):
 
 @query(
     "recent_conversations",
-    "SELECT * FROM c_conversations ORDER BY updated_at DESC, id LIMIT 50",
+    """SELECT *, row_number() OVER (ORDER BY updated_at DESC, id) AS rank
+       FROM c_conversations ORDER BY updated_at DESC, id LIMIT 50""",
 )
 def recent_conversations(spark, folder):
-    return listing.recent_conversations(shape.conversations(spark, folder))
+    recent = listing.recent_conversations(shape.conversations(spark, folder))
+    return recent.withColumn("rank", _place(F.col("updated_at").desc(), F.col("id").asc()))
 
 
 @query(
@@ -305,6 +363,28 @@ def paper_authors(spark, folder):
     return listed.select("paper_id", "author_id", "position", "name", "name_normalized", "rank")
 
 
+@query(
+    "papers_with_authors_in_pages",
+    """SELECT p.id, (coalesce(rank, 1) - 1) // 2 AS page, count(a.id)::INTEGER AS n_authors,
+              coalesce(string_agg(a.name, '|' ORDER BY rank), '') AS author_names
+       FROM c_papers p
+       LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY position, author_id) AS rank
+                  FROM c_paper_authors) b ON b.paper_id = p.id
+       LEFT JOIN c_authors a ON a.id = b.author_id
+       GROUP BY 1, 2""",
+)
+def papers_with_authors_in_pages(spark, folder):
+    listed = nested.papers_with_authors(
+        shape.papers(spark, folder), shape.paper_authors(spark, folder), shape.authors(spark, folder), 2
+    )
+    return listed.select(
+        "id",
+        "page",
+        F.size("authors").alias("n_authors"),
+        F.array_join(F.transform("authors", lambda a: a["name"]), "|").alias("author_names"),
+    )
+
+
 @query(
     "papers_with_authors",
     """SELECT p.id, p.title, 0::BIGINT AS page, count(a.id)::INTEGER AS n_authors,
@@ -392,11 +472,12 @@ def conversations_with_queries(spark, folder):
 @query(
     "papers_with_venue",
     """SELECT p.id, p.title, p.year, v.id AS venue_key, v.name AS venue_name, v.type AS venue_type
-       FROM c_papers p LEFT JOIN (SELECT * FROM c_venues WHERE type <> 'journal') v ON v.id = p.venue_id""",
+       FROM c_papers p LEFT JOIN c_venues v ON v.id = p.venue_id * 2""",
 )
 def papers_with_venue(spark, folder):
-    venues = shape.venues(spark, folder).where("type <> 'journal'")
-    joined = nested.papers_with_venue(shape.papers(spark, folder), venues)
+    # doubled, half of the venue ids name no venue
+    papers = shape.papers(spark, folder).withColumn("venue_id", F.col("venue_id") * 2)
+    joined = nested.papers_with_venue(papers, shape.venues(spark, folder))
     return joined.select(
         "id",
         "title",

@@ -34,22 +34,25 @@ def seed_venues(spark, folder):
 
 VENUE_BATCH = {
     "b_venues": """
-        SELECT c_custkey AS seq, 'NATION_' || (c_nationkey + 5) AS name,
+        SELECT CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 1 THEN c_custkey - 1 ELSE c_custkey END AS seq,
+               'NATION_' || (c_nationkey + 5) AS name,
                CASE c_mktsegment WHEN 'BUILDING' THEN 'conference' WHEN 'AUTOMOBILE' THEN 'journal'
                     WHEN 'HOUSEHOLD' THEN 'preprint' WHEN 'MACHINERY' THEN 'workshop' END AS type
         FROM customer""",
     "v_venues": """
-        SELECT *, CASE WHEN type IS NULL THEN 'not_null' WHEN type = 'workshop' THEN 'check'
+        SELECT *, CASE WHEN seq IS NULL THEN 'order_null' WHEN NOT alone THEN 'order_repeated'
+                       WHEN type IS NULL THEN 'not_null' WHEN type = 'workshop' THEN 'check'
                        WHEN name IN (SELECT name FROM c_venues)
-                         OR seq > min(CASE WHEN type <> 'workshop' THEN seq END) OVER (PARTITION BY name) THEN 'duplicate' END AS reason
-        FROM b_venues""",
+                         OR seq > min(CASE WHEN alone AND type <> 'workshop' THEN seq END) OVER (PARTITION BY name) THEN 'duplicate' END AS reason
+        FROM (SELECT *, count(*) OVER (PARTITION BY seq) = 1 AND seq IS NOT NULL AS alone FROM b_venues)""",
 }
 
 
 def _insert_venues(spark, folder):
-    segment = F.col("c_mktsegment")
+    segment, number = F.col("c_mktsegment"), F.col("c_custkey")
     batch = shape.table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("seq"),
+        F.when(number % 11 == 0, None).when(number % 13 == 1, number - 1).otherwise(number).alias("seq"),
+        F.col("c_custkey").alias("id"),
         F.concat(F.lit("NATION_"), F.col("c_nationkey") + 5).alias("name"),
         F.when(segment == "BUILDING", "conference")
         .when(segment == "AUTOMOBILE", "journal")
@@ -74,7 +77,7 @@ def insert_venues(spark, folder):
 
 @query(
     "insert_venues_rejected",
-    """SELECT seq, reason, CASE reason WHEN 'duplicate' THEN 'name' ELSE 'type' END AS key,
+    """SELECT seq, reason, CASE WHEN reason = 'duplicate' THEN 'name' WHEN reason LIKE 'order%' THEN 'seq' ELSE 'type' END AS key,
               CASE reason WHEN 'duplicate' THEN 'duplicate' ELSE 'integrity' END AS reported_as
        FROM v_venues WHERE reason IS NOT NULL""",
     VENUE_BATCH,
@@ -377,7 +380,7 @@ LINKS = {
     "v_links": """
         SELECT *, CASE WHEN NOT known THEN 'foreign_key'
                        WHEN seq > min(seq) FILTER (known) OVER (PARTITION BY paper_id, author_id) THEN 'duplicate' END AS reason
-        FROM (SELECT *, author_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 0) AS known FROM b_links)""",
+        FROM (SELECT *, author_id IN (SELECT id FROM c_authors) AS known FROM b_links)""",
 }
 
 
@@ -388,11 +391,7 @@ def _insert_links(spark, folder):
         F.floor(F.col("o_totalprice") / 20000).alias("author_id"),
         F.month("o_orderdate").alias("position"),
     )
-    authors = shape.venues(spark, folder).join(
-        shape.table(spark, folder, "nation").where("n_regionkey > 0").select(F.col("n_nationkey").cast("bigint").alias("id")),
-        "id",
-        "left_semi",
-    )
+    authors = shape.authors(spark, folder)
     papers = shape.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
     none = spark.createDataFrame([], TABLES["paper_authors"])
     return ingest.insert_links(batch, none, papers, authors)
@@ -668,14 +667,18 @@ def touch_papers(spark, folder):
 
 @query(
     "touch_conversations",
-    """SELECT id, title, created_at, coalesce(newest, updated_at) AS updated_at
-       FROM c_chats LEFT JOIN (SELECT user_id AS id, max(ts) AS newest FROM events GROUP BY 1) USING (id)""",
+    """SELECT id, title, created_at, greatest(moved, newest) AS updated_at
+       FROM (SELECT *, updated_at + to_days(((id % 3) * 400)::INTEGER) AS moved FROM c_chats)
+       LEFT JOIN (SELECT user_id AS id, max(ts) AS newest FROM events GROUP BY 1) USING (id)""",
 )
 def touch_conversations(spark, folder):
     asked = shape.table(spark, folder, "events").select(
         F.col("user_id").alias("conversation_id"), F.col("ts").alias("created_at")
     )
-    return changes.touch_conversations(shape.chats(spark, folder), asked)
+    # stored times on both sides of the newest query, which may not move them back
+    later = F.make_dt_interval((F.col("id") % 3 * 400).cast("int"))
+    chats = shape.chats(spark, folder).withColumn("updated_at", F.col("updated_at") + later)
+    return changes.touch_conversations(chats, asked)
 
 
 # --- deletes ---------------------------------------------------------------
@@ -754,23 +757,17 @@ def delete_authors(spark, folder):
         ids, shape.authors(spark, folder), shape.paper_authors(spark, folder)
     ).tables
     who = after["authors"].select(F.col("id").alias("author_id"), "name_normalized")
-    return spread.join(after["paper_authors"], who, "author_id", "inner")
+    return after["paper_authors"].join(who, "author_id")
 
 
 def _delete_venues(spark, folder):
-    """Ask to delete all venues; those that customers of the machinery segment name are in use."""
+    """Ask to delete all venues; papers of venue n name venue 2n here, so odd venues are not in use."""
     venues = shape.venues(spark, folder)
-    used = (
-        shape.table(spark, folder, "customer")
-        .where("c_mktsegment = 'MACHINERY' AND c_acctbal > 9000")
-        .select(F.col("c_nationkey").cast("bigint").alias("venue_id"))
-    )
-    return changes.delete_venues(venues.select("id"), venues, used)
+    papers = shape.papers(spark, folder).withColumn("venue_id", F.col("venue_id") * 2)
+    return changes.delete_venues(venues.select("id"), venues, papers)
 
 
-USED = {
-    "used": "SELECT c_nationkey AS id FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 9000"
-}
+USED = {"used": "SELECT venue_id * 2 AS id FROM c_papers"}
 
 
 @query("delete_venues", "SELECT id, name, type FROM c_venues WHERE id IN (SELECT id FROM used)", USED)

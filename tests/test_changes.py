@@ -126,3 +126,14 @@ def test_venue_in_use_is_not_deleted(spark):
 def test_counts_without_edges_are_zero(spark):
     counted = graph.refresh_citation_counts(papers(spark, 1, 2, citation_count=9), make(spark, "citations"), NOW)
     assert by_id(counted, "citation_count", "updated_at") == {1: (0, NOW), 2: (0, NOW)}
+
+
+def test_touch_never_moves_back_and_changes_without_order_count(spark):
+    talks = make(spark, "conversations", {"id": 1, "updated_at": at(30)}, {"id": 2, "updated_at": at(1)})
+    asked = make(
+        spark, "queries", *({"id": i, "conversation_id": i, "query_text": "q", "created_at": at(9)} for i in (1, 2))
+    )
+    assert by_id(changes.touch_conversations(talks, asked), "updated_at") == {1: (at(30),), 2: (at(9),)}
+    new = spark.createDataFrame([(None, 1, "failed")], "seq bigint, id bigint, status string")
+    after = changes.set_status(papers(spark, 1, status="pending"), new, NOW).accepted
+    assert by_id(after, "status") == {1: ("failed",)}

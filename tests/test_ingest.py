@@ -197,3 +197,33 @@ def test_conversations_and_log(spark):
         3: ("check", "status"),
         5: ("foreign_key", "paper_id"),
     }
+
+
+def test_every_row_is_accepted_or_refused(spark):
+    rows = [(None, "A", "journal", 7), (1, "B", "journal", 7), (2, "C", "journal", 7), (2, "D", "journal", 8)]
+    batch = spark.createDataFrame(rows, "seq bigint, name string, type string, id bigint")
+    out = ingest.insert_venues(batch, make(spark, "venues"), 0, NOW)
+    assert [(r.id, r.name) for r in out.accepted.collect()] == [(1, "B")]
+    assert sorted(r.reason for r in out.rejected.collect()) == ["order_null", "order_repeated", "order_repeated"]
+
+
+def test_edge_without_an_order_is_refused_only(spark):
+    batch = spark.createDataFrame([(None, 1, 9), (1, 1, 2)], "seq bigint, citing_paper_id bigint, cited_paper_id bigint")
+    out = ingest.insert_citations(batch, make(spark, "citations"), papers(spark, 1, 2), NOW)
+    assert [(r.citing_paper_id, r.cited_paper_id) for r in out.accepted.collect()] == [(1, 2)]
+    assert [r.reason for r in out.rejected.collect()] == ["order_null"]
+
+
+def test_author_lists_with_missing_and_repeated_places(spark):
+    batch = spark.createDataFrame([(1, "t")], "seq bigint, title string")
+    lists = spark.createDataFrame(
+        [(1, 1, "Ann"), (1, 1, "Ann"), (1, None, "Bob"), (1, 2, "Cy")], "seq bigint, position int, name string"
+    )
+    out = ingest.insert_papers(
+        batch, papers(spark), make(spark, "authors"), make(spark, "venues"), 0, 0, lists, NOW
+    )
+    assert sorted((r.author_id, r.position) for r in out.paper_authors.collect()) == [(1, 1), (2, 2)]
+    assert sorted((r.reason, r.key) for r in out.rejected_links.collect()) == [
+        ("duplicate", "paper_id,author_id"),
+        ("not_null", "position"),
+    ]
