@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -26,3 +30,20 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["id", "title", "citation_count", "author_names"]
     assert df.count() > 0
+
+
+def test_entry_stands_without_the_llm_part():
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("bibliospark.llm"):
+            raise ModuleNotFoundError(name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+from bibliospark.plans.base import QUERIES
+assert e.queries() == QUERIES and set(e.oracle_sql()) == set(QUERIES), "queries differ"
+"""
+    root = Path(__file__).parent.parent
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
