@@ -1,51 +1,80 @@
 """Live conversation activity and processing-log ingest on Structured Streaming.
 
 Both write one folder per micro-batch, named by its number and overwritten
-when the batch is replayed, so a restart repeats no row.
+when the batch is replayed, so a restart repeats no row. A mark is written
+when all of a batch is there; readers see marked batches only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bibliospark.operators.ingest import append_log
 
+# Batches of activity between two snapshots; a reader opens at most so many folders.
+COMPACT_EVERY = 20
+
 
 def watch_conversations(queries: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Keep the time of the newest query of each conversation.
 
-    ``queries`` is a stream with ``conversation_id`` and ``created_at``. The
-    state is one time stamp per conversation; each micro-batch writes the
-    conversations it changed. Runs until all input at hand is read.
+    ``queries`` is a stream with ``conversation_id`` and ``created_at``. A
+    maximum needs no state: each micro-batch writes its own maxima, and every
+    ``COMPACT_EVERY`` batches these are merged into a snapshot. Folders older
+    than the newest snapshot may be deleted. Runs until all input at hand is read.
     """
-    newest = (
-        queries.where(F.col("conversation_id").isNotNull())
-        .groupBy("conversation_id")
-        .agg(F.max("created_at").alias("updated_at"))
-    )
+    spark = queries.sparkSession
 
-    def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        newest = (
+            batch.where(F.col("conversation_id").isNotNull())
+            .groupBy("conversation_id")
+            .agg(F.max("created_at").alias("updated_at"))
+        )
+        newest.write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            merged = _activity(spark, out, batch_id - COMPACT_EVERY, range(batch_id - COMPACT_EVERY + 1, batch_id + 1))
+            merged.write.mode("overwrite").parquet(f"{out}/snapshot/batch={batch_id}")
+        _mark(spark, out, batch_id)
 
     return (
-        newest.writeStream.outputMode("update")
-        .foreachBatch(write)
+        queries.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def read_activity(spark, out: str) -> DataFrame:
-    """The activity written so far: the newest time of each conversation."""
-    changes = spark.read.schema("conversation_id bigint, updated_at timestamp_ntz").parquet(
-        f"{out}/batch=*"
+def _mark(spark: SparkSession, out: str, batch_id: int) -> None:
+    spark.range(1).select(F.lit(batch_id).alias("done")).coalesce(1).write.mode("overwrite").parquet(
+        f"{out}/marks/batch={batch_id}"
     )
-    return changes.groupBy("conversation_id").agg(F.max("updated_at").alias("updated_at"))
+
+
+def _last_mark(spark: SparkSession, out: str) -> int:
+    """The newest batch that is written whole."""
+    return spark.read.parquet(f"{out}/marks").agg(F.max("batch")).first()[0]
+
+
+def _activity(spark: SparkSession, out: str, snapshot: int, batches: Iterable[int]) -> DataFrame:
+    """The maxima over a snapshot, if its number is not negative, and the batches after it."""
+    paths = [f"{out}/changes/batch={n}" for n in batches]
+    if snapshot >= 0:
+        paths.append(f"{out}/snapshot/batch={snapshot}")
+    rows = spark.read.schema("conversation_id bigint, updated_at timestamp_ntz").parquet(*paths)
+    return rows.groupBy("conversation_id").agg(F.max("updated_at").alias("updated_at"))
+
+
+def read_activity(spark: SparkSession, out: str) -> DataFrame:
+    """The activity written so far: the newest time of each conversation."""
+    last = _last_mark(spark, out)
+    snapshot = (last + 1) // COMPACT_EVERY * COMPACT_EVERY - 1
+    return _activity(spark, out, snapshot, range(snapshot + 1, last + 1))
 
 
 def ingest_log(
@@ -89,5 +118,6 @@ def _last_id(spark, out: str, batch_id: int) -> int:
 
 
 def read_log(spark, out: str, part: str = "accepted") -> DataFrame:
-    """The rows of ``accepted`` or ``rejected`` written so far."""
-    return spark.read.option("basePath", f"{out}/{part}").parquet(f"{out}/{part}").drop("batch")
+    """The rows of ``accepted`` or ``rejected`` in batches that are written whole."""
+    rows = spark.read.option("basePath", f"{out}/{part}").parquet(f"{out}/{part}")
+    return rows.where(F.col("batch") <= _last_mark(spark, out)).drop("batch")

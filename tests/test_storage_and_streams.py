@@ -32,7 +32,9 @@ def test_kept_rows_lie_in_the_shared_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_activity_over_several_runs(spark, tmp_path):
+@pytest.mark.parametrize("every", [1, 2, 20])
+def test_activity_over_several_runs(spark, tmp_path, monkeypatch, every):
+    monkeypatch.setattr(feeds, "COMPACT_EVERY", every)
     schema = "conversation_id bigint, created_at timestamp_ntz"
     source, out, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
 
@@ -44,6 +46,11 @@ def test_activity_over_several_runs(spark, tmp_path):
 
     assert run((1, at(3)), (1, at(5)), (2, at(1)), (None, at(9))) == {1: at(5), 2: at(1)}
     assert run((1, at(4)), (3, at(2))) == {1: at(5), 2: at(1), 3: at(2)}
+    assert run((2, at(8))) == {1: at(5), 2: at(8), 3: at(2)}
+    # a batch without a mark is not there yet
+    stray = spark.createDataFrame([(1, at(59))], "conversation_id bigint, updated_at timestamp_ntz")
+    stray.write.parquet(f"{out}/changes/batch=3")
+    assert {r.conversation_id: r.updated_at for r in feeds.read_activity(spark, out).collect()}[1] == at(5)
 
 
 def test_log_stream_numbers_on_and_splits_off_rejects(spark, tmp_path):
