@@ -11,6 +11,8 @@ corpus; the pieces stay distributed and look their places up in the plan.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -32,51 +34,102 @@ PATTERN_WASTE = 8
 #: Second and third lengths tried for each first length.
 PARTNERS = 24
 FIT_STEPS = 400
-#: Words whose ids a task remembers; at the bound it starts anew.
-REMEMBERED_WORDS = 200_000
+#: Runs of letters whose ids a task remembers, up to this length; at the bound it starts anew.
+REMEMBERED_RUNS = 300_000
 REMEMBERED_LENGTH = 64
+#: Characters of text that are split before new runs are merged.
+PART = 1_000_000
 
 PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 
 
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: itself if it prints, else one from 256 on."""
+    printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in printing)
+    return {b: chr(b) for b in printing} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordIds:
     """Token ids of texts, as little-endian bytes.
 
-    The vocabulary never joins what a space or a line break parts, so a text's
-    ids are those of its words in a row, and words recur.
+    The vocabulary first splits a text into lower-case runs of letters, digits
+    and other signs, and a run's ids do not depend on its neighbours. Texts are
+    split here in the same way, runs that recur are remembered, and the
+    tokenizer merges each new run once, many at a time. Only characters whose
+    lower case, kind and bytes are beyond doubt are split here; a word with any
+    other goes through the whole tokenizer.
     """
 
+    #: The vocabulary's own split, for the characters below.
+    RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t\n\ra-z0-9\xdf-\xf6\xf8-\xff]+")
+    #: Anything but printing ASCII, plain white space, Latin-1 letters and a few signs.
+    OTHER = re.compile(r"[^ \t\n\r\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff\xa1\xab\xbb\xbf]")
+
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.tokenizer.encode_special_tokens = True
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.merges = Tokenizer(self.whole.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        for i in range(0, len(words), 10_000):
-            some = words[i : i + 10_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            yield from ((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
-
-    def of(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self.known]
-        long = {w for w in new if len(w) > REMEMBERED_LENGTH}
-        if len(self.known) + len(new) > REMEMBERED_WORDS:
+    def _runs(self, text: str) -> list[str]:
+        """The runs of a text; a word with an unusual character is one entry, marked by a space before it."""
+        if not self.OTHER.search(text):
+            return self.RUNS.findall(text.lower())
+        out = []
+        for word in text.replace("\n", " ").split(" "):
+            out += [" " + word] if self.OTHER.search(word) else self.RUNS.findall(word.lower())
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        unusual = [r for r in new if r[0] == " "]
+        for at in range(0, len(unusual), 1_000):
+            some = unusual[at : at + 1_000]
+            for run, found in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[run] = np.array(found.ids, "<u4").tobytes()
+        plain = [r for r in new if r[0] != " "]
+        for at in range(0, len(plain), 1_000):
+            some = plain[at : at + 1_000]
+            mapped = " ".join(r.encode().decode("latin-1").translate(self.letters) for r in some)
+            found = self.merges.encode(mapped, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(found.word_ids), np.arange(len(some)), side="right").tolist()
+            for run, begin, end in zip(some, [0, *ends], ends):
+                self.known[run] = ids[4 * begin : 4 * end]
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; null and empty texts have none."""
+        runs = [self._runs(t) if t else [] for t in texts]
+        wanted = set().union(*runs)
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED_RUNS:
             self.known = {}
-            new = list(set(words))
-        self.known.update(self._encode(new))
-        ids = b"".join(map(self.known.__getitem__, words))
-        for word in long:
-            del self.known[word]
+            new = wanted
+        self._learn(sorted(new))
+        ids = [b"".join(map(self.known.__getitem__, r)) for r in runs]
+        for run in new:
+            if len(run) > REMEMBERED_LENGTH:
+                del self.known[run]
         return ids
 
 
+def _in_parts(encoder: WordIds, texts: list[str | None]) -> Iterator[bytes]:
+    """The ids of many texts, about a million characters at a time."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text or "")
+        if held > PART:
+            yield from encoder.of(part)
+            part, held = [], 0
+    yield from encoder.of(part)
+
+
 def tokenize_pieces(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID
 ) -> DataFrame:
@@ -91,8 +144,8 @@ def tokenize_pieces(
         encoder = WordIds(tokenizer_path)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                ids = (encoder.of(text.as_py()) if text.is_valid else b"") + end
+            for i, found in enumerate(_in_parts(encoder, batch.column("text").to_pylist())):
+                ids = found + end
                 for n, at in enumerate(range(0, len(ids), size)):
                     own = ids[at : at + size]
                     row.append(i)
