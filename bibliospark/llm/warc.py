@@ -2,7 +2,8 @@
 
 Writing: pages with equal payloads are stored once. The page with the largest
 id is a response record, the others are revisit records that refer to it. Each
-task writes the records of its pages as plain WARC files.
+task writes the records of its pages as gzip-compressed WARC files; offsets and
+lengths in the index count in the uncompressed archive.
 
 Reading: each archive is parsed by one task, checked against its digests and
 turned into index entries sorted by URL key, time and page id, a sorted run.
@@ -14,6 +15,7 @@ whole collection in order, each URL's history together.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from bisect import bisect_left
@@ -36,7 +38,7 @@ FIRST_CAPTURE = 1_600_000_000
 CAPTURE_SPAN = 1_000_000_000
 #: Records in one archive file.
 RECORDS_PER_FILE = 4_096
-#: Index entries that one task merges, and keys from which splitters are chosen.
+#: Index entries that one task merges, and about how many keys splitters are chosen from, drawn by hash.
 ENTRIES_PER_RANGE = 50_000
 SAMPLED_KEYS = 20_000
 
@@ -133,7 +135,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write the pages as WARC files below ``path``; the text writer adds the record ends."""
     out = records(pages, min_bytes).write.option("lineSep", RECORD_END)
-    out.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out.option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -208,7 +210,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                found = pa.array(entries_of(name, content.as_buffer().to_pybytes()), ENTRY)
+                found = pa.array(entries_of(name, gzip.decompress(content.as_buffer())), ENTRY)
                 yield pa.RecordBatch.from_struct_array(found)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
@@ -258,10 +260,12 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     count per range.
     """
     spark = runs.sparkSession
-    ranges = buckets_for(runs.count(), ENTRIES_PER_RANGE)
+    entries = runs.count()
+    ranges = buckets_for(entries, ENTRIES_PER_RANGE)
     key = ("urlkey", "captured", "page_id", "archive", "offset")
-    sample = runs.select(*key).orderBy(F.xxhash64(*key)).limit(SAMPLED_KEYS if ranges > 1 else 0)
-    keys = sorted(order_of(r.asDict()) for r in sample.collect())
+    drawn = F.shiftrightunsigned(F.xxhash64(*key), 32) < int((1 << 32) * min(1.0, SAMPLED_KEYS / max(1, entries)))
+    sample = runs.select(*key).where(drawn).collect() if ranges > 1 else []
+    keys = sorted(order_of(r.asDict()) for r in sample)
     splitters = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
     chunk_type = pa.list_(ENTRY)
 
