@@ -20,7 +20,7 @@ from every text.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,12 +36,15 @@ LENGTH = 200
 #: Bytes of a trigger string.
 TRIGGER = 64
 #: Texts are hashed together in buffers of about this size; longer texts in pieces of at most PIECE bytes.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 PIECE = 1 << 22
 #: Dictionary bytes sorted together, and most distinct phrases of a trigger string that are.
-DICTIONARY_BYTES = 1_500_000
+DICTIONARY_BYTES = 1_000_000
 MOST_PHRASES = 8_000
 
+#: Texts that a task has uncompressed at once when it cuts them.
+ROWS_AT_ONCE = 500
+
 #: Odd multipliers, fixed so that hashes agree everywhere.
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xFF51AFD7ED558CCD
@@ -120,7 +123,7 @@ def parse(data: np.ndarray, lengths: np.ndarray, length: int, trigger: int) -> t
     )
 
 
-def parse_texts(texts: list[bytes], length: int, trigger: int) -> Iterator[tuple[np.ndarray, ...]]:
+def parse_texts(texts: Iterable[bytes], length: int, trigger: int) -> Iterator[tuple[np.ndarray, ...]]:
     """:func:`parse` over buffers of texts; the first array counts through ``texts``."""
     pieces: list[tuple[int, int, bytes]] = []
 
@@ -151,7 +154,7 @@ def phrases(docs: DataFrame, length: int, trigger: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")]
+            texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text"))
             for text, start, n, at, phrase in parse_texts(texts, length, trigger):
                 row = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
@@ -287,7 +290,7 @@ def _dictionary(docs: DataFrame, contested: DataFrame, length: int) -> DataFrame
     joined = texts.join(wanted, _same_document(texts, wanted)).select("packed", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, len(b), ROWS_AT_ONCE)):
             rows, strings = [], []
             for packed, asked in zip(batch.column("packed"), batch.column("wanted").to_pylist()):
                 text = _unpack(packed)
@@ -361,7 +364,7 @@ def remove_repeats(
     joined = texts.join(listed, _same_document(texts, listed), "left").select(texts["doc_id"], "packed", "hits")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, len(b), ROWS_AT_ONCE)):
             sizes, spans, kept = [], [], []
             for packed, hits in zip(batch.column("packed"), batch.column("hits").to_pylist()):
                 text = _unpack(packed)
