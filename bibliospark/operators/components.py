@@ -4,8 +4,9 @@ Alternating large-star and small-star steps (Kiveris, Lattanzi, Mirrokni,
 Rastogi and Vassilvitskii, "Connected components in MapReduce and beyond",
 2014) turn every component into a star around its smallest node. Each step is
 a minimum per node, combined before the shuffle, and a join, so a node with
-very many neighbours is no task of its own. Before the first round, each batch
-of edges is replaced by stars that join the same nodes.
+very many neighbours is no task of its own. Before the first round, some
+edges at a time are replaced by stars that join the same nodes, which settles
+a small graph at once.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from bibliospark.sources.durable import keep
 
 
+#: Nodes that a task holds while it thins edges.
+THINNED_NODES = 200_000
+
+
 class Forest:
     """Disjoint sets over values that are numbered as they come."""
 
@@ -45,18 +50,34 @@ class Forest:
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars in place of each batch of edges: every node with the smallest that its edges reach."""
-    for batch in batches:
-        forest = Forest()
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            forest.join(a, b)
+    """Stars in place of some edges at a time: every node with the smallest that these edges reach."""
+
+    def stars(forest: Forest) -> pa.RecordBatch:
         nodes = np.array(list(forest.number), dtype=np.int64)
         roots = np.array([forest.find(n) for n in forest.number], dtype=np.int64)
         least = np.full(len(nodes), np.iinfo(np.int64).max)
         np.minimum.at(least, roots, nodes)
         low = least[roots] if len(nodes) else nodes
         apart = nodes != low
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(low[apart])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(low[apart])], ["a", "b"])
+
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            forest.join(a, b)
+        if len(forest.number) > THINNED_NODES:
+            yield stars(forest)
+            forest = Forest()
+    yield stars(forest)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is a centre or has one edge, up to a centre."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
 
 
 def _mirrored(edges: DataFrame) -> DataFrame:
@@ -87,16 +108,11 @@ def connected_components(edges: DataFrame, first: str = "a", second: str = "b")
     pairs = edges.select(F.col(first).cast("long").alias("a"), F.col(second).cast("long").alias("b"))
     pairs = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     loops = pairs.where(F.col("a") == F.col("b")).select("a").distinct()
-    thin = pairs.where(F.col("a") != F.col("b")).mapInArrow(_thin, "a long, b long")
-    current, seen = keep(thin, "edges"), None
-    while True:
+    # small partitions are put together first, so that few edges are thinned as one
+    apart = pairs.where(F.col("a") != F.col("b")).hint("rebalance")
+    current = keep(apart.mapInArrow(_thin, "a long, b long"), "edges")
+    while not _are_stars(current):
         current = keep(_small_star(_large_star(current)), "stars")
-        state = current.agg(
-            F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-        if state == seen:
-            break
-        seen = state
     roots = current.select(F.col("b").alias("a")).distinct()
     alone = roots.unionByName(loops.join(current.select("a"), "a", "left_anti")).distinct()
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("component"))

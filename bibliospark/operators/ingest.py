@@ -13,6 +13,7 @@ without such columns all rows get the batch time.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from bibliospark.operators import spread
 from bibliospark.operators.changes import touch_conversations
 from bibliospark.operators.ids import assign_ids
 from bibliospark.operators.outcomes import (
+    Links,
     Outcome,
     PapersOutcome,
     QueriesOutcome,
@@ -176,14 +178,24 @@ def insert_papers(
     rows, ids, verdicts = _insert(
         batch, "papers", order, above_papers, now, papers, {"venues": venues}
     )
-    added = _finish(rows, "papers", now)
-    spark = batch.sparkSession
+    link = partial(_link_authors, ids, authors, above_authors, author_lists, now, order)
+    return PapersOutcome(_finish(rows, "papers", now), _rejects(verdicts, order), link)
+
+
+def _link_authors(
+    ids: DataFrame,
+    authors: DataFrame,
+    above: int,
+    author_lists: DataFrame | None,
+    now: datetime | None,
+    order: str,
+) -> Links:
+    """Resolve the author lists of accepted papers (``ids``) to authors and links."""
     if author_lists is None:
-        return PapersOutcome(
-            added,
+        spark = authors.sparkSession
+        return Links(
             spark.createDataFrame([], TABLES["authors"]),
             spark.createDataFrame([], TABLES["paper_authors"]),
-            _rejects(verdicts, order),
             spark.createDataFrame([], f"{order} bigint, position int, reason string, key string"),
         )
     paper_ids = ids.select(order, F.col("id").alias("paper_id"))
@@ -192,7 +204,7 @@ def insert_papers(
     listed = keep(numbered, "author-lists").join(paper_ids, order)
     lacking = F.when(F.col("name").isNull(), "name").when(F.col("position").isNull(), "position")
     resolved = resolve_authors(
-        listed.where(lacking.isNull()), authors, above_authors, now, (order, "position", "_mention")
+        listed.where(lacking.isNull()), authors, above, now, (order, "position", "_mention")
     )
     links = resolved.mentions.select(
         order, "paper_id", "author_id", F.col("position").cast("int"), "_mention"
@@ -207,11 +219,9 @@ def insert_papers(
     nameless = listed.where(lacking.isNotNull()).select(
         order, F.col("position").cast("int"), F.lit("not_null").alias("reason"), lacking.alias("key")
     )
-    return PapersOutcome(
-        added,
+    return Links(
         resolved.added,
         bridge.select("paper_id", "author_id", "position"),
-        _rejects(verdicts, order),
         repeats.unionByName(nameless),
     )
 
