@@ -1,9 +1,10 @@
 """Secrets in texts, told apart by how many repositories and owners share them.
 
 Every candidate is hashed. Per hash, the distinct repositories and owners that
-hold it are counted over the whole corpus: a value that many owners carry is a
-copied example, one that stays with a single owner and looks random is taken
-for live. Assignments, access keys and long hex runs are always reported; the
+hold it are counted over the distinct texts of the corpus, so that a document
+copied to another source adds none: a value that many owners and repositories
+carry is a copied example, one that stays with few owners and looks random is
+taken for live. Assignments, access keys and long hex runs are always reported; the
 corpus decides which of them are live, and which further random-looking tokens
 are reported besides.
 """
@@ -34,8 +35,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 MIN_ASSIGNED = 6
 
-#: A value in more owners than this is a copied example.
-MAX_OWNERS = 1
+#: A value in more owners and more repositories than this is a copied example.
+MAX_OWNERS = 2
 #: Bits per character, and kinds of characters, from which a value looks live.
 MIN_BITS = 3.0
 MIN_CLASSES = 2
@@ -114,19 +115,37 @@ def find_candidates(docs: DataFrame, text_col: str = "text", keep_text: bool = F
     return replace_column(docs, text_col, "candidates", CANDIDATES, scan, ARROW_CANDIDATES, keep_text)
 
 
-def ownership(found: DataFrame, owner_col: str, repository_cols: list[str]) -> DataFrame:
+def ownership(found: DataFrame, owner_col: str, repository_cols: list[str], max_owners: int = MAX_OWNERS) -> DataFrame:
     """Per candidate hash the number of distinct ``owners`` and ``repositories``.
 
-    Rows are reduced to distinct (hash, owner, repository) in the tasks that
-    read them, so a value that fills a third of the corpus costs a few rows.
+    Copies of a text, rows with the same ``_text_hash``, count as one owner and
+    repository, the least of theirs; but a text that more than ``max_owners``
+    owners hold is itself public, and all of them count. Rows are reduced to
+    distinct ones in the tasks that read them, so a value that fills a third of
+    the corpus costs a few rows.
     """
+    repository = F.struct(*repository_cols).alias("repository")
+    held = found.select("_text_hash", F.col(owner_col).alias("owner"), repository)
+    per_owner = held.groupBy("_text_hash", "owner").agg(F.min("repository").alias("repository"))
+    texts = per_owner.groupBy("_text_hash").agg(
+        F.count("*").alias("_holders"), F.min(F.struct("owner", "repository")).alias("_least")
+    )
+    # stored, so that the join with the candidates of a heavy text can be split
+    texts = keep(texts, "secret-texts")
     seen = found.select(
-        F.explode("candidates.hash").alias("hash"), F.col(owner_col).alias("owner"), F.struct(*repository_cols).alias("repository")
+        F.explode("candidates.hash").alias("hash"), "_text_hash", F.col(owner_col).alias("owner"), repository
     ).distinct()
-    per_owner = seen.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    return per_owner.groupBy("hash").agg(
-        F.count("*").alias("owners"), F.sum("repositories").alias("repositories")
+    public = F.col("_holders") > max_owners
+    counted = seen.join(texts, "_text_hash").select(
+        "hash",
+        F.when(public, F.col("owner")).otherwise(F.col("_least.owner")).alias("owner"),
+        F.when(public, F.col("repository")).otherwise(F.col("_least.repository")).alias("repository"),
+    )
+    repositories = counted.groupBy("hash", "repository").agg(F.lit(1).alias("_one")).groupBy("hash").agg(
+        F.count("*").alias("repositories")
     )
+    owners = counted.groupBy("hash", "owner").agg(F.lit(1).alias("_one")).groupBy("hash").agg(F.count("*").alias("owners"))
+    return owners.join(repositories, "hash").select("hash", "owners", "repositories")
 
 
 def _listed(spans: Column) -> Column:
@@ -149,29 +168,29 @@ def scan_secrets(
 
     ``spans`` is an array of (kind, start, end, owners, repositories, verdict),
     sorted by start, then kind; positions count code points. ``verdict`` is
-    ``live`` (at most ``max_owners`` owners, and looks random), ``copied``
-    (more owners) or ``plain``. Further tokens are spans only if live. A null
-    or empty text has no spans. A null owner counts as one owner. Repeated rows
-    are kept; they add no owner. Columns of ``docs`` named ``candidates`` or
-    ``spans`` are dropped.
+    ``copied`` (more than ``max_owners`` owners and as many repositories, see
+    ``ownership``), else ``live`` (looks random) or ``plain``. Further tokens
+    are spans only if live. A null or empty text has no spans. A null owner
+    counts as one owner. Repeated rows are kept; they add no owner. Columns of
+    ``docs`` named ``candidates``, ``spans`` or ``_text_hash`` are dropped.
 
     Documents without candidates take no part in the shuffles: their rows are
     passed on as they are. The scan is done once and stored, but with
     ``keep_text``, when rows are wide, only rows with candidates are stored and
     the others are scanned again.
     """
-    clash = [c for c in ("candidates", "spans") if c in docs.columns]
-    found = find_candidates(docs.drop(*clash), text_col, keep_text)
+    clash = [c for c in ("candidates", "spans", "_text_hash") if c in docs.columns]
+    hashed = docs.drop(*clash).withColumn("_text_hash", F.xxhash64(text_col))
+    found = find_candidates(hashed, text_col, keep_text)
     if not keep_text:
         found = keep(found, "secret-candidates")
-    columns = [c for c in found.columns if c != "candidates"]
+    columns = [c for c in found.columns if c not in ("candidates", "_text_hash")]
     # stored, the key of a row stays the same however often the rows are read
     keyed = found.where(F.size("candidates") > 0).withColumn("_row", F.monotonically_increasing_id())
     keyed = keep(keyed, "secret-rows")
-    counts = ownership(keyed, owner_col, list(repository_cols))
-    verdict = (
-        F.when(F.col("owners") > max_owners, "copied").when(F.col("live_looking"), "live").otherwise("plain")
-    )
+    counts = ownership(keyed, owner_col, list(repository_cols), max_owners)
+    copied = (F.col("owners") > max_owners) & (F.col("repositories") > max_owners)
+    verdict = F.when(copied, "copied").when(F.col("live_looking"), "live").otherwise("plain")
     judged = (
         keyed.select("_row", F.inline("candidates"))
         .join(counts, "hash")

@@ -48,6 +48,21 @@ def test_owners_tell_copies_from_live_secrets(spark):
     assert masked[10] == "mine [SECRET] é [SECRET]" and masked[0] == rows[0][1] and masked[12] is None
 
 
+def test_a_document_copied_to_another_source_keeps_its_secret(spark):
+    other = "Qa7Zt3Xw9Ke5Vb1Nm8Ry4Lp6"
+    rows = [(i, f"mine {LIVE} and token={LIVE[2:]}", "en", f"owner{i}") for i in range(2)]
+    rows += [(5, f"mine {LIVE}, edited", "en", "owner0")]  # a third text, but no third owner
+    rows += [(10 + i, f"text {i} {other}", "en", f"owner{i % 2}") for i in range(4)]
+    rows += [(20 + i, f"example {i} password={other[::-1]}", "en", f"owner{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r.spans for r in secrets.scan_secrets(docs).collect()}
+    assert [[(s.kind, s.owners, s.verdict) for s in found[i]] for i in (0, 1)] == [[(3, 1, "live"), (0, 1, "live")]] * 2
+    assert all([(s.owners, s.verdict) for s in found[10 + i]] == [(2, "live")] for i in range(4))
+    assert all([(s.owners, s.repositories, s.verdict) for s in found[20 + i]] == [(3, 3, "copied")] for i in range(3))
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert masked[0] == masked[1] == "mine [SECRET] and [SECRET]" and masked[20] == rows[-3][1]
+
+
 def test_overlapping_spans_become_one_mask(spark):
     text = 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b'
     docs = spark.createDataFrame([(1, text, "en", "s", 9)], "doc_id long, text string, lang string, source string, spans int")
