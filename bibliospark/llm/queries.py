@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliospark.llm import maxscore, mixing, packing, repeats, repetition, secrets, sharding, simhash, toxicity, warc
+from bibliospark.llm import (
+    maxscore,
+    mixing,
+    negatives,
+    packing,
+    rangemax,
+    refinement,
+    repeats,
+    repetition,
+    secrets,
+    sharding,
+    simhash,
+    toxicity,
+    warc,
+)
 from bibliospark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,3 +202,82 @@ def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return secrets.digest(secrets.scan_secrets(docs))
+
+
+@query(
+    "op11_angular_negatives",
+    """
+    WITH rows AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS t
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT a.vec_id AS anchor_id, o.vec_id AS id, a.label = o.label AS alike, list_inner_product(a.t, o.t)::BIGINT AS score
+        FROM rows a JOIN rows o ON a.vec_id <> o.vec_id WHERE a.vec_id % 50 = 0
+    ), positives AS (
+        SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+    )
+    SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+        SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    ) WHERE rank <= 3
+    """,
+)
+def op11_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
+@query(
+    "op12_range_maxima",
+    r"""
+    WITH words AS (
+        SELECT doc_id, r, unnest(regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents)
+    ), lengths AS (
+        SELECT doc_id, r, count(*) AS n FROM words GROUP BY ALL
+    ), totals AS (
+        SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths
+    ), held AS (
+        SELECT r, term, count(*) AS tf FROM words GROUP BY ALL
+    ), weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM held, totals GROUP BY term
+    ), asked AS (
+        SELECT item_id, unnest(regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ), scored AS (
+        SELECT item_id, r, doc_id,
+               sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+        FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (r), totals
+        GROUP BY item_id, r, doc_id
+    )
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 20
+    """,
+)
+def op12_range_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangemax.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op13_refined_copies",
+    """
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
+           sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+)
+def op13_refined_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return refinement.find_copies(docs, every_digest=True)

@@ -39,4 +39,4 @@ def test_query_covers_its_table(spark, name):
 def test_all_are_registered():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 14))
