@@ -16,6 +16,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ PATTERN_WASTE = 8
 #: Second and third lengths tried for each first length.
 PARTNERS = 24
 FIT_STEPS = 400
-#: Runs of letters whose ids a task remembers, up to this length; at the bound it starts anew.
-REMEMBERED_RUNS = 300_000
+#: Runs of letters whose ids a worker remembers, up to this length; at the bound it starts anew.
+REMEMBERED_RUNS = 500_000
 REMEMBERED_LENGTH = 64
 #: Characters of text that are split before new runs are merged.
 PART = 1_000_000
@@ -58,7 +59,8 @@ class WordIds:
     split here in the same way, runs that recur are remembered, and the
     tokenizer merges each new run once, many at a time. Only characters whose
     lower case, kind and bytes are beyond doubt are split here; a word with any
-    other goes through the whole tokenizer.
+    other goes through the whole tokenizer. The vocabulary's special tokens are
+    cut out of a text before anything else, as the tokenizer does.
     """
 
     #: The vocabulary's own split, for the characters below.
@@ -71,14 +73,19 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        special = self.whole.get_added_tokens_decoder()
+        self.special = {token.content: np.array([i], "<u4").tobytes() for i, token in special.items()}
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special)) + ")")
         self.merges = Tokenizer(self.whole.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = dict(self.special)
 
     def _runs(self, text: str) -> list[str]:
         """The runs of a text; a word with an unusual character is one entry, marked by a space before it."""
+        if any(t in text for t in self.special):
+            pieces = self.cut.split(text)
+            return [r for p in pieces for r in ([p] if p in self.special else self._runs(p))]
         if not self.OTHER.search(text):
             return self.RUNS.findall(text.lower())
         out = []
@@ -95,7 +102,9 @@ class WordIds:
         plain = [r for r in new if r[0] != " "]
         for at in range(0, len(plain), 1_000):
             some = plain[at : at + 1_000]
-            mapped = " ".join(r.encode().decode("latin-1").translate(self.letters) for r in some)
+            mapped = " ".join(some)
+            if not mapped.isascii():
+                mapped = " ".join(r.encode().decode("latin-1").translate(self.letters) for r in some)
             found = self.merges.encode(mapped, add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
             ends = np.searchsorted(np.array(found.word_ids), np.arange(len(some)), side="right").tolist()
@@ -105,17 +114,25 @@ class WordIds:
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none."""
         runs = [self._runs(t) if t else [] for t in texts]
-        wanted = set().union(*runs)
-        new = wanted.difference(self.known)
+        found = [list(map(self.known.get, r)) for r in runs]
+        missing = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        new = {r[i] for r, at in zip(runs, missing) for i in at}
         if len(self.known) + len(new) > REMEMBERED_RUNS:
-            self.known = {}
-            new = wanted
+            self.known = dict(self.special)
         self._learn(sorted(new))
-        ids = [b"".join(map(self.known.__getitem__, r)) for r in runs]
+        for r, f, at in zip(runs, found, missing):
+            for i in at:
+                f[i] = self.known[r[i]]
         for run in new:
             if len(run) > REMEMBERED_LENGTH:
                 del self.known[run]
-        return ids
+        return [b"".join(f) for f in found]
+
+
+@cache
+def encoder_for(path: str) -> WordIds:
+    """One encoder for all tasks of a worker process, so that runs are remembered from task to task."""
+    return WordIds(path)
 
 
 def _in_parts(encoder: WordIds, texts: list[str | None]) -> Iterator[bytes]:
@@ -141,7 +158,7 @@ def tokenize_pieces(
     end, size = np.array([end_id], "<u4").tobytes(), 4 * sequence
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, found in enumerate(_in_parts(encoder, batch.column("text").to_pylist())):

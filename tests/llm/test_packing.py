@@ -16,17 +16,17 @@ PATH = public_tokenizers.path(packing.TOKENIZER)
 
 
 def whole() -> Tokenizer:
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_the_tokenizers():
     rng = random.Random(2)
     letters = "abcXYZéÉßüñ 's't're  \n\t\r.,!-_#'\"0123456789½²ªµº中文字🙂İıΣς́ \u0085  <|endoftext|>'ll'VE¡¿«»×÷"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(50))) for _ in range(2_000)]
-    texts += ["", "x" * 5_000, "<|endoftext|>"]
-    wanted = [np.array(whole().encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    texts += ["", "x" * 5_000, "<|endoftext|>", "a <|endoftext|> b", "A<|startoftext|><|endoftext|>e\u0301 <|EndOfText|>"]
+    texts += ["\t tab\tand\x0bother\x1cwhite\u2003space \r\n", "İ<|endoftext|>\u0301x", "<|endoftext|" + "y" * 70 + "|>"]
+    tokenizer = whole()
+    wanted = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert packing.WordIds(PATH).of(texts) == wanted
 
 
