@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, made longer until none of the tables has a column of that name in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def buckets_for(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     """How many buckets hold ``rows`` rows."""
     return max(1, -(-rows // per_bucket))

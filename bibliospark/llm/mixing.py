@@ -17,7 +17,8 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from bibliospark.llm.common import WORD, buckets_for
+from bibliospark.llm.common import WORD, buckets_for, fresh
+from bibliospark.operators.ids import assign_ids
 from bibliospark.sources.durable import keep
 
 #: Weights of the sources in their order, repeated as often as needed.
@@ -237,31 +238,52 @@ def mix(
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
-    """One row per copy with its ``position``, range-sorted by it."""
-    return (
-        mixed.withColumn("position", F.explode("positions"))
-        .drop("positions")
-        .orderBy("position", "source", "doc_id")
-    )
+    """One row per copy with its ``position`` and ``place``, its number in training order from 0, without gaps.
+
+    Copies are sorted over range partitions by position, then source, id and
+    what else a row holds, and numbered there; only partitions' sizes meet in one place.
+    """
+    copies = mixed.withColumn("position", F.explode("positions")).drop("positions")
+    rest = [c for c in copies.columns if c not in ("position", "source", "doc_id")]
+    placed = assign_ids(copies, ["position", "source", "doc_id", *rest], -1)
+    return placed.withColumnRenamed("id", "place")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, in training order; columns stay as they are.
 
-    Rows are planned without their texts and meet them once, by id and a hash
-    of the text. Of rows alike in both, one stands for all and comes as often
-    as they together.
+    Rows are planned without their texts: only an id, a hash of the text and
+    positions are sorted and summed. Texts are moved twice, to meet their
+    positions and to be sorted by them. Of rows alike in id and text, one
+    stands for all and comes as often as they together.
     """
-    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
-    planned = mix(hashed, id_col, text_col, keep_cols=("_hash",), **how)
-    places = planned.where("copies > 0").groupBy("doc_id", F.col("_hash").alias("_same")).agg(
-        F.flatten(F.collect_list("positions")).alias("positions"), F.first("source").alias("_source")
+    same, nth, position, order = (fresh(c, docs) for c in ("text_hash", "nth", "position", "mix_source"))
+    narrow = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(text_col).alias("text"),
+        F.col(how.get("source_col", "source")).alias("source"),
+        F.xxhash64(text_col).alias("hash"),
+    )
+    planned = mix(narrow, keep_cols=("hash",), **{k: v for k, v in how.items() if k != "source_col"})
+    # a null id is its own key: ids are joined as a value and whether there is one
+    id_of, has_id = fresh("id_value", docs), fresh("has_id", docs)
+    blank = F.lit(0).cast(docs.schema[id_col].dataType)
+    places = (
+        planned.where("copies > 0")
+        .groupBy("doc_id", "hash")
+        .agg(F.flatten(F.collect_list("positions")).alias(position), F.min("source").alias(order))
+        .select(
+            F.coalesce("doc_id", blank).alias(id_of), F.col("doc_id").isNotNull().alias(has_id),
+            F.col("hash").alias(same), position, order,
+        )
     )
-    same = Window.partitionBy(id_col, "_hash").orderBy(F.lit(0))
-    once = hashed.withColumn("_n", F.row_number().over(same)).where("_n = 1")
-    joined = once.join(
-        places.withColumnRenamed("doc_id", "_id"),
-        once[id_col].eqNullSafe(F.col("_id")) & (once["_hash"] == F.col("_same")),
+    key = [id_of, has_id, same]
+    wide = (
+        docs.withColumn(id_of, F.coalesce(F.col(id_col), blank))
+        .withColumn(has_id, F.col(id_col).isNotNull())
+        .withColumn(same, F.xxhash64(text_col))
     )
-    copies = joined.withColumn("_position", F.explode("positions"))
-    return copies.orderBy("_position", "_source", "_id").select(*docs.columns)
+    # numbered by the key of the join, so that both need one shuffle
+    once = wide.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where(F.col(nth) == 1)
+    copies = once.join(keep(places, "mix-places"), key).withColumn(position, F.explode(position))
+    return copies.orderBy(position, order, id_of, same).select(*docs.columns)

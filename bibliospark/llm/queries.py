@@ -24,6 +24,7 @@ from bibliospark.llm import (
     warc,
 )
 from bibliospark.llm.common import table
+from bibliospark.sources.durable import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,9 +154,12 @@ def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_curriculum_mix")
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    first = F.array_min("positions").alias("first_position")
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", first)
+    docs = table(spark, sf_dir, "documents").withColumn("row", F.monotonically_increasing_id())
+    mixed = keep(mixing.mix(docs, keep_cols=("row",)), "mixed")
+    places = mixing.in_training_order(mixed.select("doc_id", "source", "row", "positions"))
+    first = places.groupBy("row").agg(F.min("position").alias("first_position"), F.min("place").alias("first_place"))
+    whole = mixed.join(first, "row", "left")
+    return whole.select("doc_id", "size", "source_size", "target", "taken", "first_position", "first_place")
 
 
 @query("op7_severity_grades")

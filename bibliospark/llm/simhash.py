@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibliospark.llm.common import replace_column
+from bibliospark.llm.common import fresh, replace_column
 from bibliospark.operators.components import connected_components
 from bibliospark.sources.durable import keep
 
@@ -249,13 +249,14 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A null id comes after all others. Of rows with the same id and text one stays.
     """
-    key = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("_text_hash"))
-    found = near_duplicates(key, id_col, text_col, **near)
-    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("_id"), "_text_hash")
-    first = found.groupBy("component").agg(F.min(order).alias("first")).select("first._id", "first._text_hash")
-    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
-    kept = hashed.join(
-        first, hashed[id_col].eqNullSafe(first["_id"]) & (hashed["_hash"] == first["_text_hash"]), "left_semi"
-    )
-    same = Window.partitionBy(id_col, "_hash").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+    mine, nth = fresh("text_hash", docs), fresh("nth", docs)
+    key = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    found = near_duplicates(key, "id", "text", **near)
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "hash")
+    first = found.groupBy("component").agg(F.min(order).alias("first"))
+    first = first.select(F.col("first.id").alias(fresh("id", docs)), F.col("first.hash").alias(fresh("hash", docs)))
+    of_first = [first[c] for c in first.columns]
+    hashed = docs.withColumn(mine, F.xxhash64(text_col))
+    kept = hashed.join(first, F.col(id_col).eqNullSafe(of_first[0]) & (F.col(mine) == of_first[1]), "left_semi")
+    same = Window.partitionBy(id_col, mine).orderBy(F.lit(0))
+    return kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)

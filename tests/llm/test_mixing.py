@@ -74,8 +74,21 @@ def test_documents_come_in_order_as_often_as_taken(spark):
     assert {i: n for i, n in copies.items() if n} == {
         i: sum(r.doc_id == i for r in rows) for i in {r.doc_id for r in rows}
     }
-    positions = mixing.in_training_order(mixing.mix(docs)).select("position").collect()
-    assert [p[0] for p in positions] == sorted(p[0] for p in positions)
+    ordered = mixing.in_training_order(mixing.mix(docs)).orderBy("place").collect()
+    assert [r.place for r in ordered] == list(range(len(rows)))
+    assert [r.position for r in ordered] == sorted(r.position for r in ordered)
+    assert [r.doc_id for r in ordered] == [r.doc_id for r in rows]
+
+
+def test_other_columns_stay_as_they_are(spark):
+    extra = ("text_hash", "nth", "position", "mix_source", "id_value", "has_id", "_hash", "_n", "size", "target")
+    rows = [(i, f"some words {i % 4}", "s", *[f"{c}{i}" for c in extra]) for i in range(12)]
+    rows += [rows[3], (None, "no id", "s", *extra), (None, None, "s", *extra)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    got = mixing.mixed_documents(docs, share=2.0)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} == set(rows)
 
 
 def test_no_documents(spark):

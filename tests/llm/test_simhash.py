@@ -71,3 +71,13 @@ def test_one_row_of_each_component_stays(spark):
 def test_no_documents(spark):
     assert simhash.near_duplicates(no_documents(spark)).count() == 0
     assert simhash.one_per_component(no_documents(spark)).count() == 0
+
+
+def test_other_columns_stay_as_they_are(spark):
+    names = ("text_hash", "nth", "id", "hash", "_hash", "_n", "component", "first", "least")
+    rows = [(i, f"three or more words {i % 2}", *[f"{c}{i}" for c in names]) for i in range(6)]
+    rows += [rows[0], (None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    kept = simhash.one_per_component(docs, radius=0)
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} == {rows[0], rows[1], rows[-1]}
