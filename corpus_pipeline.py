@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliospark.llm import jaccard, mixing, packing, secrets, toxicity
+from bibliospark.llm import mixing, packing, secrets, simhash, toxicity
 from bibliospark.sources.durable import keep
 
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates by five-word shingles, that with the smallest id."""
-    return jaccard.one_per_group(docs)
+    """One document of each group whose fingerprints of three-word shingles differ in at most three bits."""
+    return simhash.one_per_component(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
