@@ -43,12 +43,14 @@ def json_to_array(text: Column, element: str) -> Column:
 def _strict_array(text: Column, element: str) -> Column:
     """The JSON array that ``text`` is as a whole, else NULL.
 
-    As the only field of an object, it may have nothing after it; a text that
-    closes the array and opens another field gives the object two.
+    It is put between two fields of an object. A text that ends before the
+    array or goes on after it closes the object too early, leaves it open or
+    gives it other fields than these two.
     """
-    wrapped = F.concat(F.lit('{"v":'), text, F.lit("}"))
+    wrapped = F.concat(F.lit('{"v":'), text, F.lit(',"end":0}'))
     parsed = F.from_json(wrapped, f"v array<{element}>", {"allowSingleQuotes": "false"})
-    return F.when(F.size(F.json_object_keys(wrapped)) == 1, parsed["v"])
+    whole = F.json_object_keys(wrapped) == F.array(F.lit("v"), F.lit("end"))
+    return F.when(whole & F.rtrim(F.translate(text, "\t\n\r", "   ")).endswith("]"), parsed["v"])
 
 
 def is_malformed_json(text: Column, element: str) -> Column:

@@ -22,7 +22,7 @@ def paper_authors(
     """One row per paper and author; ``rank`` is the place by position, then author id."""
     listed = bridge.join(authors.withColumnRenamed("id", "author_id"), "author_id")
     order = [F.col("position").asc(), F.col("author_id").asc()]
-    return spread.rank_within(listed, "paper_id", order, "rank", min_rows)
+    return spread.rank_within(listed, "paper_id", order, "rank", min_rows, bridge.select("paper_id"))
 
 
 def author_papers(bridge: DataFrame, papers: DataFrame, min_rows: int | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def author_papers(bridge: DataFrame, papers: DataFrame, min_rows: int | None = N
     links = bridge.select("paper_id", "author_id")
     listed = links.join(papers.withColumnRenamed("id", "paper_id"), "paper_id")
     order = [F.col("year").desc_nulls_last(), F.col("paper_id").asc()]
-    return spread.rank_within(listed, "author_id", order, "rank", min_rows)
+    return spread.rank_within(listed, "author_id", order, "rank", min_rows, links.select("author_id"))
 
 
 def papers_with_authors(

@@ -1,130 +1,88 @@
-"""Exact top-k retrieval by cosine similarity.
+"""Top-k retrieval by cosine similarity, exact and approximate.
 
-Every query is compared with every corpus vector, as exact retrieval over
-unindexed vectors needs, but no pair becomes a row: tasks multiply blocks of
-vectors and give out at most k matches per query and block.
+No pair of a query and a vector becomes a row: tasks multiply blocks of
+vectors and give out at most k matches per query and block. The exact form
+compares every query with every corpus vector that could be among its best;
+the approximate one looks into the cells around it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibliospark.operators import cells
+
 TOP_K = 10
 MIN_SIMILARITY = 0.5
-# The query block may be sent to every task up to this size. Beyond it both
-# sides are cut into blocks of BLOCK_ROWS rows.
+# The query block may be sent to every task up to this size. Beyond it queries
+# visit blocks of the corpus.
 BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_ROWS = 20_000
 # What a row takes on the driver besides its components.
 ROW_BYTES = 200
-_TILE_CELLS = 4_000_000
-# Products of equal vectors may differ in the last bits; rounded, they tie.
-_DIGITS = 12
-
-_MATCHES = "query_id bigint, id bigint, similarity double"
-
-
-def _task_code(k: int, least: float, skip_self: bool):
-    """The functions that run in tasks, made here so that they travel with the job."""
-
-    def matrix(vectors: pd.Series) -> np.ndarray:
-        rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        norms = np.linalg.norm(rows, axis=1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return rows / norms
-
-    def best(
-        query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray
-    ) -> Iterator[pd.DataFrame]:
-        """The k best matches of each query in one corpus block, some queries at a time.
-
-        Of matches that tie at the k-th place those with the smallest ids are
-        given out, so that many copies of a vector give no more than k rows.
-        """
-        by_id = np.argsort(ids, kind="stable")
-        ids, corpus = ids[by_id], corpus[by_id]
-        step = max(1, _TILE_CELLS // max(1, len(ids)))
-        for at in range(0, len(query_ids), step):
-            some = query_ids[at : at + step]
-            found = np.round(queries[at : at + step] @ corpus.T, _DIGITS)
-            good = found >= least
-            if skip_self:
-                good &= some[:, None] != ids[None, :]
-            if len(ids) > k:
-                masked = np.where(good, found, -np.inf)
-                kth = np.partition(masked, len(ids) - k, axis=1)[:, len(ids) - k, None]
-                above, level = masked > kth, masked == kth
-                room = k - above.sum(axis=1, keepdims=True)
-                good &= above | (level & (np.cumsum(level, axis=1) <= room))
-            q, c = np.nonzero(good)
-            yield pd.DataFrame({"query_id": some[q], "id": ids[c], "similarity": found[q, c]})
-
-    return matrix, best
+# The share of true neighbours that an approximate search aims for.
+RECALL = 0.95
+
+
+class Found(NamedTuple):
+    """Ranked ``matches``, and one row on the ``pairs`` of a query and a block, those ``met`` and the ``candidates`` in them."""
+
+    matches: DataFrame
+    report: DataFrame
 
 
 def _against_broadcast(
     queries: DataFrame, corpus: DataFrame, k: int, least: float, skip_self: bool
 ) -> DataFrame:
-    block = queries.toPandas()
-    if block.empty:
-        return corpus.sparkSession.createDataFrame([], _MATCHES)
-    matrix, best = _task_code(k, least, skip_self)
+    block = queries.select("id", "vector").toArrow().combine_chunks()
+    if not len(block):
+        return corpus.sparkSession.createDataFrame([], cells.MATCHES)
     shared = corpus.sparkSession.sparkContext.broadcast(
-        (block["id"].to_numpy(), matrix(block["vector"]))
+        (block.column("id").to_numpy(), cells.matrix(block.column("vector").combine_chunks()))
     )
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors = shared.value
         for batch in batches:
             if len(batch):
-                ids = batch["id"].to_numpy()
-                yield from best(query_ids, vectors, ids, matrix(batch["vector"]))
+                ids, rows = batch.column("id").to_numpy(), cells.matrix(batch.column("vector"))
+                for part in cells.best(query_ids, vectors, ids, rows, k, least, skip_self):
+                    yield pa.RecordBatch.from_pandas(part, preserve_index=False)
 
-    return corpus.mapInPandas(scan, _MATCHES)
+    return corpus.select("id", "vector").mapInArrow(scan, cells.MATCHES)
 
 
-def _by_blocks(
-    queries: DataFrame,
-    corpus: DataFrame,
-    sizes: tuple[int, int],
-    block_rows: int,
-    k: int,
-    least: float,
-    skip_self: bool,
-) -> DataFrame:
-    """Meet each block of queries with each block of the corpus in one group.
+def _tidy(vectors: DataFrame) -> DataFrame:
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    return vectors.select(F.col("id").cast("bigint").alias("id"), vector).where("id is not null and size(vector) > 0")
 
-    Blocks are cut by a hash of the ids, so they are even, and a task holds
-    one pair of them.
-    """
-    query_blocks, corpus_blocks = (max(1, ceil(n / block_rows)) for n in sizes)
-
-    def cut(df: DataFrame, mine: str, blocks: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<bigint>"))
-        )
-
-    left = cut(queries, "qb", query_blocks, "cb", corpus_blocks)
-    right = cut(corpus, "cb", corpus_blocks, "qb", query_blocks)
-    matrix, best = _task_code(k, least, skip_self)
-
-    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame(columns=["query_id", "id", "similarity"])
-        parts = best(
-            q["id"].to_numpy(), matrix(q["vector"]), c["id"].to_numpy(), matrix(c["vector"])
-        )
-        return pd.concat(list(parts), ignore_index=True)
-
-    return (
-        left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, _MATCHES)
-    )
+
+def _check(k: int, min_similarity: float) -> None:
+    if not 0 <= min_similarity <= 1:
+        raise ValueError("min_similarity must be between 0 and 1")
+    if k <= 0:
+        raise ValueError("k must be positive")
+
+
+def _one_width(*sizes) -> None:
+    found = {n for r in sizes for n in (r["least"], r["most"]) if n is not None}
+    if len(found) > 1:
+        raise ValueError(f"vectors of {min(found)} to {max(found)} components cannot be compared")
+
+
+def _measured(vectors: DataFrame):
+    lengths = [F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most")]
+    return vectors.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("cells"), *lengths).first()
+
+
+def _ranked(matches: DataFrame, k: int) -> DataFrame:
+    best_first = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id"))
+    ranked = matches.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "similarity")
 
 
 def similar(
@@ -134,7 +92,7 @@ def similar(
     min_similarity: float = MIN_SIMILARITY,
     skip_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = cells.BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` corpus vectors most like each query vector.
 
@@ -143,30 +101,65 @@ def similar(
     ``min_similarity``; equal similarities are ordered by id. ``skip_self``
     leaves out the vector with the query's own id. A NULL or empty vector, or
     one of norm zero, is like no other; vectors of several lengths are an error.
+    A row without an id takes no part.
     """
-    if not 0 <= min_similarity <= 1:
-        raise ValueError("min_similarity must be between 0 and 1")
-    if k <= 0:
-        raise ValueError("k must be positive")
+    _check(k, min_similarity)
+    queries, corpus = _tidy(queries), _tidy(corpus)
+    size, held = _measured(queries), _measured(corpus)
+    _one_width(size, held)
+    if 8 * (size["cells"] or 0) + ROW_BYTES * size["n"] <= broadcast_bytes:
+        return _ranked(_against_broadcast(queries, corpus, k, min_similarity, skip_self), k)
+    layout = cells.lay_out(corpus, held["n"], block_rows=block_rows)
+    return _ranked(cells.exact(queries, layout, k, min_similarity, skip_self)[0], k)
 
-    def tidy(df: DataFrame) -> DataFrame:
-        return df.select(F.col("id").cast("bigint"), "vector").where("size(vector) > 0")
 
-    queries, corpus = tidy(queries), tidy(corpus)
-    lengths = [F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most")]
-    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("cells"), *lengths).first()
-    held = corpus.agg(F.count("*").alias("n"), *lengths).first()
-    found = {n for r in (size, held) for n in (r["least"], r["most"]) if n is not None}
-    if len(found) > 1:
-        raise ValueError(f"vectors of {min(found)} to {max(found)} components cannot be compared")
-    if 8 * (size["cells"] or 0) + ROW_BYTES * size["n"] <= broadcast_bytes:
-        matches = _against_broadcast(queries, corpus, k, min_similarity, skip_self)
-    else:
-        sizes = (size["n"], held["n"])
-        matches = _by_blocks(queries, corpus, sizes, block_rows, k, min_similarity, skip_self)
-    best_first = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id"))
-    ranked = matches.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "similarity")
+def similar_by_blocks(
+    queries: DataFrame, layout: cells.Layout, k: int = TOP_K, min_similarity: float = MIN_SIMILARITY, skip_self: bool = False
+) -> Found:
+    """The same as :func:`similar` over a corpus laid out by :func:`lay_out`, and what its bounds skipped."""
+    _check(k, min_similarity)
+    queries = _tidy(queries)
+    _one_width(_measured(queries), _width_of(layout))
+    matches, report = cells.exact(queries, layout, k, min_similarity, skip_self)
+    return Found(_ranked(matches, k), report)
+
+
+def similar_in_cells(
+    queries: DataFrame,
+    layout: cells.Layout,
+    k: int = TOP_K,
+    min_similarity: float = MIN_SIMILARITY,
+    skip_self: bool = False,
+    probes: int | None = None,
+    recall: float = RECALL,
+) -> Found:
+    """As :func:`similar`, among the vectors in the ``probes`` cells nearest to each query.
+
+    Without ``probes``, their number is what holds the share ``recall`` of
+    the true neighbours within a bounded sample of the corpus. A match may be
+    missing; one that is given out has its true similarity.
+    """
+    _check(k, min_similarity)
+    queries = _tidy(queries)
+    _one_width(_measured(queries), _width_of(layout))
+    if probes is None:
+        sample = cells.draw_sample(layout.blocks.select(F.col("vid").alias("id"), F.col("unit").alias("vector")))
+        probes = cells.choose_probes(sample, layout.centroids, k, recall)
+    matches, report = cells.near(queries, layout, k, min_similarity, skip_self, probes)
+    return Found(_ranked(matches, k), report)
+
+
+def lay_out(corpus: DataFrame, n_cells: int | None = None, block_rows: int = cells.BLOCK_ROWS) -> cells.Layout:
+    """Cells and blocks of a corpus of ``id`` and ``vector``; every vector with a direction is in them."""
+    corpus = _tidy(corpus)
+    size = _measured(corpus)
+    _one_width(size)
+    return cells.lay_out(corpus, size["n"], n_cells, block_rows)
+
+
+def _width_of(layout: cells.Layout) -> dict:
+    width = layout.centroids.shape[1] or None
+    return {"least": width, "most": width}
 
 
 def retrieved_ids(matches: DataFrame) -> DataFrame:

@@ -50,16 +50,23 @@ def laid_out(df: DataFrame, order: list[str | Column], label: str) -> DataFrame:
 
 
 def rank_within(
-    df: DataFrame, key: str, order: list[Column], name: str = "rank", min_rows: int | None = None
+    df: DataFrame,
+    key: str,
+    order: list[Column],
+    name: str = "rank",
+    min_rows: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 1; ``order`` must leave no ties.
 
     Keys of more than ``min_rows`` rows are sorted over range partitions
     instead of in one task. Their segments, one per key and partition, are at
-    most as many as the heavy keys and the partitions together.
+    most as many as the heavy keys and the partitions together. ``counted``
+    has at least as many rows of each key as ``df`` and is cheaper to count:
+    a narrow table that ``df`` was joined from.
     """
     least = HEAVY_ROWS if min_rows is None else min_rows
-    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    counts = (df if counted is None else counted).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
     heavy = keep(counts.where(F.col("_n") >= least).select("_key"), "heavy-keys")
     in_key = Window.partitionBy(key).orderBy(*order)
     if heavy.isEmpty():

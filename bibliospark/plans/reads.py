@@ -49,6 +49,22 @@ def declared_and_seeded_venues(spark, folder):
     return tables.read_table(spark, roots[2], "venues").drop("created_at")
 
 
+@query(
+    "declared_beside_given_venues",
+    """SELECT id, name, type, url FROM c_venues
+       UNION ALL
+       SELECT (SELECT max(id) FROM c_venues) + row_number() OVER (ORDER BY seq), name, type, url
+       FROM c_seeds WHERE name NOT IN (SELECT name FROM c_venues)""",
+    {"c_seeds": f"SELECT * FROM (VALUES {SEEDS}) AS v(seq, name, type, url)"},
+)
+def declared_beside_given_venues(spark, folder):
+    """Declare all tables where the given venues lie already: their rows stay and the missing defaults join them."""
+    root, after = new_path(spark, "given"), new_path(spark, "declared")
+    tables.write_snapshot(shape.venues(spark, folder), root, "venues")
+    maintenance.initialise(spark, root, after)
+    return tables.read_table(spark, after, "venues").drop("created_at")
+
+
 @query(
     "refresh_counts_of_snapshot",
     """SELECT p.id, coalesce(n, 0) AS citation_count
@@ -511,6 +527,29 @@ def similar_vectors(spark, folder):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "similar_vectors_by_blocks",
+    """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank,
+              id, round(similarity, 6) AS similarity
+       FROM c_similar QUALIFY rank <= 10""",
+    {"c_similar": SIMILAR_SQL},
+)
+def similar_vectors_by_blocks(spark, folder):
+    """The same through blocks sorted by cell and angle, each visited by the queries that its bound lets in."""
+    vectors = shape.vectors(spark, folder)
+    layout = retrieval.lay_out(vectors, block_rows=256)
+    found = retrieval.similar_by_blocks(vectors, layout, 10, 0.2, skip_self=True)
+    return found.matches.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("similar_vectors_in_cells")
+def similar_vectors_in_cells(spark, folder):
+    """Approximate: every vector against those in the cells around it. Recall is tested, there is no SQL for it."""
+    vectors = shape.vectors(spark, folder)
+    layout = retrieval.lay_out(vectors, block_rows=256)
+    return retrieval.similar_in_cells(vectors, layout, 10, 0.2, skip_self=True).matches
+
+
 @query(
     "retrieved_ids",
     """SELECT query_id, string_agg(id, ',' ORDER BY rank) AS ids

@@ -42,7 +42,9 @@ class Gone:
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 from bibliospark.plans.base import QUERIES
-assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(QUERIES), "queries differ"
+assert set(e.queries()) == set(QUERIES), "queries differ"
+# an approximate search has recall, not SQL
+assert set(QUERIES) - set(e.oracle_sql()) == {"similar_vectors_in_cells"}, "SQL is missing"
 """
     root = Path(__file__).parent.parent
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)

@@ -3,7 +3,9 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from bibliospark.operators.retrieval import retrieved_ids, similar
+from bibliospark.operators import cells
+from bibliospark.operators.retrieval import lay_out, retrieved_ids, similar, similar_by_blocks, similar_in_cells
+from bibliospark.sources import driver_tables as shape
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +74,79 @@ def test_empty_and_mixed_vectors(spark):
     mixed = some.union(spark.createDataFrame([(4, [1.0])], some.schema))
     with pytest.raises(ValueError):
         similar(some, mixed)
+
+
+def as_frame(spark, base, first=0):
+    rows = [(first + i, [float(x) for x in v]) for i, v in enumerate(base)]
+    return spark.createDataFrame(rows, "id bigint, vector array<double>").repartition(4)
+
+
+def clustered(n, seed=9):
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(12, 10))
+    return centres[draw.integers(0, 12, n)] + draw.normal(size=(n, 10)) * 0.05
+
+
+def ids_of(rows):
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.id)
+    return got
+
+
+@pytest.mark.parametrize("block_rows,asks", [(40, 1_000_000), (40, 60)])
+def test_pruned_blocks_equal_brute_force_and_skip_pairs(spark, monkeypatch, block_rows, asks):
+    monkeypatch.setattr(cells, "ASKS", asks)
+    base = clustered(600)
+    base[:200] = base[3]  # a hot cell of copies
+    vectors = as_frame(spark, base)
+    layout = lay_out(vectors, 12, block_rows)
+    assert layout.n_blocks == 15 and layout.segments["n"].sum() == 600
+    found = similar_by_blocks(vectors, layout, 5, 0.6, True)
+    assert ids_of(found.matches.collect()) == brute_force(base, 5, 0.6, True)
+    (report,) = found.report.collect()
+    assert report.pairs == 600 * 15 and report.met < report.pairs / 2
+    assert report.candidates <= report.met * block_rows
+
+
+def test_cells_find_most_neighbours(spark):
+    vectors = shape.vectors(spark, "/root/testdata/sf0.1")
+    found = similar_in_cells(vectors, lay_out(vectors, block_rows=64), 10, 0.0, True)
+    true = ids_of(similar(vectors, vectors, 10, 0.0, True).collect())
+    got = ids_of(found.matches.collect())
+    recall = sum(len(set(true[q]) & set(got.get(q, []))) for q in true) / sum(map(len, true.values()))
+    (report,) = found.report.collect()
+    # random vectors have no cells to speak of; what is compared must still be less than everything
+    assert recall >= 0.9 and report.candidates < 0.95 * len(true) ** 2
+
+
+def test_cells_of_clusters_need_few_candidates(spark):
+    base = clustered(900)
+    base[:300] = base[3]
+    vectors = as_frame(spark, base)
+    found = similar_in_cells(vectors, lay_out(vectors, 12, 30), 10, 0.0, True)
+    true, got = brute_force(base, 10, 0.0, True), ids_of(found.matches.collect())
+    assert sum(len(set(true[q]) & set(got[q])) for q in true) >= 0.9 * sum(map(len, true.values()))
+    assert all(got[i] == true[i] for i in range(300))
+    assert found.report.first().candidates < 0.4 * 900**2
+
+
+def test_a_saved_layout_is_searched_again(spark, tmp_path):
+    base = clustered(200)
+    vectors = as_frame(spark, base)
+    cells.save(lay_out(vectors, 5, 30), f"{tmp_path}/cells")
+    layout = cells.load(spark, f"{tmp_path}/cells")
+    assert ids_of(similar_by_blocks(vectors, layout, 3, 0.5, False).matches.collect()) == brute_force(base, 3, 0.5, False)
+
+
+def test_layouts_of_nothing(spark):
+    none = spark.createDataFrame([], "id bigint, vector array<double>")
+    flat = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [])], none.schema)
+    some = as_frame(spark, np.eye(2))
+    for corpus in (none, flat):
+        layout = lay_out(corpus)
+        assert layout.n_blocks == 0
+        assert similar_by_blocks(some.where("false"), layout).matches.count() == 0
+    assert similar(some, flat, broadcast_bytes=0).count() == 0
+    assert similar_by_blocks(flat, lay_out(some)).matches.count() == 0
+    assert similar_in_cells(flat, lay_out(some)).report.first().candidates == 0

@@ -66,3 +66,24 @@ def test_only_whole_json_arrays_count(spark):
     ).collect()
     assert [r.v for r in got] == [None] * 5 + [["a", "b"], [], ['}"{'], ["1"], None]
     assert [r.bad for r in got] == [True] * 5 + [False] * 5
+
+
+def test_what_the_json_module_refuses_is_refused(spark):
+    texts = ["[1]}", "[1]} junk", '[1]}{"x":1', '[1],"end":0}', '[1],"end":0', "[1]]", "[[1]", "[1]\n\t ", "\r\n[1]", "[1],", "[,1]", "[1,]"]
+    texts += ["[1]}]", '[1]},"end":0}{"v":[2]', "[1 2]", "[01]", "\xa0[1]", "[1]\x00", "{}", '{"v":[1]}', "[1", "]", " ", "[1]//]", "[1]/**/"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(
+        "t",
+        scalars.json_to_array(F.col("t"), "bigint").alias("v"),
+        scalars.is_malformed_json(F.col("t"), "bigint").alias("bad"),
+    ).collect()
+
+    def decoded(text):
+        try:
+            found = json.loads(text)
+        except json.JSONDecodeError:
+            return None
+        return found if isinstance(found, list) else None
+
+    assert {r.t: r.v for r in rows} == {t: decoded(t) for t in texts}
+    assert {r.t: r.bad for r in rows} == {t: decoded(t) is None for t in texts}
