@@ -24,6 +24,11 @@ from bibliospark.sources.durable import keep
 
 FAULT = "struct<reason:string,key:string>"
 
+#: Claims of one component that a task takes as a stream, beyond which parallel rounds go on.
+STREAMED = 100_000
+#: A round on large components must settle one claim in so many to be worth another.
+LEAST_PROGRESS = 8
+
 
 def fault(reason: str, key: str) -> Column:
     return F.struct(F.lit(reason).alias("reason"), F.lit(key).alias("key")).cast(FAULT)
@@ -129,23 +134,41 @@ def first_come(rows: DataFrame, order: str, keys: list[tuple[str, ...]]) -> Data
     row in, and so on along a chain. One parallel round settles most claims:
     a row that comes first on all its keys is in, rows that share a key with
     it are out. What is still open falls into connected components of rows and
-    the keys they share, which do not touch each other: each is taken in order,
-    as a sorted stream, by one task. The number of rounds does not depend on
-    the length of chains; one component is sequential by nature, and a task
-    holds no more of it than the keys that are taken.
+    the keys they share, which do not touch each other: a component of at most
+    ``STREAMED`` claims is taken in order, as a sorted stream, by one task. The number of
+    rounds for these does not depend on the length of chains. Claims of larger components go
+    through further parallel rounds, see :func:`_settle_deep`, until the
+    components left are small. Only where a round settles less than a
+    ``LEAST_PROGRESS``-th of them are large ones streamed as well: they are
+    sequential by nature, and a task holds no more than the keys that are taken.
     """
     claims = [
         F.when(has_key(key), F.struct(F.lit(i).alias("slot"), _key_text(key).alias("value")))
         for i, key in enumerate(keys)
     ]
     claimed = rows.select(order, F.array_compact(F.array(*claims)).alias("claims"))
-    unclaimed = claimed.where(F.size("claims") == 0).select(order)
+    accepted = claimed.where(F.size("claims") == 0).select(order)
     wanted = claimed.select(order, F.size("claims").alias("need"), F.inline("claims"))
     decided = keep(_settle(wanted, order), "round")
-    still_open = decided.where(~(F.col("won") | F.col("lost")))
-    winners = decided.where("won").select(order).distinct()
-    taken = keep(_settle_components(still_open, order), "components-settled")
-    return unclaimed.unionByName(winners).unionByName(taken)
+    accepted = accepted.unionByName(decided.where("won").select(order).distinct())
+    still_open = decided.where(~(F.col("won") | F.col("lost"))).select(*wanted.columns)
+    while not still_open.isEmpty():
+        placed = _components(still_open, order)
+        large = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > STREAMED)
+        large = keep(large.select("component"), "large-components")
+        if large.isEmpty():
+            return accepted.unionByName(keep(_stream(placed, order), "components-settled"))
+        small = placed.join(large, "component", "left_anti")
+        accepted = accepted.unionByName(keep(_stream(small, order), "components-settled"))
+        deep = keep(placed.join(large, "component", "left_semi").select(*wanted.columns), "large-claims")
+        decided = keep(_settle_deep(deep, order), "deep-round")
+        accepted = accepted.unionByName(decided.where("won").select(order).distinct())
+        still_open = decided.where(~(F.col("won") | F.col("lost"))).select(*wanted.columns)
+        before, after = deep.count(), still_open.count()
+        if (before - after) * LEAST_PROGRESS < before:
+            left = _components(still_open, order)
+            return accepted.unionByName(keep(_stream(left, order), "components-settled"))
+    return accepted
 
 
 def _settle(claims: DataFrame, order: str) -> DataFrame:
@@ -160,6 +183,11 @@ def _settle(claims: DataFrame, order: str) -> DataFrame:
         .where(F.col("n") == F.col("need"))
     )
     taken = firsts.join(winners, "_holder", "left_semi").select("slot", "value", "_holder")
+    return _marked(claims, taken, order)
+
+
+def _marked(claims: DataFrame, taken: DataFrame, order: str) -> DataFrame:
+    """Mark the claims of rows that hold all their keys in ``taken``, and of rows with a key that another holds."""
     marked = claims.join(taken, ["slot", "value"], "left")
     of_row = Window.partitionBy(order)
     mine = F.col("_holder") == F.col(order)
@@ -170,13 +198,66 @@ def _settle(claims: DataFrame, order: str) -> DataFrame:
     )
 
 
-def _settle_components(claims: DataFrame, order: str) -> DataFrame:
-    """Take the rows of each connected component one by one, all components at once."""
+def _settle_deep(claims: DataFrame, order: str) -> DataFrame:
+    """One round that also settles chains: mark the claims of rows that have ``won`` or ``lost``.
+
+    A row that is first on all its keys but one, and second there, is in
+    exactly if the first row on that key is out. Following such rows leads to one that is in
+    for certain, or to one that is not settled yet; the number of steps to it
+    tells the outcome. Pointers are doubled, so a chain of n rows takes about log n
+    joins. Rows that share a key with one that is in are out.
+    """
+    places = claims.groupBy("slot", "value").agg(F.min(order).alias("_first"))
+    places = keep(places, "deep-firsts")
+    behind = claims.join(places, ["slot", "value"]).where(F.col(order) > F.col("_first"))
+    seconds = behind.groupBy("slot", "value").agg(F.min(order).alias("_second"))
+    placed = claims.join(places.join(seconds, ["slot", "value"], "left"), ["slot", "value"])
+    ahead = F.col("_first") < F.col(order)
+    rows = keep(
+        placed.groupBy(order).agg(
+            F.count_if(ahead).alias("behind"),
+            F.max(F.when(F.col("_second") == F.col(order), F.col("_first"))).alias("up"),
+        ),
+        "deep-rows",
+    )
+    sure = rows.where("behind = 0").select(F.col(order).alias("root"))
+    chained = rows.where("behind = 1 AND up IS NOT NULL").select(F.col(order).alias("row"), "up", F.lit(1).alias("steps"))
+    chained = keep(chained, "chains")
+    while True:
+        further = chained.select(F.col("row").alias("up"), F.col("up").alias("top"), F.col("steps").alias("more"))
+        longer = chained.join(further, "up", "left").select(
+            "row",
+            F.coalesce("top", "up").alias("up"),
+            # only whether the number of steps is odd matters
+            ((F.col("steps") + F.coalesce("more", F.lit(0))) % 2).alias("steps"),
+            F.col("top").isNotNull().alias("moved"),
+        )
+        longer = keep(longer, "chains")
+        chained = longer.drop("moved")
+        if longer.where("moved").isEmpty():
+            break
+    by_chain = chained.join(sure, chained["up"] == sure["root"], "left_semi").where("steps = 0")
+    winners = keep(sure.select(F.col("root").alias("_holder")).unionByName(by_chain.select(F.col("row").alias("_holder"))), "deep-winners")
+    taken = claims.join(winners, claims[order] == winners["_holder"]).select("slot", "value", "_holder")
+    return _marked(claims, keep(taken, "deep-taken"), order)
+
+
+def _components(claims: DataFrame, order: str) -> DataFrame:
+    """The claims with the connected component of rows and keys that each belongs to; stored."""
     row = F.xxhash64(F.lit("row"), order)
     edges = claims.select(row.alias("a"), F.xxhash64(F.lit("key"), "slot", "value").alias("b"))
     parts = connected_components(edges)
-    placed = claims.withColumn("node", row).join(parts, "node").select("component", order, "slot", "value")
-    streamed = placed.repartition("component").sortWithinPartitions("component", order)
+    placed = claims.withColumn("node", row).join(parts, "node").drop("node")
+    return keep(placed, "open-claims")
+
+
+def _stream(placed: DataFrame, order: str) -> DataFrame:
+    """Take the rows of each connected component one by one, all components at once."""
+    streamed = (
+        placed.select("component", order, "slot", "value")
+        .repartition("component")
+        .sortWithinPartitions("component", order)
+    )
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         component, held, current, wanted = None, set(), None, set()
@@ -199,7 +280,7 @@ def _settle_components(claims: DataFrame, order: str) -> DataFrame:
             yield pd.DataFrame({order: accepted})
         yield pd.DataFrame({order: settled()})
 
-    return streamed.mapInPandas(take, T.StructType([claims.schema[order]]))
+    return streamed.mapInPandas(take, T.StructType([placed.schema[order]]))
 
 
 def judge(

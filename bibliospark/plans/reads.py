@@ -126,17 +126,19 @@ def array_to_json(spark, folder):
        FROM (SELECT event_id,
                     CASE WHEN text IS NULL OR text = '' THEN []::BIGINT[]
                          ELSE TRY_CAST(TRY_CAST(text AS JSON) AS BIGINT[]) END AS ids,
-                    coalesce(text LIKE '%;' OR (text LIKE '[%' AND event_id % 7 < 3), false) AS bad
+                    coalesce(text LIKE '%;' OR (text LIKE '[%' AND event_id % 7 < 6), false) AS bad
              FROM (SELECT event_id,
                           CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN ''
                                WHEN 'error' THEN '[' || event_id || ';'
                                ELSE '[' || event_id || ', ' || user_id || ']' || CASE event_id % 7 WHEN 0 THEN ' junk' WHEN 1 THEN ' [2]'
-                                    WHEN 2 THEN ',"w":[1]' ELSE '' END END AS text
+                                    WHEN 2 THEN ',"w":[1]' WHEN 3 THEN '}' WHEN 4 THEN '} junk' WHEN 5 THEN '}{"x":1}'
+                                    ELSE '' END END AS text
                    FROM events))""",
 )
 def json_to_array(spark, folder):
     kind, rest = F.col("event_type"), F.col("event_id") % 7
-    after = F.when(rest == 0, " junk").when(rest == 1, " [2]").when(rest == 2, ',"w":[1]').otherwise("")
+    after = F.when(rest == 0, " junk").when(rest == 1, " [2]").when(rest == 2, ',"w":[1]')
+    after = after.when(rest == 3, "}").when(rest == 4, "} junk").when(rest == 5, '}{"x":1}').otherwise("")
     text = (
         F.when(kind == "view", F.lit(None))
         .when(kind == "click", "")

@@ -437,7 +437,7 @@ QUERY_BATCH = {
     "b_queries": """
         SELECT id AS seq, CASE WHEN turn = 1 THEN NULL ELSE conversation_id * 2 END AS conversation_id,
                CASE WHEN response_text IS NOT NULL THEN query_text END AS query_text,
-               response_text, '[' || conversation_id || ', ' || turn || CASE WHEN turn = 2 THEN '' ELSE ']' END AS retrieved_ids
+               response_text, '[' || conversation_id || ', ' || turn || CASE turn WHEN 2 THEN '' WHEN 4 THEN ']}' ELSE ']' END AS retrieved_ids
         FROM (SELECT *, retrieved_ids[2] AS turn FROM c_queries)""",
     "v_queries": """
         SELECT *, CASE WHEN retrieved_ids NOT LIKE '%]' THEN 'malformed_json' WHEN query_text IS NULL THEN 'not_null'
@@ -455,7 +455,7 @@ def _insert_queries(spark, folder):
         F.when(F.col("response_text").isNotNull(), F.col("query_text")).alias("query_text"),
         "response_text",
         F.concat(
-            F.lit("["), "conversation_id", F.lit(", "), turn, F.when(turn == 2, "").otherwise("]")
+            F.lit("["), "conversation_id", F.lit(", "), turn, F.when(turn == 2, "").when(turn == 4, "]}").otherwise("]")
         ).alias("retrieved_ids"),
     )
     return ingest.insert_queries(batch, shape.chats(spark, folder), 1000, NOW)

@@ -77,7 +77,60 @@ def test_chain_of_clashes(spark, monkeypatch, n):
     )
     accepted = first_come(rows, "seq", [("arxiv_id",), ("doi",)])
     assert sorted(r.seq for r in accepted.collect()) == list(range(0, n, 2))
-    assert kept == ["firsts", "round", "components-settled"]
+    assert kept == ["firsts", "round", "open-claims", "large-components", "components-settled"]
+
+
+def accepted_one_by_one(rows):
+    taken, accepted = (set(), set()), []
+    for seq, *values in sorted(rows):
+        if any(v is not None and v in t for v, t in zip(values, taken)):
+            continue
+        accepted.append(seq)
+        for v, t in zip(values, taken):
+            t.add(v)
+    return accepted
+
+
+def clashes(kind, n, seed):
+    draw = random.Random(seed)
+    if kind == "chain":
+        return [(i, f"a{i // 2}", f"d{(i + 1) // 2}") for i in range(n)]
+    if kind == "hot":  # the first row of the hot key is second on its other key
+        return [(0, "a0", "first"), (1, "a0", "hot")] + [(i, f"a{i}", "hot" if i % 3 == 0 else f"d{i}") for i in range(2, n)]
+    if kind == "late":  # each row of the hot key is out for its other key before the next one may be in
+        return [(i, f"a{i // 2}", "hot" if i % 2 else f"d{i}") for i in range(n)]
+    pool = max(2, n // 3)
+    return [
+        (i, draw.choice([None, "hot", f"a{draw.randrange(pool)}"]), draw.choice([None, f"d{draw.randrange(pool)}"]))
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("kind", ["chain", "hot", "late", "random"])
+@pytest.mark.parametrize("seed", [1])
+def test_large_components_are_settled_in_parallel_rounds(spark, monkeypatch, kind, seed):
+    kept, streamed = [], []
+    monkeypatch.setattr(integrity, "keep", lambda df, label, keep=integrity.keep: kept.append(label) or keep(df, label))
+    monkeypatch.setattr(
+        integrity, "_stream", lambda df, order, stream=integrity._stream: streamed.append(df) or stream(df, order)
+    )
+    monkeypatch.setattr(integrity, "STREAMED", 30)
+    rows = clashes(kind, 600, seed)
+    draw = random.Random(seed)
+    batch = spark.createDataFrame(draw.sample(rows, len(rows)), "seq bigint, arxiv_id string, doi string").repartition(5)
+    accepted = first_come(batch, "seq", [("arxiv_id",), ("doi",)])
+    assert sorted(r.seq for r in accepted.collect()) == accepted_one_by_one(rows)
+    if kind in ("chain", "hot"):
+        assert "deep-round" in kept
+        assert all(df.groupBy("component").count().where("count > 30").isEmpty() for df in streamed)
+
+
+def test_a_chain_is_followed_to_its_end_in_one_round(spark):
+    claims = [(i, 2, slot, value) for i, a, d in clashes("chain", 50, 0) for slot, value in ((0, a), (1, d))]
+    df = spark.createDataFrame(claims, "seq bigint, need int, slot int, value string")
+    decided = integrity._settle_deep(df, "seq").collect()
+    assert {r.seq for r in decided if r.won} == set(range(0, 50, 2))
+    assert {r.seq for r in decided if r.lost} == set(range(1, 50, 2))
 
 
 def test_missing_required_column(spark):
