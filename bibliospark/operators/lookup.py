@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 Keys = DataFrame | Iterable | int | str
 
+#: A table of at most so many keys may become a filter.
+POINT_READS = 1_000
+
 
 def _typed(keys: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """The only column of ``keys`` with the name and the type of the table's."""
@@ -34,6 +37,18 @@ def lookup(table: DataFrame, column: str, keys: Keys) -> DataFrame:
     return table.where(F.col(column).isin(list(keys)))
 
 
+def point_lookup(table: DataFrame, column: str, keys: DataFrame, most: int = POINT_READS) -> DataFrame:
+    """As :func:`lookup` with the keys of a DataFrame, for few keys over a stored table.
+
+    Up to ``most`` keys are fetched and become a filter, which reaches the scan:
+    row groups whose bounds or bloom filters exclude all keys are skipped.
+    More keys stay a semi join.
+    """
+    typed = _typed(keys, table, column).where(F.col(column).isNotNull())
+    first = [r[0] for r in typed.limit(most + 1).collect()]
+    return lookup(table, column, keys if len(first) > most else sorted(set(first)))
+
+
 def venues_by_id(venues: DataFrame, ids: Keys) -> DataFrame:
     return lookup(venues, "id", ids)
 

@@ -13,24 +13,34 @@ from pyspark.sql import functions as F
 
 from bibliospark.operators import spread
 from bibliospark.operators.listing import in_time_order
+from bibliospark.sources.buckets import Bucketed, through
 from bibliospark.sources.durable import keep
 
 
 def paper_authors(
-    bridge: DataFrame, authors: DataFrame, min_rows: int | None = None
+    bridge: DataFrame | Bucketed, authors: DataFrame, min_rows: int | None = None
 ) -> DataFrame:
-    """One row per paper and author; ``rank`` is the place by position, then author id."""
-    listed = bridge.join(authors.withColumnRenamed("id", "author_id"), "author_id")
+    """One row per paper and author; ``rank`` is the place by position, then author id.
+
+    A bridge bucketed by author meets authors bucketed by id where both lie.
+    """
+    named = authors.withColumnRenamed("id", "author_id")
+    listed = through(bridge, lambda part: part.join(named, "author_id"))
     order = [F.col("position").asc(), F.col("author_id").asc()]
-    return spread.rank_within(listed, "paper_id", order, "rank", min_rows, bridge.select("paper_id"))
+    return spread.rank_within(listed, "paper_id", order, "rank", min_rows, through(bridge, lambda part: part.select("paper_id")))
+
 
+def author_papers(
+    bridge: DataFrame | Bucketed, papers: DataFrame, min_rows: int | None = None
+) -> DataFrame:
+    """One row per author and paper; ``rank`` is the place, newest year first.
 
-def author_papers(bridge: DataFrame, papers: DataFrame, min_rows: int | None = None) -> DataFrame:
-    """One row per author and paper; ``rank`` is the place, newest year first."""
-    links = bridge.select("paper_id", "author_id")
-    listed = links.join(papers.withColumnRenamed("id", "paper_id"), "paper_id")
+    A bridge bucketed by paper meets papers bucketed by id where both lie.
+    """
+    named = papers.withColumnRenamed("id", "paper_id")
+    listed = through(bridge, lambda part: part.select("paper_id", "author_id").join(named, "paper_id"))
     order = [F.col("year").desc_nulls_last(), F.col("paper_id").asc()]
-    return spread.rank_within(listed, "author_id", order, "rank", min_rows, links.select("author_id"))
+    return spread.rank_within(listed, "author_id", order, "rank", min_rows, through(bridge, lambda part: part.select("author_id")))
 
 
 def papers_with_authors(

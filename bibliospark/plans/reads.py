@@ -11,7 +11,7 @@ from bibliospark.operators.ids import assign_ids
 from bibliospark.plans.base import NOW, NOW_SQL, query
 from bibliospark.schemas import DEFAULT_VENUES, PAPER_COLS
 from bibliospark.sources import driver_tables as shape
-from bibliospark.sources import tables
+from bibliospark.sources import buckets, queues, tables
 from bibliospark.sources.durable import new_path
 
 ALL_PAPER = ", ".join(PAPER_COLS)
@@ -244,6 +244,18 @@ def papers_by_doi(spark, folder):
     return lookup.papers_by_doi(shape.papers(spark, folder), keys)
 
 
+@query(
+    "papers_by_doi_of_snapshot",
+    f"SELECT {ALL_PAPER} FROM c_papers WHERE doi IN (SELECT '10/' || n_nationkey * 7 FROM nation)",
+)
+def papers_by_doi_of_snapshot(spark, folder):
+    """Few keys against a stored snapshot, as a filter that bloom filters answer."""
+    root = new_path(spark, "snapshot")
+    tables.write_snapshot(shape.papers(spark, folder), root, "papers")
+    keys = shape.table(spark, folder, "nation").select(F.concat(F.lit("10/"), F.col("n_nationkey") * 7))
+    return lookup.point_lookup(tables.read_table(spark, root, "papers"), "doi", keys)
+
+
 @query(
     "conversations_by_id",
     "SELECT * FROM c_conversations WHERE id IN (SELECT s_suppkey * 2 FROM supplier)",
@@ -309,6 +321,34 @@ def papers_in_status(spark, folder):
     return queue.withColumn("rank", _place(F.col("created_at").asc(), F.col("id").asc()))
 
 
+def _queues(spark, folder):
+    root = new_path(spark, "queues")
+    queues.write_queues(shape.papers(spark, folder), root)
+    return queues.read_queues(spark, root)
+
+
+@query(
+    "queue_of_partitions",
+    f"""SELECT {ALL_PAPER}, row_number() OVER (ORDER BY created_at, id) AS rank
+        FROM c_papers WHERE status = 'pending' ORDER BY created_at, id LIMIT 100""",
+)
+def queue_of_partitions(spark, folder):
+    """The work queue from the layout by status."""
+    queue = listing.papers_in_status(_queues(spark, folder), "pending")
+    return queue.withColumn("rank", _place(F.col("created_at").asc(), F.col("id").asc()))
+
+
+@query(
+    "papers_on_a_curve",
+    f"""SELECT {ALL_PAPER} FROM c_papers
+        WHERE year BETWEEN 1996 AND 1998 AND venue_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)""",
+)
+def papers_on_a_curve(spark, folder):
+    """Papers of some venues and years from the layout by status, venue and year."""
+    asia = shape.table(spark, folder, "nation").where("n_regionkey = 2").select("n_nationkey")
+    return lookup.point_lookup(lookup.papers_by_year(_queues(spark, folder), 1996, 1998), "venue_id", asia)
+
+
 @query(
     "oldest_per_status",
     """SELECT id, title, venue_id, year, status, row_number() OVER (PARTITION BY status ORDER BY created_at, id) AS rank
@@ -435,6 +475,45 @@ def author_papers(spark, folder):
     return listed.select("author_id", "paper_id", "title", "year", "status", "rank")
 
 
+def _bucketed(spark, folder, links, key):
+    """Links bucketed by one end, and papers bucketed by id."""
+    root = new_path(spark, "bucketed")
+    buckets.write_buckets(links(spark, folder), root, links.__name__, key, 8)
+    buckets.write_buckets(shape.papers(spark, folder), root, "papers", "id", 8)
+    return buckets.open_buckets(spark, root, links.__name__, key), buckets.open_buckets(spark, root, "papers", "id").light
+
+
+@query(
+    "author_papers_bucketed",
+    """SELECT author_id, p.id AS paper_id, title, year, status,
+              row_number() OVER (PARTITION BY author_id ORDER BY year DESC NULLS LAST, p.id) AS rank
+       FROM c_paper_authors JOIN c_papers p ON paper_id = p.id""",
+)
+def author_papers_bucketed(spark, folder):
+    listed = nested.author_papers(*_bucketed(spark, folder, shape.paper_authors, "paper_id"))
+    return listed.select("author_id", "paper_id", "title", "year", "status", "rank")
+
+
+@query(
+    "cited_by_bucketed",
+    """SELECT citing_paper_id, id, title, venue_id, year, status
+       FROM c_citations JOIN c_papers ON id = cited_paper_id""",
+)
+def cited_by_bucketed(spark, folder):
+    found = graph.cited_by(*_bucketed(spark, folder, shape.citations, "cited_paper_id"))
+    return found.select("citing_paper_id", *BRIEF)
+
+
+@query(
+    "citing_bucketed",
+    """SELECT cited_paper_id, id, title, venue_id, year, status
+       FROM c_citations JOIN c_papers ON id = citing_paper_id""",
+)
+def citing_bucketed(spark, folder):
+    found = graph.citing(*_bucketed(spark, folder, shape.citations, "citing_paper_id"))
+    return found.select("cited_paper_id", *BRIEF)
+
+
 @query(
     "cited_by",
     """SELECT citing_paper_id, id, title, venue_id, year, status

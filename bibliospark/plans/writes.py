@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bibliospark.operators import changes, ingest, spread
+from bibliospark.operators import changes, graph, ingest, maintenance, spread
 from bibliospark.plans.base import NOW, NOW_SQL, query
 from bibliospark.schemas import DEFAULT_VENUES, TABLES
 from bibliospark.sources import driver_tables as shape
+from bibliospark.sources import ranges
+from bibliospark.sources.durable import keep, new_path
 
 # --- venues ----------------------------------------------------------------
 
@@ -637,6 +639,47 @@ def set_full_text(spark, folder):
     return after.select("id", "full_text", "status", "updated_at")
 
 
+@query(
+    "set_full_text_by_range",
+    f"""SELECT id, coalesce(text, full_text) AS full_text, CASE WHEN text IS NULL THEN status ELSE 'extracted' END AS status,
+               CASE WHEN text IS NULL THEN updated_at ELSE {NOW_SQL} END AS updated_at
+        FROM c_papers LEFT JOIN documents ON doc_id = id""",
+)
+def set_full_text_by_range(spark, folder):
+    """The same in place: only the id ranges that hold a change are rewritten."""
+    new = shape.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"), F.col("text").alias("full_text")
+    )
+    root = new_path(spark, "ranges")
+    ranges.write_ranges(shape.papers(spark, folder), root, "papers", 5_000)
+    ranges.patch(spark, root, "papers", new, lambda rows, few: changes.set_full_text(rows, few, NOW), "texts")
+    return ranges.read_ranges(spark, root, "papers").select("id", "full_text", "status", "updated_at")
+
+
+@query(
+    "merge_citation_counts",
+    """SELECT p.id, coalesce(n, 0) AS citation_count
+       FROM c_papers p LEFT JOIN (
+           SELECT cited_paper_id, count(*) AS n FROM c_citations
+           WHERE citing_paper_id NOT IN (SELECT s_suppkey FROM supplier) AND cited_paper_id NOT IN (SELECT s_suppkey FROM supplier)
+           GROUP BY 1) e ON e.cited_paper_id = p.id
+       WHERE p.id NOT IN (SELECT s_suppkey FROM supplier)""",
+)
+def merge_citation_counts(spark, folder):
+    """Counts of a first batch of citations, brought up to date with a second batch and a cascade."""
+    edges, papers = shape.citations(spark, folder), shape.papers(spark, folder)
+    part = shape.table(spark, folder, "nation").select((F.col("n_nationkey") * 3).alias("citing_paper_id"))
+    first = edges.join(part, "citing_paper_id", "left_anti")
+    second = edges.join(part, "citing_paper_id", "left_semi")
+    root = new_path(spark, "ranges")
+    ranges.write_ranges(graph.refresh_citation_counts(papers, first, NOW), root, "papers", 5_000)
+    maintenance.merge_counts(spark, root, "second", second, now=NOW)
+    gone = keep(shape.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id")), "gone")
+    maintenance.merge_counts(spark, root, "cascade", removed=graph.edges_of(edges, gone), now=NOW)
+    ranges.patch(spark, root, "papers", gone, lambda rows, few: rows.join(few, "id", "left_anti"), "deleted")
+    return ranges.read_ranges(spark, root, "papers").select("id", "citation_count")
+
+
 @query(
     "mark_embedded",
     f"""SELECT id, coalesce(model, embedding_model) AS embedding_model,

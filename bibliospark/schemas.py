@@ -152,6 +152,11 @@ RULES: dict[str, Rules] = {
 }
 
 
+#: Unique columns by which single rows are read; a snapshot keeps bloom filters of them.
+POINT_KEYS: dict[str, tuple[str, ...]] = {
+    name: tuple(key[0] for key in rules.unique if len(key) == 1) for name, rules in RULES.items()
+}
+
 #: The columns by which a snapshot is range-sorted: what its keyed reads ask for.
 LAYOUT: dict[str, tuple[str, ...]] = {
     "venues": ("id",),

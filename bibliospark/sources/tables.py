@@ -2,7 +2,8 @@
 
 A snapshot is laid out for the reads it serves: rows are range-sorted by the
 columns of ``LAYOUT``, so that a keyed read skips the row groups whose bounds
-exclude its keys. Beside a table with ids lies the largest id ever given out,
+exclude its keys, and row groups have bloom filters of the unique columns in ``POINT_KEYS``, which
+lie in no order. Beside a table with ids lies the largest id ever given out,
 which a later insert starts above even if that row is gone.
 """
 
@@ -12,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibliospark.schemas import LAYOUT, TABLES
+from bibliospark.schemas import LAYOUT, POINT_KEYS, TABLES
 
 
 def declare_tables(spark: SparkSession, root: str) -> None:
@@ -38,17 +39,27 @@ def high_water(spark: SparkSession, root: str, name: str) -> int:
     return mark or 0
 
 
-def write_snapshot(df: DataFrame, root: str, name: str, above: int = 0) -> None:
+def _bloom_filters(name: str) -> dict[str, str]:
+    """Options that make the Parquet writer keep bloom filters, as small as a row group allows."""
+    enabled = {f"parquet.bloom.filter.enabled#{c}": "true" for c in POINT_KEYS[name]}
+    return {**enabled, "parquet.bloom.filter.adaptive.enabled": "true"} if enabled else {}
+
+
+def write_snapshot(
+    df: DataFrame, root: str, name: str, above: int = 0, options: dict[str, str] | None = None
+) -> None:
     """Write the next snapshot of a table to a new root.
 
     A snapshot is never written over the one it was made from, and the write
     fails if the table is already there. ``above`` is the mark of the snapshot
-    before; the new mark is the larger of it and the ids written.
+    before; the new mark is the larger of it and the ids written. ``options``
+    are for the Parquet writer.
     """
     columns = TABLES[name].fieldNames()
     by = LAYOUT[name]
     laid = df.select(*columns).repartitionByRange(*by).sortWithinPartitions(*by)
-    laid.write.mode("errorifexists").parquet(f"{root}/{name}")
+    writer = laid.write.mode("errorifexists").options(**_bloom_filters(name), **(options or {}))
+    writer.parquet(f"{root}/{name}")
     if "id" in columns:
         spark = df.sparkSession
         written = read_table(spark, root, name).agg(F.greatest(F.max("id"), F.lit(above)).alias("above"))
