@@ -29,6 +29,20 @@ def watch_conversations(spark, folder):
     return feeds.read_activity(spark, f"{out}/rows")
 
 
+@query(
+    "count_activity",
+    """SELECT user_id AS conversation_id, date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS n_queries, max(ts) AS last_at
+       FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2""",
+)
+def count_activity(spark, folder):
+    asked = _events(spark, folder).select(
+        F.col("user_id").alias("conversation_id"), F.col("ts").alias("created_at")
+    )
+    out = new_path(spark, "counts")
+    feeds.count_activity(asked, f"{out}/rows", f"{out}/state").awaitTermination()
+    return feeds.read_counts(spark, f"{out}/rows")
+
+
 def _ingest_log(spark, folder, part):
     out = new_path(spark, "log")
     entries = log_batch(_events(spark, folder))
