@@ -27,6 +27,22 @@ def fresh(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def set_aside(df: DataFrame, reserved: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of ``reserved`` names under other ones, and the names to give back."""
+    back = {}
+    for column in df.columns:
+        if column.lower() in reserved:
+            other = fresh(f"own_{column}", df)
+            df, back[other] = df.withColumnRenamed(column, other), column
+    return df, back
+
+
+def given_back(df: DataFrame, columns: list[str], back: dict[str, str]) -> DataFrame:
+    """Only ``columns``, those that were set aside under their own names."""
+    aside = {own: other for other, own in back.items()}
+    return df.select(*(F.col(aside.get(c, c)).alias(c) for c in columns))
+
+
 def buckets_for(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     """How many buckets hold ``rows`` rows."""
     return max(1, -(-rows // per_bucket))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibliospark.llm.common import replace_column
+from bibliospark.llm.common import given_back, replace_column, set_aside
 from bibliospark.sources.durable import keep
 
 #: The kinds in the order in which they are listed.
@@ -229,9 +229,11 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **scan) -> DataFrame:
     """``docs`` with every span that is not a copied example replaced by ``mask``.
 
-    Overlapping spans become one mask. Columns and rows stay as they are.
+    Overlapping spans become one mask. Columns and rows stay as they are, also
+    columns that have the names of the scan's own.
     """
-    scanned = scan_secrets(docs, text_col, keep_text=True, **scan)
+    named, back = set_aside(docs, ("candidates", "spans", "_text_hash", "_row"))
+    scanned = scan_secrets(named, text_col, keep_text=True, **scan)
     secret = F.filter("spans", lambda s: s["verdict"] != "copied")
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -247,4 +249,5 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **sc
     masked = F.aggregate(
         secret, start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text)))
     )
-    return scanned.withColumn(text_col, F.when(F.size(secret) > 0, masked).otherwise(text)).select(*docs.columns)
+    hidden = scanned.withColumn(text_col, F.when(F.size(secret) > 0, masked).otherwise(text))
+    return given_back(hidden, docs.columns, back)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibliospark.llm.common import replace_column
+from bibliospark.llm.common import given_back, replace_column, set_aside
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Features are hashed into this many slots.
@@ -260,6 +260,13 @@ def score(docs: DataFrame, model: Severity, text_col: str = "text", keep_text: b
     )
 
 
+def keep_clean(docs: DataFrame, model: Severity, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not reject; all columns stay as they are, whatever their names."""
+    named, back = set_aside(docs, ("severity", "toxic_probability", "grade", "rejected", "_s"))
+    scored = score(named, model, text_col, keep_text=True)
+    return given_back(scored.where(~F.col("rejected")), docs.columns, back)
+
+
 def grade_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sample) -> DataFrame:
     """Train on ``labels`` and score every row of ``docs``."""
     return score(docs, train(docs, labels, id_col=id_col, text_col=text_col, **sample), text_col)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from bibliospark.llm import mixing, secrets, simhash, toxicity
 from bibliospark.sources.durable import keep
-from tests.llm.samples import forest
+from tests.llm.samples import forest, no_documents, odd_documents, odd_rows
 from tests.llm.test_simhash import slow_fingerprint
 
 FOLDER = "/root/testdata/sf0.001"
@@ -72,3 +72,23 @@ def test_run_gives_the_last_stage(spark, stored):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     rows = lambda df: sorted(map(tuple, df.select(*key).collect()))
     assert rows(got) == rows(stored[5])
+
+
+def test_odd_documents_pass_every_stage(spark):
+    docs = odd_documents(spark)
+    told = sorted(str((r[0], *r[2:4], *r[5:])) for r in odd_rows())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = keep(stage(spark, docs, FOLDER), name)
+        rows = docs.collect()
+        assert docs.dtypes == odd_documents(spark).dtypes
+        # every other column is as it came
+        assert {str((r[0], *r[2:4], *r[5:])) for r in rows} <= set(told) and len(rows) > 5
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert pieces.where("piece = 0").count() == docs.count()
+
+
+def test_no_documents_pass_every_stage(spark):
+    docs = no_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = keep(stage(spark, docs, FOLDER), name)
+        assert docs.count() == 0

@@ -58,3 +58,27 @@ def test_bytes_are_even(spark):
 
 def test_no_documents(spark):
     assert shard_by_bytes(no_documents(spark)).count() == 0
+
+
+def plain_loads(partials, n_parts):
+    """Differencing with whole lists: the two with the largest spread, heaviest part with lightest."""
+    state = [(sorted([*p, *[0] * (n_parts - len(p))]), i) for i, p in enumerate(partials)]
+    fresh = len(state)
+    while len(state) > 1:
+        state.sort(key=lambda s: (s[0][0] - s[0][-1], s[1]))
+        (one, _), (other, _), *rest = state
+        state = [*rest, (sorted(a + b for a, b in zip(one, reversed(other))), fresh)]
+        fresh += 1
+    return state[0][0]
+
+
+def test_differencing_equals_the_plain_form():
+    rng = random.Random(6)
+    for n_parts in (2, 3, 24):
+        for n in (1, 2, 7, 60):
+            partials = [[rng.choice([1, 5, rng.randrange(1, 1_000)]) for _ in range(rng.randrange(1, min(4, n_parts + 1)))] for _ in range(n)]
+            loads = [0] * n_parts
+            for sums, parts in zip(partials, difference(partials, n_parts)):
+                for s, p in zip(sums, parts):
+                    loads[p] += s
+            assert sorted(loads) == plain_loads(partials, n_parts)

@@ -70,3 +70,40 @@ def test_odd_documents_and_no_labels(spark):
     rows = toxicity.grade_documents(docs, none).collect()
     assert len(rows) == len(odd_rows()) and not any(r.rejected for r in rows)
     assert toxicity.grade_documents(no_documents(spark), none).count() == 0
+
+
+def test_the_fit_is_a_maximum_of_the_plain_likelihood():
+    rng = np.random.default_rng(5)
+    n, width = 400, 5
+    dense = rng.integers(0, 4, (n, width))
+    truth = np.array([1.5, -1.0, 0.8, 0.0, 1.2])
+    latent = np.log1p(dense) @ truth + rng.logistic(size=n)
+    grades = (latent > 1.5).astype(int) + (latent > 3.0)
+    rows, columns = np.nonzero(dense)
+    sample = toxicity.Sample.of((dense > 0).sum(axis=1), columns, dense[rows, columns], grades > 0)
+    model = toxicity.fit(sample, grades, steps=4_000)
+    used = np.log1p(dense[:, model.slots].astype(float))
+
+    def loss(theta):
+        w, cuts = theta[: len(model.slots)], theta[len(model.slots) :]
+        total = 0.0
+        for x, g in zip(used @ w, grades):
+            above = [1.0, *(1 / (1 + np.exp(c - x)) for c in cuts), 0.0]
+            total -= np.log(above[g] - above[g + 1])
+        return (total + 0.05 * (w**2).sum()) / n
+
+    theta = np.concatenate([model.weights, model.thresholds])
+    step = 1e-4
+    gradient = [(loss(theta + step * e) - loss(theta - step * e)) / (2 * step) for e in np.eye(len(theta))]
+    assert len(model.slots) >= 3 and np.abs(gradient).max() < 5e-3
+    assert loss(theta) < min(loss(theta + rng.normal(size=len(theta)) * 0.1) for _ in range(20))
+
+
+def test_keeping_clean_rows_leaves_all_columns(spark):
+    rows = made(200, 3)
+    names = "severity grade rejected toxic_probability _s".split()
+    docs = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in names]) for i, t, _ in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.columns == docs.columns and 100 < kept.count() < 200
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
