@@ -94,3 +94,57 @@ def test_other_columns_stay_as_they_are(spark):
 def test_no_documents(spark):
     assert mixing.mix(no_documents(spark)).count() == 0
     assert mixing.mixed_documents(no_documents(spark)).count() == 0
+
+
+def plain_mix(rows, orders, weights, schedules):
+    """Words taken and positions of each document, source by source in plain Python."""
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for _, n, s in rows if s == source) for source in sources]
+    heights = [weights[i % len(weights)] for i in range(len(sources))]
+    low, high = 0.0, 1e9  # the unit whose shares, cut at twice a source, add up to what is wanted
+    for _ in range(200):
+        unit = (low + high) / 2
+        low, high = (unit, high) if sum(min(unit * h, 2 * n) for h, n in zip(heights, sizes)) < 1.5 * sum(sizes) else (low, unit)
+    out = {}
+    for at, (source, size, height) in enumerate(zip(sources, sizes, heights)):
+        target = min(low * height, 2 * size)
+        own = sorted((orders[i], i, n) for i, n, s in rows if s == source and n)
+        base = min(2, int(target / size + 1e-9)) if size else 0
+        extra = 0 if base == 2 else round(target - base * size)
+        starts, end = {i: [] for _, i, _ in own}, 0
+        for _, i, n in own:
+            starts[i] += [e * size + end for e in range(base)]
+            end += n
+        left, reached, first = own, 0, True
+        while True:
+            fits = left if first else [d for d in left if d[2] <= extra - reached]
+            taken, end = [], 0
+            for d in fits:
+                end += d[2]
+                if end <= extra - reached:
+                    taken.append((d, end - d[2]))
+            if not taken and not first:
+                break
+            for (_, i, _), place in taken:
+                starts[i].append(base * size + reached + place)
+            reached += sum(d[2] for d, _ in taken)
+            left, first = [d for d in left if d not in [t for t, _ in taken]], False
+        knots = schedules[at % len(schedules)]
+        grid = np.linspace(0, 1, 200_001)
+        heights_at = np.interp(grid, *zip(*knots))
+        done = np.concatenate([[0], np.cumsum((heights_at[1:] + heights_at[:-1]) / 2 * np.diff(grid))])
+        for _, i, n in own:
+            out[i] = n * len(starts[i]), sorted(np.interp([x / target for x in starts[i]], done / done[-1], grid))
+    return out
+
+
+def test_the_whole_mix_equals_a_plain_one(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(1, 60)), ["a", "b", "c", None][int(rng.integers(0, 4)) if i % 3 else 0]) for i in range(160)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, n, s in rows], "doc_id long, text string, source string")
+    orders = {r.doc_id: r.o for r in docs.select("doc_id", F.xxhash64(F.lit(7), "doc_id").alias("o")).collect()}
+    wanted = plain_mix(rows, orders, mixing.WEIGHTS, mixing.SCHEDULES)
+    got = {r.doc_id: (r.taken, sorted(r.positions)) for r in mixing.mix(docs.repartition(3)).collect()}
+    assert {i: t for i, (t, _) in got.items()} == {i: t for i, (t, _) in wanted.items()}
+    for i, (_, positions) in got.items():
+        assert positions == pytest.approx(wanted[i][1], abs=1e-4)
