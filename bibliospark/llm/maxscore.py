@@ -30,29 +30,24 @@ QUERY_ROWS = 1_024
 FIRST_ROWS = 512
 #: Non-essential terms probed before the competing vectors are pruned again.
 PROBED = 8
-#: Components beyond this could overflow a long score.
-LARGEST = 1 << 28
+#: Components and scores are longs; bounds are summed in longs only while they stay below half of that.
+LONG = 1 << 63
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
     """``id`` and ``terms``: floor(scale * x) of each component as a double.
 
     Vectors that are null or hold a null or non-finite component, and rows
-    without an id, are left out. A component too large for long scores is an
+    without an id, are left out. A component that is no long once scaled is an
     error.
     """
-    x = F.transform(F.col(vector_col).cast("array<double>"), lambda v: F.floor(v * scale))
-    finite = F.forall(
-        F.col(vector_col).cast("array<double>"),
-        lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")),
-    )
-    fits = F.forall("terms", lambda v: F.abs(v) <= LARGEST)
-    return (
-        vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
-        .select(F.col(id_col).cast("long").alias("id"), x.cast("array<long>").alias("terms"))
-        .withColumn(
-            "terms", F.when(fits, F.col("terms")).otherwise(F.raise_error(F.lit("a component is too large for long scores")))
-        )
+    doubles = F.col(vector_col).cast("array<double>")
+    finite = F.forall(doubles, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fits = F.forall(doubles, lambda v: F.abs(v * scale) < float(LONG))
+    terms = F.transform(doubles, lambda v: F.floor(v * scale)).cast("array<long>")
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite).select(
+        F.col(id_col).cast("long").alias("id"),
+        F.when(fits, terms).otherwise(F.raise_error(F.lit("a scaled component is no long"))).alias("terms"),
     )
 
 
@@ -83,23 +78,33 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         self.ids = ids
+        self.postings = matrix.T  # not copied: only components too large for doubles are read from it
         # doubles are exact as long as every partial sum fits their mantissa
-        self.postings = np.ascontiguousarray(matrix.T)
-        self.largest = matrix.max(axis=0, initial=-LARGEST) if len(matrix) else np.zeros(matrix.shape[1], np.int64)
-        self.smallest = matrix.min(axis=0, initial=LARGEST) if len(matrix) else np.zeros(matrix.shape[1], np.int64)
+        self.doubles = np.ascontiguousarray(self.postings, dtype=np.float64)
+        self.largest = matrix.max(axis=0) if len(matrix) else np.zeros(matrix.shape[1], np.int64)
+        self.smallest = matrix.min(axis=0) if len(matrix) else np.zeros(matrix.shape[1], np.int64)
         self.peak = int(np.abs(matrix).max(initial=0))
-        self.doubles = self.postings.astype(np.float64)
 
     def best(self, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((ids, -scores))[:k]
         return ids[order], scores[order]
 
     def search(self, own_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k, best first, ties to the smaller id, ``own_id`` left out."""
-        exact = self.peak * int(np.abs(query).max(initial=0)) * max(1, len(query)) < 1 << 53
+        """Ids and scores of the best k, best first, ties to the smaller id, ``own_id`` left out.
+
+        Where the bounds could leave long, every vector is scored instead; a
+        score that leaves long, to within the rounding of doubles, is an error.
+        """
+        furthest = self.peak * int(np.abs(query).max(initial=0)) * max(1, len(query))
+        exact = furthest < 1 << 53
         postings = self.doubles if exact else self.postings
         q = query.astype(postings.dtype)
         others = np.flatnonzero(self.ids != own_id)
+        if furthest >= LONG >> 1:
+            near = np.abs(query.astype(np.float64) @ self.doubles[:, others])
+            if near.max(initial=0) + furthest / (1 << 50) >= LONG:
+                raise ValueError(f"a score of vector {own_id} is no long")
+            return self.best(self.ids[others], (q @ postings)[others], k)  # sums that wrap on the way end right
         first = others[:FIRST_ROWS]
         scores = (q @ postings[:, first]).astype(np.int64)
         ids, scores = self.best(self.ids[first], scores, k)
@@ -116,7 +121,9 @@ class Shard:
         essential = int(np.count_nonzero(lift > spare))
         ahead = np.concatenate([np.cumsum(upper[order][::-1])[::-1], [0]])
         terms = order[:essential]
-        partial = (q[terms] @ postings[terms])[rest].astype(np.int64)
+        # most queries need all terms, which are read in place
+        scored = q @ postings if essential == len(order) else q[terms] @ postings[terms]
+        partial = scored[rest].astype(np.int64)
         competing = partial + ahead[essential] >= threshold
         rest, partial = rest[competing], partial[competing]
         for at in range(essential, len(order), PROBED):
@@ -140,7 +147,8 @@ def top_k(
     are null or hold null or non-finite components, and rows without an id,
     take no part; a shorter vector counts as ending in zeros. Repeated rows
     are candidates each, and a repeated query row is answered each time.
-    Extra columns are ignored; an empty table gives no rows.
+    Extra columns are ignored; an empty table gives no rows. Large components
+    are scored exactly in longs; a component or score that is no long is an error.
     """
     rows = keep(quantized(vectors, id_col, vector_col, scale), "vectors")
     size = rows.agg(

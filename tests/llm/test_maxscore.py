@@ -64,6 +64,26 @@ def test_large_components_stay_exact():
     assert ids.tolist() == [1, 0, 2] and scores[0] - scores[1] == 2
 
 
+def test_components_of_any_size_that_scores_allow(spark):
+    big = [3e6, -3e6, 1e13, 2.0**54, 0.25]
+    rng = random.Random(8)
+    rows = [(i, [rng.choice(big) if j == i % 3 and i % 4 == 0 else float(rng.randrange(-2, 3)) / 256 for j in range(3)], 1) for i in range(60)]
+    rows = [(i, [x if abs(x) < 1e15 or i == 0 else 0.5 for x in v], 1) for i, v, _ in rows]
+    rows = [(i, [x / 1e6 if abs(x) > 1e12 and i else x for x in v], 1) for i, v, _ in rows]
+    got = maxscore.top_k(spark.createDataFrame(rows, SCHEMA), F.col("id") % 5 == 0, 5).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute(rows, 5, 5)
+
+
+def test_scores_beyond_long_are_refused():
+    matrix = np.array([[1 << 40, 0], [1, 1 << 40], [-(1 << 40), 1 << 30]])
+    shard = maxscore.Shard(np.arange(3), matrix)
+    with pytest.raises(ValueError):
+        shard.search(9, np.array([1 << 24, 0]), 2)
+    ids, scores = shard.search(9, np.array([1 << 22, 1 << 22]), 3)
+    assert ids.tolist() == [1, 0, 2]
+    assert scores.tolist() == [(1 << 62) + (1 << 22), 1 << 62, -(1 << 62) + (1 << 52)]
+
+
 def test_few_and_no_candidates(spark):
     two = spark.createDataFrame([(0, [1.0], 1), (1, [2.0], 1)], SCHEMA)
     rows = maxscore.top_k(two, F.col("id") % 50 == 0, 5).collect()
