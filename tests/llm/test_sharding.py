@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
+from bibliospark.llm import sharding
 from bibliospark.llm.sharding import difference, shard_by_bytes
 from tests.llm.samples import no_documents, odd_documents, odd_rows
 
@@ -56,6 +59,60 @@ def test_bytes_are_even(spark):
     assert len(loads) == 24 and max(loads.values()) - min(loads.values()) <= 20
 
 
+def test_many_levels_stay_even_and_rows_of_one_id_are_spread(spark):
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randrange(1, 900) + str(i)) for i in range(1_500)]
+    rows += [(7, "the same row")] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = shard_by_bytes(docs, n_shards=5, groups_per_task=100, partials_per_task=4).collect()  # 16 units, 3 levels
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    loads: dict[int, int] = {}
+    slots: dict[int, list] = {}
+    for r in got:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len({r.shard for r in got if r.doc_id == 7 and r.size == 20}) == 1
+    assert len(loads) == 5 and max(loads.values()) - min(loads.values()) < 200
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_levelled_loads():
+    assert sharding.levelled([0, 10, 4], 8) == [6, 0, 2]
+    assert sharding.levelled([0, 0, 0], 9) == [3, 3, 3]
+    assert sharding.levelled([5, 100], 0) == [0, 0]
+
+
+def test_large_groups_are_made_up_for(spark):
+    rng = random.Random(10)
+    rows = [(i, "x" * rng.randrange(1, 400) + str(i)) for i in range(4_000)]
+    for copies in ((40, 2_500), (41, 900), (42, 30)):
+        rows += [(10_000 + copies[0], f"copies {copies[0]}")] * copies[1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    loads: dict[int, int] = {}
+    for r in shard_by_bytes(docs, n_shards=8, groups_per_task=300).collect():
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) < 0.01 * max(loads.values())
+
+
+def test_a_third_of_all_rows_on_one_id_fill_no_bucket_alone(spark, monkeypatch):
+    rows = [(i, f"t{i}") for i in range(4_000)] + [(1, "hot")] * 2_000
+    sizes = []
+    plain = sharding.number_within
+
+    def counted(df, key, tie, name, n):
+        spread = df.groupBy(F.pmod(F.xxhash64(*tie), F.lit(8)).alias("bucket")).count().collect()
+        sizes.extend(r["count"] for r in spread)
+        return plain(df, key, tie, name, n, 750)
+
+    monkeypatch.setattr(sharding, "number_within", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    slots: dict[int, list] = {}
+    for r in shard_by_bytes(docs).collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(sizes) == 8 and max(sizes) < 1_000
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_no_documents(spark):
     assert shard_by_bytes(no_documents(spark)).count() == 0
 
