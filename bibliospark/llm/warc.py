@@ -7,9 +7,9 @@ lengths in the index count in the uncompressed archive.
 
 Reading: each archive is parsed by one task, checked against its digests and
 turned into index entries sorted by URL key, time and page id, a sorted run.
-The runs are cut at common splitters, and every range of keys merges its
-pieces of all runs with a loser tree. Ranges in a row give the captures of the
-whole collection in order, each URL's history together.
+Spark's range partitioner cuts the runs at common keys, and every range merges
+its pieces of all runs with a loser tree. Ranges in a row give the captures of
+the whole collection in order, each URL's history together.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ import base64
 import gzip
 import hashlib
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibliospark.llm.common import buckets_for
@@ -36,11 +36,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Captures are dated one second apart from here, by page id, as pages have no time of their own.
 FIRST_CAPTURE = 1_600_000_000
 CAPTURE_SPAN = 1_000_000_000
-#: Records in one archive file.
-RECORDS_PER_FILE = 4_096
-#: Index entries that one task merges, and about how many keys splitters are chosen from, drawn by hash.
+#: Payload bytes in one archive file, which one task reads whole; a larger payload has a file to itself.
+FILE_BYTES = 64 << 20
+#: Payloads are archived by size, so that a number of records bounds the bytes: limits of each class but the last.
+SIZE_CLASSES = (16 << 10, 256 << 10, 4 << 20)
+#: Index entries that one task merges, about.
 ENTRIES_PER_RANGE = 50_000
-SAMPLED_KEYS = 20_000
 
 ENTRY = pa.struct(
     [
@@ -100,7 +101,8 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .where("n > 1")
         .select("digest", "bytes", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.lit(True).alias("shared"))
     )
-    joined = rows.join(responses, ["digest", "bytes"], "left")
+    # stored: were it still grouped by the join's key, adaptive execution could not split a payload that many pages share
+    joined = rows.join(keep(responses, "responses"), ["digest", "bytes"], "left")
     revisit = F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     second = F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(CAPTURE_SPAN))
     utc = F.to_utc_timestamp(F.timestamp_seconds(second), F.current_timezone())
@@ -132,10 +134,24 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select(F.concat(head, F.lit("\r\n"), body).alias("value"))
 
 
+def size_classes(pages: DataFrame) -> list[tuple[Column, int]]:
+    """(which payloads, records per file) of each class of sizes that occurs in ``pages``."""
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    limits = [-1, *SIZE_CLASSES]
+    within = [(size > low) & (size <= high) for low, high in zip(limits, SIZE_CLASSES)] + [size > SIZE_CLASSES[-1]]
+    per_file = [max(1, FILE_BYTES // high) for high in SIZE_CLASSES] + [1]
+    counts = pages.agg(*(F.count_if(c) for c in within)).first()
+    return [(c, n) for c, n, found in zip(within, per_file, counts) if found]
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write the pages as WARC files below ``path``; the text writer adds the record ends."""
-    out = records(pages, min_bytes).write.option("lineSep", RECORD_END)
-    out.option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    """Write the pages as WARC files in folders below ``path``; the text writer adds the record ends.
+
+    Equal payloads are of one class of sizes, so classes are written one by one.
+    """
+    for number, (of_size, per_file) in enumerate(size_classes(pages)):
+        out = records(pages.where(of_size), min_bytes).write.option("lineSep", RECORD_END)
+        out.option("maxRecordsPerFile", per_file).option("compression", "gzip").text(f"{path}/sizes-{number}")
 
 
 def url_key(url: str) -> str:
@@ -213,7 +229,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 found = pa.array(entries_of(name, gzip.decompress(content.as_buffer())), ENTRY)
                 yield pa.RecordBatch.from_struct_array(found)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInArrow(run, ENTRY_SQL)
 
 
@@ -251,82 +267,60 @@ def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
         replay(run)
 
 
+def sorted_runs(rows: Iterable[dict]) -> list[list[tuple]]:
+    """``rows`` as (order, entry), in lists that are sorted: an archive's entries in turn, as they came."""
+    runs: dict[str, list[tuple]] = {}
+    done = []
+    for entry in rows:
+        order = order_of(entry)
+        own = runs.setdefault(entry["archive"], [])
+        if own and order < own[-1][0]:  # a run that was read in two pieces, the later one first
+            done.append(own)
+            own = runs[entry["archive"]] = []
+        own.append((order, entry))
+    return done + list(runs.values())
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The entries of stored ``runs`` with ``position``, their place in the global order from 0.
 
-    A bounded sample of keys gives the splitters. Captures of one URL, and
-    even of one URL and second, fall into several ranges where there are many,
-    as the page id is part of the key. The driver keeps the splitters and one
-    count per range.
+    Captures of one URL, and even of one URL and second, fall into several
+    ranges where there are many, as page id, archive and offset are part of
+    the key. The driver keeps what Spark's range partitioner samples, a fixed
+    number of keys per range; the places where ranges begin are a table.
     """
-    spark = runs.sparkSession
-    entries = runs.count()
-    ranges = buckets_for(entries, ENTRIES_PER_RANGE)
-    key = ("urlkey", "captured", "page_id", "archive", "offset")
-    drawn = F.shiftrightunsigned(F.xxhash64(*key), 32) < int((1 << 32) * min(1.0, SAMPLED_KEYS / max(1, entries)))
-    sample = runs.select(*key).where(drawn).collect() if ranges > 1 else []
-    keys = sorted(order_of(r.asDict()) for r in sample)
-    splitters = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
-    chunk_type = pa.list_(ENTRY)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            begin = 0
-            numbers, chunks = [], []
-            while begin < len(rows):
-                # one archive's entries stand together and sorted
-                end = begin
-                while end < len(rows) and rows[end]["archive"] == rows[begin]["archive"]:
-                    end += 1
-                own = [order_of(r) for r in rows[begin:end]]
-                low = 0
-                for number in range(len(splitters) + 1):
-                    high = bisect_left(own, splitters[number], low) if number < len(splitters) else len(own)
-                    if high > low:
-                        numbers.append(number)
-                        chunks.append(rows[begin + low : begin + high])
-                    low = high
-                begin = end
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers, pa.int32()), pa.array(chunks, chunk_type)], ["range", "entries"]
-            )
-
-    def merge(table: pa.Table) -> pa.Table:
-        chunks = table.column("entries").to_pylist()
-        # within a chunk order is that of the run; ties between chunks cannot be, as archive and offset differ
-        keyed = [[(order_of(e), i, j) for j, e in enumerate(c)] for i, c in enumerate(chunks)]
-        merged = [chunks[i][j] for _, i, j in loser_tree_merge(keyed)]
-        out = pa.Table.from_struct_array(pa.chunked_array([pa.array(merged, ENTRY)]))
-        number = table.column("range")[0]
-        out = out.append_column("range", pa.array([number.as_py()] * len(merged), pa.int32()))
-        return out.append_column("place", pa.array(range(len(merged)), pa.int64()))
-
-    chunks = runs.mapInArrow(cut, f"range int, entries array<struct<{_struct_sql()}>>")
-    merged = keep(
-        chunks.groupBy("range").applyInArrow(merge, f"{ENTRY_SQL}, range int, place long"), "capture-index"
-    )
-    counts = {r.range: r.n for r in merged.groupBy("range").agg(F.count("*").alias("n")).collect()}
-    begins, total = [], 0
-    for number in range(ranges):
-        begins.append((number, total))
-        total += counts.get(number, 0)
-    starts = spark.createDataFrame(begins, "range int, _start long")
-    placed = merged.join(F.broadcast(starts), "range")
+    ranges = buckets_for(runs.count(), ENTRIES_PER_RANGE)
+    placed_schema = f"{ENTRY_SQL}, range int, place long"
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        # orders differ, as archive and offset do, so entries themselves are never compared
+        pieces = sorted_runs(row for batch in batches for row in batch.to_pylist())
+        merged = [entry for _, entry in loser_tree_merge(pieces)]
+        for begin in range(0, len(merged), 10_000):
+            part = pa.RecordBatch.from_struct_array(pa.array(merged[begin : begin + 10_000], ENTRY))
+            columns = [*part.columns, pa.array([number] * len(part), pa.int32()), pa.array(range(begin, begin + len(part)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "range", "place"])
+
+    cut = runs.repartitionByRange(ranges, "urlkey", "captured", "page_id", "archive", "offset")
+    merged = keep(cut.mapInArrow(merge, placed_schema), "capture-index")
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = merged.groupBy("range").agg(F.count("*").alias("_n"))
+    starts = starts.select("range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    placed = merged.join(starts, "range")
     return placed.withColumn("position", F.col("_start") + F.col("place")).drop("range", "place", "_start")
 
 
-def _struct_sql() -> str:
-    return ", ".join(part.strip().replace(" ", ":", 1) for part in ENTRY_SQL.split(","))
-
-
 def archive_and_index(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives, read them back and index them.
 
     One row per page, also for repeated rows; an empty table gives no rows.
-    Extra columns are ignored.
+    Extra columns are ignored. A task holds the payloads of one archive at a
+    time, ``FILE_BYTES`` or a single page.
     """
     spark = pages.sparkSession
     path = new_path(spark, "archives")
+    # an archive for no pages, so that there is a folder to read
+    spark.range(0).select(F.lit("").alias("value")).write.text(f"{path}/none")
     write_archives(pages, path, min_bytes)
     return merge_runs(keep(read_runs(spark, path), "capture-runs"))

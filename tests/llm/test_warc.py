@@ -72,6 +72,34 @@ def test_records_are_where_the_index_says(spark, tmp_path):
         assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1_000)
+    monkeypatch.setattr(warc, "SIZE_CLASSES", (10, 100, 1_000))
+    warc.write_archives(spark.createDataFrame(rows_of(), SCHEMA).coalesce(1), f"{tmp_path}/a")
+    sizes: dict[str, list] = {}
+    found = keep(warc.read_runs(spark, f"{tmp_path}/a"), "runs").collect()
+    for r in found:
+        sizes.setdefault(r.archive, []).append(r.payload_bytes)
+    assert len(found) == len(rows_of())
+    assert all(sum(s) <= 1_000 or len(s) == 1 for s in sizes.values())
+    assert max(map(len, sizes.values())) > 1
+
+
+def test_a_payload_that_a_third_of_all_pages_share(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ENTRIES_PER_RANGE", 50)
+    rows = [(i, "http://one.example.com/", "" if i % 3 == 0 else f"p{i}", 7, "z") for i in range(900)]
+    index = warc.archive_and_index(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.record_type, r.refers_to) for r in index if r.page_id % 3 == 0 and r.page_id != 897} == {("revisit", 897)}
+    assert [r.page_id for r in sorted(index, key=lambda r: r.position)] == list(range(900))
+
+
+def test_runs_read_in_pieces():
+    entries = [{"urlkey": k, "captured": "t", "page_id": None, "archive": a, "offset": i} for i, (k, a) in enumerate(["cx", "dy", "ax", "by", "bx"])]
+    pieces = warc.sorted_runs(entries)
+    assert sorted(len(p) for p in pieces) == [1, 1, 1, 2]
+    assert [e["urlkey"] for _, e in warc.loser_tree_merge(pieces)] == ["a", "b", "b", "c", "d"]
+
+
 def test_a_changed_payload_is_found():
     head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI: u\r\nWARC-Date: d\r\n"
     body = "HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\ny"
