@@ -184,12 +184,15 @@ def sample_labelled(
 ) -> Sample:
     """Features and labels of at most ``max_rows`` labelled rows, by a hash of the id.
 
-    Rows with a null id, text or label are no labelled rows. The ids are drawn
-    before the texts are joined, so only drawn texts are read into features.
+    Rows with a null id, text or label are no labelled rows, and rows that agree
+    in id, text and label are one. The ids are drawn before the texts are joined,
+    so only drawn texts are read into features; as an id may have many texts, the
+    bound is put on what the join gives once more. The driver gets ``max_rows`` rows.
     """
     drawn = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
         .where(F.col("_id").isNotNull() & F.col("toxic").isNotNull())
+        .distinct()
         .orderBy(F.xxhash64("_id"), "_id", "toxic")
         .limit(max_rows)
     )
@@ -206,8 +209,11 @@ def sample_labelled(
         lambda texts: [sorted(encoder.of(t).items()) for t in texts],
         pa.map_(pa.int32(), pa.int32()),
     )
+    # repeated rows meet as features, combined by the tasks that made them
+    once = found.groupBy("_order.a", "_order.b", "toxic").agg(F.any_value("features").alias("features"))
+    bounded = once.orderBy(F.xxhash64("a", "b"), "a", "b", "toxic").limit(max_rows)
     # in one order, so that sums agree to the last bit when the fit is run again
-    rows = found.select("_order.a", "_order.b", "toxic", "features").toArrow().combine_chunks()
+    rows = bounded.select("a", "b", "toxic", "features").toArrow().combine_chunks()
     rows = rows.sort_by([("a", "ascending"), ("b", "ascending"), ("toxic", "ascending")]).combine_chunks()
     features = rows["features"].combine_chunks() if len(rows) else pa.array([], pa.map_(pa.int32(), pa.int32()))
     sizes = np.diff(features.offsets.to_numpy()) if len(rows) else np.zeros(0, int)

@@ -107,3 +107,15 @@ def test_keeping_clean_rows_leaves_all_columns(spark):
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns and 100 < kept.count() < 200
     assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+
+
+def test_the_bound_holds_where_one_id_has_many_rows(spark):
+    rows = made(200, 4)
+    docs = [(i, t) for i, t, _ in rows] + [(3, "the same words")] * 300 + [(3, f"words of {i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2, "doc_id long, toxic int")
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    whole = toxicity.sample_labelled(docs, labels)
+    assert len(whole.toxic) == 200 + 1 + 300
+    assert len(toxicity.sample_labelled(docs, labels, max_rows=150).toxic) <= 150
+    few = toxicity.sample_labelled(docs.where("doc_id = 3"), labels, max_rows=200)
+    assert len(few.toxic) == 200
