@@ -115,32 +115,19 @@ def find_candidates(docs: DataFrame, text_col: str = "text", keep_text: bool = F
     return replace_column(docs, text_col, "candidates", CANDIDATES, scan, ARROW_CANDIDATES, keep_text)
 
 
-def ownership(found: DataFrame, owner_col: str, repository_cols: list[str], max_owners: int = MAX_OWNERS) -> DataFrame:
+def ownership(found: DataFrame, owner_col: str, repository_cols: list[str]) -> DataFrame:
     """Per candidate hash the number of distinct ``owners`` and ``repositories``.
 
     Copies of a text, rows with the same ``_text_hash``, count as one owner and
-    repository, the least of theirs; but a text that more than ``max_owners``
-    owners hold is itself public, and all of them count. Rows are reduced to
+    repository, the least of theirs, however many hold it. Rows are reduced to
     distinct ones in the tasks that read them, so a value that fills a third of
     the corpus costs a few rows.
     """
-    repository = F.struct(*repository_cols).alias("repository")
-    held = found.select("_text_hash", F.col(owner_col).alias("owner"), repository)
-    per_owner = held.groupBy("_text_hash", "owner").agg(F.min("repository").alias("repository"))
-    texts = per_owner.groupBy("_text_hash").agg(
-        F.count("*").alias("_holders"), F.min(F.struct("owner", "repository")).alias("_least")
-    )
+    holder = F.struct(F.col(owner_col).alias("owner"), F.struct(*repository_cols).alias("repository"))
     # stored, so that the join with the candidates of a heavy text can be split
-    texts = keep(texts, "secret-texts")
-    seen = found.select(
-        F.explode("candidates.hash").alias("hash"), "_text_hash", F.col(owner_col).alias("owner"), repository
-    ).distinct()
-    public = F.col("_holders") > max_owners
-    counted = seen.join(texts, "_text_hash").select(
-        "hash",
-        F.when(public, F.col("owner")).otherwise(F.col("_least.owner")).alias("owner"),
-        F.when(public, F.col("repository")).otherwise(F.col("_least.repository")).alias("repository"),
-    )
+    texts = keep(found.groupBy("_text_hash").agg(F.min(holder).alias("_least")), "secret-texts")
+    seen = found.select(F.explode("candidates.hash").alias("hash"), "_text_hash").distinct()
+    counted = seen.join(texts, "_text_hash").select("hash", "_least.owner", "_least.repository")
     repositories = counted.groupBy("hash", "repository").agg(F.lit(1).alias("_one")).groupBy("hash").agg(
         F.count("*").alias("repositories")
     )
@@ -188,7 +175,8 @@ def scan_secrets(
     # stored, the key of a row stays the same however often the rows are read
     keyed = found.where(F.size("candidates") > 0).withColumn("_row", F.monotonically_increasing_id())
     keyed = keep(keyed, "secret-rows")
-    counts = ownership(keyed, owner_col, list(repository_cols), max_owners)
+    # stored, so that the join with the candidates can be split where one value is in very many rows
+    counts = keep(ownership(keyed, owner_col, list(repository_cols)), "secret-owners")
     copied = (F.col("owners") > max_owners) & (F.col("repositories") > max_owners)
     verdict = F.when(copied, "copied").when(F.col("live_looking"), "live").otherwise("plain")
     judged = (

@@ -34,7 +34,7 @@ def test_digest_of_odd_documents(spark):
 
 
 def test_owners_tell_copies_from_live_secrets(spark):
-    rows = [(i, f"see {LIVE} here", "en", f"owner{i}") for i in range(3)]
+    rows = [(i, f"see {LIVE} here, says {i}", "en", f"owner{i}") for i in range(3)]
     rows += [(10, f"mine {LIVE[::-1]} é token={LIVE[3:]}", "en", "solo"), (11, f"mine {LIVE[::-1]}", "de", "solo")]
     rows += [(12, None, None, None), (13, "", "en", "solo")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -63,6 +63,22 @@ def test_a_document_copied_to_another_source_keeps_its_secret(spark):
     assert masked[0] == masked[1] == "mine [SECRET] and [SECRET]" and masked[20] == rows[-3][1]
 
 
+def test_a_document_mirrored_everywhere_keeps_its_secret(spark):
+    rows = [(i, f"mine {LIVE} and token={LIVE[2:]}", "en", f"owner{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    verdicts = [[(s.owners, s.verdict) for s in r.spans] for r in secrets.scan_secrets(docs).collect()]
+    assert verdicts == [[(1, "live"), (1, "live")]] * 9
+    assert {r.text for r in secrets.redact(docs).collect()} == {"mine [SECRET] and [SECRET]"}
+
+
+def test_a_value_in_a_third_of_all_rows(spark):
+    rows = [(i, f"text {i} token={LIVE}" if i % 3 == 0 else f"text {i}", "en", f"owner{i % 7}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    found = {r.doc_id: r.spans for r in secrets.scan_secrets(docs).collect()}
+    assert len(found) == 900
+    assert all([(s.owners, s.verdict) for s in found[i]] == ([(7, "copied")] if i % 3 == 0 else []) for i in found)
+
+
 def test_overlapping_spans_become_one_mask(spark):
     text = 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b'
     docs = spark.createDataFrame([(1, text, "en", "s", 9)], "doc_id long, text string, lang string, source string, spans int")
