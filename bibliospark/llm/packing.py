@@ -323,7 +323,8 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[tupl
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to stored ``pieces`` (``length`` at most ``sequence``).
 
-    Pieces of one length are numbered without gaps, by a hash of their key in
+    ``pieces`` has a column ``_row`` with a number of its own for each row, which
+    spreads repeated rows like any others and is dropped. Pieces of one length are numbered without gaps, by a hash of their key in
     tasks of bounded size, and the number of a piece finds its pattern, repeat
     and place. The plan, at most some tens of thousands of rows whatever the
     corpus, is sent to every task.
@@ -341,8 +342,8 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
         first += n
     table = {k: tuple(np.array(c) for c in zip(*sorted(v))) for k, v in slots.items()}
     numbered = number_within(
-        pieces, "length", ["doc_id", "piece", "ids_crc32"], "_number", sum(histogram.values())
-    )
+        pieces, "length", ["doc_id", "piece", "ids_crc32", "_row"], "_number", sum(histogram.values())
+    ).drop("_row")
     shared = pieces.sparkSession.sparkContext.broadcast(table)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,4 +378,5 @@ def pack_documents(
     text makes one piece of one token; repeated rows make pieces of their own;
     a null id is kept. Other columns are ignored. No rows give no pieces.
     """
-    return pack(keep(tokenize_pieces(docs, tokenizer_path, id_col, text_col, sequence), "pieces"), sequence)
+    pieces = tokenize_pieces(docs, tokenizer_path, id_col, text_col, sequence)
+    return pack(keep(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces"), sequence)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bibliospark.llm import packing
@@ -84,3 +85,25 @@ def test_odd_documents(spark):
 
 def test_no_documents(spark):
     assert packing.pack_documents(no_documents(spark), PATH).count() == 0
+
+
+def test_repeated_rows_fill_no_bucket_alone(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(4_000)] + [(1, "one hot row")] * 2_000
+    sizes = []
+    plain = packing.number_within
+
+    def counted(df, key, tie, name, n):
+        spread = df.groupBy(F.pmod(F.xxhash64(*tie), F.lit(8)).alias("bucket")).count().collect()
+        sizes.extend(r["count"] for r in spread)
+        return plain(df, key, tie, name, n, 750)
+
+    monkeypatch.setattr(packing, "number_within", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = packing.pack_documents(docs, PATH, sequence=64).collect()
+    assert len(got) == 6_000 and len(sizes) == 8 and max(sizes) < 1_000
+    places: dict[int, list] = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        assert [a for a, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))]
+        assert sum(n for _, n in own) <= 64
