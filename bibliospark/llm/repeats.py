@@ -51,7 +51,7 @@ MIX = 0xFF51AFD7ED558CCD
 PLACE_BITS = 24
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 
-PHRASES = "doc_id {}, text_hash int, start int, n int, trigger long, phrase long"
+PHRASES = "doc_id {}, text_hash binary, start int, n int, trigger long, phrase long"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -267,7 +267,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash int, packed binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash binary, packed binary")
 
 
 def _unpack(packed: pa.Scalar) -> bytes:
@@ -356,10 +356,15 @@ def remove_repeats(
     ``length`` must be at least ``trigger``.
     """
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.hash(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text")
+        F.col(id_col).alias("doc_id"),
+        F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text_hash"),
+        F.col(text_col).cast("binary").alias("text"),
     )
     hits = repeated_windows(rows, length, trigger, dictionary_bytes, most_phrases)
-    listed = hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "runs")).alias("hits"))
+    # rows alike in id and text have the same hits, each of which is listed once
+    listed = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "runs")).alias("hits"))
+    # stored: were it still grouped by the join's key, adaptive execution could not split the rows of one text
+    listed = keep(listed, "repeat-hits")
     texts = _packed(rows)
     joined = texts.join(listed, _same_document(texts, listed), "left").select(texts["doc_id"], "packed", "hits")
 

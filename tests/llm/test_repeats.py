@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from bibliospark.llm.repeats import parse_texts, remove_repeats, window_classes
 from tests.llm.samples import no_documents, odd_documents, odd_rows
 
@@ -76,3 +78,27 @@ def test_window_classes_name_equal_windows_in_order():
     windows = [data[s : s + 30] for s in starts]
     order = {w: i for i, w in enumerate(sorted(set(windows)))}
     assert named.tolist() == [order[w] for w in windows]
+
+
+def test_texts_of_one_id_whose_short_hashes_agree(spark):
+    passage = "".join(f"passage {i} of many; " for i in range(20))
+    ids = spark.range(150_000)
+    with_it = ids.select(F.concat(F.lit(passage), F.col("id").cast("string")).alias("a")).withColumn("h", F.hash("a"))
+    other = F.concat(*(F.md5(F.concat_ws("-", "id", F.lit(k))) for k in range(15)))
+    without = ids.select(other.alias("b")).withColumn("h", F.hash("b"))
+    pair = with_it.join(without, "h").orderBy("a", "b").first()
+    assert pair is not None
+    texts = [pair.a, pair.b, passage]
+    docs = spark.createDataFrame(list(zip((1, 1, 2), texts)), "doc_id long, text string")
+    got = [(r.n_bytes, [(a, b) for a, b in r.spans], bytes(r.kept)) for r in remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(brute([t.encode() for t in texts], 200))
+
+
+def test_many_copies_of_one_row(spark):
+    text = "".join(f"sentence {i} of the text that is copied; " for i in range(40))
+    rows = [(1, text)] * 300 + [(i, f"{i} alone " * 3) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = remove_repeats(docs).collect()
+    assert len(got) == 900
+    assert all((r.n_bytes, len(r.kept)) == (len(text), 0) for r in got if r.n_bytes > 1_000)
+    assert all(len(r.kept) == r.n_bytes for r in got if r.n_bytes < 1_000)
