@@ -17,7 +17,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from bibliospark.llm.common import WORD, buckets_for, fresh
+from bibliospark.llm.common import WORD, buckets_for, fresh, number_within
 from bibliospark.operators.ids import assign_ids
 from bibliospark.sources.durable import keep
 
@@ -106,6 +106,26 @@ def _time_of(knots: tuple[tuple[float, float], ...]) -> Callable[[Column], Colum
     return time
 
 
+def _ordered(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with ``_order``, a hash of id and seed, and for ids of several rows of all that tells these apart.
+
+    Rows alike in id, source, size and text are numbered, spread by ``_row``, so
+    that very many rows of one id get as many hashes. Which of them has which
+    number does not matter: the numbers are the same however rows are dealt.
+    """
+    several = rows.groupBy("_order").agg(F.count("*").alias("_n")).where("_n > 1").select("_order")
+    # stored, so that the join with the rows of a heavy id can be split
+    several = keep(several, "mix-several")
+    again = rows.join(several, "_order", "left_semi").withColumn(
+        "_alike", F.xxhash64("_order", "doc_id", "source", "size", "_text")
+    )
+    again = keep(again, "mix-repeated")
+    numbered = number_within(again, "_alike", ["_row"], "_nth", again.count())
+    own = F.xxhash64(F.lit(seed), F.col("_alike"), F.col("_nth"))
+    once = rows.join(several, "_order", "left_anti")
+    return once.unionByName(numbered.withColumn("_order", own).drop("_alike", "_nth")).drop("_row", "_text")
+
+
 def _laid_out(rows: DataFrame) -> DataFrame:
     """Add ``_end``: the words of the source up to and including the document, in hashed order.
 
@@ -183,7 +203,8 @@ def mix(
     ordered last. Repeated rows count each. An empty table gives no rows.
     Every taken document is whole, so a source misses its target by less than
     its smallest document that is left. Reruns give the same mix: the order
-    is a hash of the id and the seed.
+    is a hash of the id and the seed, and where an id has several rows also of
+    their sources, sizes, texts and numbers.
 
     One row per source goes through the driver, where weights are given; the
     documents stay distributed.
@@ -193,9 +214,11 @@ def mix(
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("_order"),
+        F.xxhash64(text_col).alias("_text"),
+        F.monotonically_increasing_id().alias("_row"),
         *keep_cols,
     )
-    rows = keep(rows, "mix-rows")
+    rows = _ordered(keep(rows, "mix-rows"), seed)
     spark = docs.sparkSession
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
     plan = plan_shares(sums, share, cap)

@@ -148,3 +148,28 @@ def test_the_whole_mix_equals_a_plain_one(spark):
     assert {i: t for i, (t, _) in got.items()} == {i: t for i, (t, _) in wanted.items()}
     for i, (_, positions) in got.items():
         assert positions == pytest.approx(wanted[i][1], abs=1e-4)
+
+
+def test_very_many_rows_of_one_id_are_spread_and_reruns_agree(spark):
+    # a third of the rows share an id: half of them one text, the others a text each of one size
+    rows = [(7, "the same words" if i % 2 else f"other words {i}", "s") for i in range(3_000)]
+    rows += [(None, "no id here", "s")] * 50 + [(i, f"some words {i} " * (i % 5 + 1), "st"[i % 2]) for i in range(100, 6_100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    narrow = docs.select(
+        "doc_id", "source", F.length("text").cast("long").alias("size"), F.xxhash64(F.lit(7), "doc_id").alias("_order"),
+        F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_row"),
+    )
+    ordered = mixing._ordered(narrow, 7)
+    assert ordered.count() == len(rows) == ordered.select("_order").distinct().count()
+    eighths = ordered.where("doc_id = 7").groupBy(F.shiftrightunsigned("_order", 61)).count().collect()
+    assert len(eighths) == 8 and max(r["count"] for r in eighths) < 2 * 3_000 / 8
+
+    def taken(parts):
+        mixed = mixing.mixed_documents(docs.repartition(parts))
+        return [tuple(r) for r in mixed.collect()]
+
+    first = taken(3)
+    assert sorted(map(str, first)) == sorted(map(str, taken(11)))
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == len(rows) and sum(r.copies for r in mixed) == len(first)
+    assert all(r.copies <= 2 for r in mixed)
