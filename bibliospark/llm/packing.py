@@ -15,15 +15,18 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibliospark.llm.common import number_within
+from bibliospark.operators.ids import assign_ids
 from bibliospark.sources.durable import keep
 
 SEQUENCE = 4096
@@ -35,6 +38,8 @@ PATTERN_WASTE = 8
 #: Second and third lengths tried for each first length.
 PARTNERS = 24
 FIT_STEPS = 400
+#: Equal parts of an ordered corpus that are packed one by one.
+SEGMENTS = 8
 #: Runs of letters whose ids a worker remembers, up to this length; at the bound it starts anew.
 REMEMBERED_RUNS = 500_000
 REMEMBERED_LENGTH = 64
@@ -148,12 +153,19 @@ def _in_parts(encoder: WordIds, texts: list[str | None]) -> Iterator[bytes]:
 
 
 def tokenize_pieces(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID
+    docs: DataFrame,
+    tokenizer_path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sequence: int = SEQUENCE,
+    end_id: int = END_ID,
+    order: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Pieces of at most ``sequence`` tokens: id, piece, start, length, crc of its ids.
+    """Pieces of at most ``sequence`` tokens: id, piece, start, length, crc of its ids, and ``order`` of their documents.
 
     Every document ends in ``end_id``; a null or empty text is that id alone.
     """
+    carried = {name: value.alias(name) for name, value in (order or {}).items()}
     id_type = docs.schema[id_col].dataType.simpleString()
     end, size = np.array([end_id], "<u4").tobytes(), 4 * sequence
 
@@ -175,12 +187,15 @@ def tokenize_pieces(
                     batch.column("doc_id").take(pa.array(row, pa.int64())),
                     pa.array(piece, pa.int32()),
                     *(pa.array(c, pa.int64()) for c in (start, length, crc)),
+                    *(batch.column(c).take(pa.array(row, pa.int64())) for c in carried_names),
                 ],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                ["doc_id", "piece", "start", "length", "ids_crc32", *carried_names],
             )
 
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return named.mapInArrow(cut, PIECES.format(id_type))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried.values())
+    carried_names = list(carried)
+    schema = [PIECES.format(id_type), *(f"{c} {named.schema[c].dataType.simpleString()}" for c in carried_names)]
+    return named.mapInArrow(cut, ", ".join(schema))
 
 
 def enumerate_patterns(lengths: np.ndarray, counts: np.ndarray, sequence: int, waste: int, partners: int) -> np.ndarray:
@@ -320,40 +335,46 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[tupl
     return full + best
 
 
-def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to stored ``pieces`` (``length`` at most ``sequence``).
+Slots = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-    ``pieces`` has a column ``_row`` with a number of its own for each row, which
-    spreads repeated rows like any others and is dropped. Pieces of one length are numbered without gaps, by a hash of their key in
-    tasks of bounded size, and the number of a piece finds its pattern, repeat
-    and place. The plan, at most some tens of thousands of rows whatever the
-    corpus, is sent to every task.
+
+def slots_of(histogram: dict[int, int], sequence: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """The plan as rows (length, number, sequence, offset), and its number of sequences.
+
+    The pieces of that length from that number on, up to the next row's, sit at
+    this offset of that sequence and the ones after it.
     """
-    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots: dict[int, list[tuple[int, int, int, int]]] = {}
-    used, first = dict.fromkeys(histogram, 0), 0
+    rows, used, first = [], dict.fromkeys(histogram, 0), 0
     for lengths, n in plan(histogram, sequence):
         offset = 0
         for length in lengths:
-            # the n pieces from here sit at this place of sequences first, first + 1, ...
-            slots.setdefault(length, []).append((used[length], first, offset))
+            rows.append((length, used[length], first, offset))
             used[length] += n
             offset += length
         first += n
-    table = {k: tuple(np.array(c) for c in zip(*sorted(v))) for k, v in slots.items()}
-    numbered = number_within(
-        pieces, "length", ["doc_id", "piece", "ids_crc32", "_row"], "_number", sum(histogram.values())
-    ).drop("_row")
-    shared = pieces.sparkSession.sparkContext.broadcast(table)
+    return rows, first
+
+
+def _by_kind(rows: Iterable[tuple[int, int, int, int]]) -> Slots:
+    """Rows like those of ``slots_of`` by their first value, sorted by number."""
+    slots: dict[int, list[tuple[int, int, int]]] = {}
+    for kind, *slot in rows:
+        slots.setdefault(kind, []).append(tuple(slot))
+    return {k: tuple(np.array(c) for c in zip(*sorted(v))) for k, v in slots.items()}
+
+
+def _put(numbered: DataFrame, kind: str, table: Slots, columns: list[str]) -> DataFrame:
+    """``columns`` with ``sequence_id`` and ``offset`` of pieces that have a ``_number`` among those of their ``kind``."""
+    shared = numbered.sparkSession.sparkContext.broadcast(table)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = batch.column("length").to_numpy()
+            kinds = batch.column(kind).to_numpy()
             numbers = batch.column("_number").to_numpy()
-            ids, offsets = np.zeros(len(lengths), "int64"), np.zeros(len(lengths), "int64")
-            for length in np.unique(lengths):
-                starts, firsts, places = shared.value[int(length)]
-                own = np.flatnonzero(lengths == length)
+            ids, offsets = np.zeros(len(kinds), "int64"), np.zeros(len(kinds), "int64")
+            for k in np.unique(kinds):
+                starts, firsts, places = shared.value[int(k)]
+                own = np.flatnonzero(kinds == k)
                 at = np.searchsorted(starts, numbers[own], side="right") - 1
                 ids[own] = firsts[at] + numbers[own] - starts[at]
                 offsets[own] = places[at]
@@ -362,21 +383,88 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
                 [*columns, "sequence_id", "offset"],
             )
 
-    columns = [c for c in numbered.columns if c != "_number"]
     schema = ", ".join(f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in columns)
-    return numbered.select(*columns, "_number").mapInArrow(
-        place, f"{schema}, sequence_id long, offset long"
-    )
+    return numbered.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+
+
+def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to stored ``pieces`` (``length`` at most ``sequence``).
+
+    ``pieces`` has a column ``_row`` with a number of its own for each row, which
+    spreads repeated rows like any others and is dropped. Pieces of one length are numbered without gaps, by a hash of their key in
+    tasks of bounded size, and the number of a piece finds its pattern, repeat
+    and place. The plan, at most some tens of thousands of rows whatever the
+    corpus, is sent to every task.
+    """
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    table = _by_kind(slots_of(histogram, sequence)[0])
+    numbered = number_within(
+        pieces, "length", ["doc_id", "piece", "ids_crc32", "_row"], "_number", sum(histogram.values())
+    ).drop("_row")
+    return _put(numbered, "length", table, [c for c in numbered.columns if c != "_number"])
+
+
+def pack_in_order(pieces: DataFrame, order: list[str], sequence: int = SEQUENCE, segments: int = SEGMENTS) -> DataFrame:
+    """Like ``pack``, with sequences in the order of the columns ``order``, which are dropped.
+
+    The pieces are numbered in that order and cut into ``segments`` equal parts.
+    Each part has a histogram, a plan and sequences of its own, and those of
+    later parts have larger numbers; inside a part sequences go by pattern. A
+    part is planned by a task, which reads one row per length.
+    """
+    columns = [c for c in pieces.columns if c not in (*order, "_row")]
+    placed = keep(assign_ids(pieces, [*order, "piece", "_row"], -1).select("id", *columns), "pieces-placed")
+    total = placed.count()
+    width = sequence + 1
+    part = F.floor(F.col("id") * F.lit(segments) / F.lit(max(total, 1))).cast("long")
+    parted = placed.withColumn("_kind", part * width + F.col("length"))
+    histogram = parted.groupBy("_kind").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("_kind") / width))
+
+    def plan_part(group: pd.DataFrame) -> pd.DataFrame:
+        rows, sequences = slots_of(dict(zip((group["_kind"] % width).tolist(), group["n"].tolist())), sequence)
+        made = pd.DataFrame(rows, columns=["length", "number", "first", "offset"])
+        return made.assign(part=int(group["part"].iloc[0]), sequences=sequences)
+
+    schema = "length long, number long, first long, offset long, part long, sequences long"
+    slots = histogram.groupBy("part").applyInPandas(plan_part, schema).toPandas()
+    before, first = {}, 0
+    for at, sequences in sorted(slots.groupby("part")["sequences"].first().items()):
+        before[at], first = first, first + sequences
+    kinds, firsts = slots["part"] * width + slots["length"], slots["first"] + slots["part"].map(before)
+    table = _by_kind(zip(*(c.astype(int).tolist() for c in (kinds, slots["number"], firsts, slots["offset"]))))
+    numbered = number_within(parted, "_kind", ["id"], "_number", total)
+    return _put(numbered, "_kind", table, columns)
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE
+    docs: DataFrame,
+    tokenizer_path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sequence: int = SEQUENCE,
+    order: list[Column] | None = None,
 ) -> DataFrame:
     """One row per piece of ``docs`` with its place in a sequence.
 
     Only documents of more than ``sequence`` tokens are cut. A null or empty
     text makes one piece of one token; repeated rows make pieces of their own;
-    a null id is kept. Other columns are ignored. No rows give no pieces.
+    a null id is kept. Other columns are ignored. No rows give no pieces. With
+    ``order``, sequences follow the order of the documents, see ``pack_in_order``.
     """
-    pieces = tokenize_pieces(docs, tokenizer_path, id_col, text_col, sequence)
-    return pack(keep(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces"), sequence)
+    keys = [f"_order_{i}" for i in range(len(order or []))]
+    pieces = tokenize_pieces(docs, tokenizer_path, id_col, text_col, sequence, order=dict(zip(keys, order or [])))
+    stored = keep(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    return pack_in_order(stored, keys, sequence) if order else pack(stored, sequence)
+
+
+def stored_order(docs: DataFrame) -> list[Column] | None:
+    """The order of rows that were sorted and written, from the files they are read from; None if they are not."""
+    try:
+        file = docs.metadataColumn("_metadata")
+        name = file["file_name"]
+        # numbers of files get longer in the end, so shorter names come first
+        order = [F.char_length(name), name, file["row_index"]]
+        docs.select(*order)
+    except AnalysisException:
+        return None
+    return order

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bibliospark.llm import packing
+from bibliospark.sources.durable import keep
 from tests.llm.samples import no_documents, odd_documents, odd_rows
 
 PATH = public_tokenizers.path(packing.TOKENIZER)
@@ -107,3 +108,32 @@ def test_repeated_rows_fill_no_bucket_alone(spark, monkeypatch):
     for own in places.values():
         assert [a for a, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))]
         assert sum(n for _, n in own) <= 64
+
+
+def test_sequences_follow_the_order_of_documents(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(["word"] * rng.randrange(1, 40))) for i in range(3_000)] + [(7, "word")] * 1_500 + [(None, None)] * 3
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, place int").repartition(5)
+    got = packing.pack_documents(docs, PATH, sequence=64, order=[F.col("place")]).collect()
+    plain = packing.pack_documents(docs, PATH, sequence=64).collect()
+    key = lambda r: str((r.doc_id, r.piece, r.start, r.length, r.ids_crc32))
+    assert sorted(map(key, got)) == sorted(map(key, plain)) and got[0].asDict().keys() == plain[0].asDict().keys()
+    ends: dict[int, int] = {}
+    held: dict[int, list] = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+        held.setdefault(r.sequence_id, []).append(r.doc_id)
+    assert max(ends.values()) <= 64 and sorted(ends) == list(range(len(ends)))
+    # a part of the order is packed by itself: at most one sequence more for each
+    assert len(ends) <= len({r.sequence_id for r in plain}) + packing.SEGMENTS
+    first = [min(i for i in own if i not in (7, None)) for own in held.values() if any(i not in (7, None) for i in own)]
+    assert np.corrcoef(range(len(first)), first)[0, 1] > 0.95
+
+
+def test_order_of_stored_rows(spark):
+    docs = keep(spark.range(5_000).withColumn("_metadata", F.lit("own")).orderBy(F.desc("id")), "test-sorted")
+    rows = docs.orderBy(*packing.stored_order(docs)).collect()
+    assert [r.id for r in rows] == list(range(4_999, -1, -1)) and rows[0]._metadata == "own"
+    assert packing.stored_order(spark.createDataFrame([(1, "a")], "doc_id long, text string")) is None
+    assert packing.stored_order(no_documents(spark)) is None or packing.stored_order(keep(no_documents(spark), "test-none"))

@@ -67,6 +67,12 @@ def test_every_copy_is_packed(stored):
     assert {(r.doc_id, r.n) for r in pieces} == {(r.doc_id, r.n) for r in mixed}
 
 
+def test_sequences_follow_training_time(stored):
+    times = {r.doc_id: sum(r.positions) / r.copies for r in mixing.mix(stored[3]).collect() if r.copies == 1}
+    rows = [(r.sequence_id, times[r.doc_id]) for r in stored[5].where("piece = 0").collect() if r.doc_id in times]
+    assert np.corrcoef(*zip(*rows))[0, 1] > 0.9
+
+
 def test_run_gives_the_last_stage(spark, stored):
     got = corpus_pipeline.run(spark, FOLDER)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
