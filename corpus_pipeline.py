@@ -2,7 +2,8 @@
 
 Each stage takes all that the one before it kept: toxic documents go, one
 document of each group of near duplicates stays, secrets are masked, sources
-are mixed to their weights in training order, and the tokens are packed.
+are mixed to their weights in training order, and the tokens are packed in that
+order.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of the documents and their places in sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path(packing.TOKENIZER))
+    """The token pieces of the documents and their places in sequences, which follow the order the mix was written in."""
+    return packing.pack_documents(docs, public_tokenizers.path(packing.TOKENIZER), order=packing.stored_order(docs))
 
 
 STAGES = [
