@@ -426,7 +426,8 @@ def pack_in_order(pieces: DataFrame, order: list[str], sequence: int = SEQUENCE,
         return made.assign(part=int(group["part"].iloc[0]), sequences=sequences)
 
     schema = "length long, number long, first long, offset long, part long, sequences long"
-    slots = histogram.groupBy("part").applyInPandas(plan_part, schema).toPandas()
+    # by a number of ranges, so that these few rows are not put together and parts are planned side by side
+    slots = histogram.repartitionByRange(segments, "part").groupBy("part").applyInPandas(plan_part, schema).toPandas()
     before, first = {}, 0
     for at, sequences in sorted(slots.groupby("part")["sequences"].first().items()):
         before[at], first = first, first + sequences
