@@ -10,9 +10,11 @@ of any query with any vector of the block.
 An approximate search visits the blocks of the cells nearest to a query. The
 exact one first visits the block with the largest bound, whose k-th best match
 becomes the query's threshold, and then every block whose bound reaches it.
-Queries travel to blocks: a block is shuffled once and held by a task while
-the queries stream past it; one that very many queries ask for is held by
-several tasks.
+Queries travel to blocks: neighbouring blocks stand on one shelf, a shelf is
+held by a task while the queries stream past it, and each of them tells the
+blocks on it that it visits. A shelf that many queries ask for is held by
+several tasks. So a vector is shuffled once a shelf or a share of the queries,
+not once a block.
 """
 
 from __future__ import annotations
@@ -37,10 +39,20 @@ FIT_STEPS = 10
 #: Rows of a block; more if the corpus would have more than so many blocks, whose bounds every task holds.
 BLOCK_ROWS = 50_000
 MOST_BLOCKS = 1_000_000
-#: Queries that one task takes past a block.
+#: Queries that one task takes past a shelf.
 ASKS = 1_000_000
+#: Bytes of the vectors on a shelf, more if one block is larger.
+SHELF_BYTES = 64 * 1024 * 1024
+#: Pairs of vectors worth a task of their own, while that makes no more shelves and no more shares of a shelf than this.
+PAIRS = 250_000_000
+MOST_SIDES = 8
+#: Bounds of blocks and angles to cells that one task computes.
+BOUNDS = 50_000_000
 #: Similarities compared at once.
-TILE_CELLS = 4_000_000
+TILE_CELLS = 1_000_000
+TILE_ROWS = 2_048
+#: Pairs compared when probes are chosen.
+SAMPLE_CELLS = 4_000_000
 #: Room for rounding in a bound; angles are exact to about 2e-8.
 ROUNDING = 1e-7
 #: Products of equal vectors may differ in the last bits; rounded, they tie.
@@ -69,39 +81,119 @@ def matrix(vectors: pa.Array) -> np.ndarray:
         return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+class Block(NamedTuple):
+    """Vectors in the order of their ids, and the same in single precision."""
+
+    ids: np.ndarray
+    units: np.ndarray
+    singles: np.ndarray
+
+
+def as_block(ids: np.ndarray, units: np.ndarray, k: int) -> Block:
+    """A block without the copies of a vector that no list of ``k`` can hold.
+
+    Of equal vectors those with the ``k`` + 1 smallest ids stay, as one of them
+    may be the query's own, and of rows that agree in id too, ``k``.
+    """
+    by_id = np.argsort(ids, kind="stable")
+    ids, units = ids[by_id], np.ascontiguousarray(units[by_id])
+    if len(ids) > k + 1 and units.shape[1]:
+        values, often = np.unique(units[:, 0], return_counts=True)
+        some = np.flatnonzero(np.isin(units[:, 0], values[often > k]))
+        if len(some):
+            whole = units[some].view(np.dtype((np.void, units.shape[1] * units.itemsize))).ravel()
+            group = np.unique(whole, return_inverse=True)[1].ravel()
+            line = np.argsort(group, kind="stable")
+            group, own = group[line], ids[some[line]]
+            at = np.arange(len(line))
+            new_group = np.diff(group, prepend=-1) != 0
+            new_id = new_group | (np.diff(own, prepend=own[0]) != 0)
+            nth_id = np.cumsum(new_id)
+            nth_id -= np.maximum.accumulate(np.where(new_group, nth_id, 0))
+            repeat = at - np.maximum.accumulate(np.where(new_id, at, 0))
+            stays = np.ones(len(ids), bool)
+            stays[some[line[(nth_id > k) | (repeat >= k)]]] = False
+            ids, units = ids[stays], units[stays]
+    return Block(ids, units, units.astype(np.float32))
+
+
 def best(
     query_ids: np.ndarray,
     queries: np.ndarray,
-    ids: np.ndarray,
-    corpus: np.ndarray,
+    blocks: list[Block],
     k: int,
     least: float | np.ndarray,
     skip_self: bool,
+    visits: np.ndarray | None = None,
 ) -> Iterator[pd.DataFrame]:
-    """The k best matches of each query in one corpus block, some queries at a time.
+    """The k best matches of each query in the blocks it visits, some queries at a time.
 
-    ``least`` is the smallest similarity, one for all or one a query. Of
+    ``least`` is the smallest similarity, one for all or one a query; ``visits``
+    tells for each query and block whether they meet, all of them without it. Of
     matches that tie at the k-th place those with the smallest ids are given
     out, so that many copies of a vector give no more than k rows.
+
+    Products in single precision, with room for their error, tell the pairs
+    that may be among the best; these are computed in double precision.
     """
-    by_id = np.argsort(ids, kind="stable")
-    ids, corpus = ids[by_id], corpus[by_id]
     least = np.broadcast_to(np.asarray(least, float), len(query_ids))
-    step = max(1, TILE_CELLS // max(1, len(ids)))
+    step = max(1, min(TILE_ROWS, TILE_CELLS // max(1, max((len(b.ids) for b in blocks), default=1))), 512)
+    slack = (queries.shape[1] + 8) * 2.0**-23
     for at in range(0, len(query_ids), step):
-        some = query_ids[at : at + step]
-        found = np.round(queries[at : at + step] @ corpus.T, DIGITS)
-        good = found >= least[at : at + step, None]
-        if skip_self:
-            good &= some[:, None] != ids[None, :]
-        if len(ids) > k:
-            masked = np.where(good, found, -np.inf)
-            kth = np.partition(masked, len(ids) - k, axis=1)[:, len(ids) - k, None]
-            above, level = masked > kth, masked == kth
-            room = k - above.sum(axis=1, keepdims=True)
-            good &= above | (level & (np.cumsum(level, axis=1) <= room))
-        q, c = np.nonzero(good)
-        yield pd.DataFrame({"query_id": some[q], "id": ids[c], "similarity": found[q, c]})
+        some, units = query_ids[at : at + step], queries[at : at + step]
+        singles, floor = units.astype(np.float32), least[at : at + step].copy()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting = 0
+        for number, block in enumerate(blocks):
+            rows = np.arange(len(some)) if visits is None else np.flatnonzero(visits[at : at + step, number])
+            if not len(rows):
+                continue
+            mine = singles if len(rows) == len(some) else singles[rows]
+            width = max(1, TILE_CELLS // len(rows))
+            for begin in range(0, len(block.ids), width):
+                ids, corpus = block.ids[begin : begin + width], block.units[begin : begin + width]
+                rough = mine @ block.singles[begin : begin + width].T
+                enough = (floor[rows] - slack).astype(np.float32)[:, None]
+                flat = np.flatnonzero(rough >= enough)
+                if len(flat) * 16 > rough.size and len(ids) > k:
+                    if skip_self:
+                        rough[some[rows][:, None] == ids[None, :]] = -np.inf
+                    kth = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k, None]
+                    flat = np.flatnonzero(rough >= np.maximum(enough, kth - np.float32(2 * slack)))
+                if not len(flat):
+                    continue
+                r, c = np.divmod(flat, len(ids))
+                if len(flat) * 16 > rough.size:
+                    similarity = (units[rows] @ corpus.T)[r, c]
+                else:
+                    similarity = np.einsum("ij,ij->i", units[rows[r]], corpus[c])
+                similarity = np.round(similarity, DIGITS)
+                good = similarity >= floor[rows[r]]
+                if skip_self:
+                    good &= some[rows[r]] != ids[c]
+                found.append((rows[r[good]], ids[c[good]], similarity[good]))
+                waiting += len(found[-1][0])
+                if waiting > 2 * k * len(some):
+                    found = [_foremost(found, k, floor)]
+                    waiting = 0
+        if found:
+            q, ids, similarity = _foremost(found, k, floor)
+            yield pd.DataFrame({"query_id": some[q], "id": ids, "similarity": similarity})
+
+
+def _foremost(
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, floor: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each query so far; ``floor`` rises to the k-th."""
+    q, ids, similarity = (np.concatenate(part) for part in zip(*found))
+    line = np.lexsort((ids, -similarity, q))
+    q, ids, similarity = q[line], ids[line], similarity[line]
+    at = np.arange(len(q))
+    rank = at - np.maximum.accumulate(np.where(np.diff(q, prepend=-1) != 0, at, 0))
+    last = rank == k - 1
+    floor[q[last]] = similarity[last]
+    stays = rank < k
+    return q[stays], ids[stays], similarity[stays]
 
 
 def draw_sample(corpus: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
@@ -132,7 +224,7 @@ def choose_probes(sample: np.ndarray, centroids: np.ndarray, k: int, recall: flo
 
     In the whole corpus neighbours are nearer than in a sample, so the recall there is no lower as a rule.
     """
-    asked = sample[: max(1, TILE_CELLS // max(1, len(sample)))]
+    asked = sample[: max(1, SAMPLE_CELLS // max(1, len(sample)))]
     if not len(asked):
         return 1
     found = asked @ sample.T
@@ -207,8 +299,8 @@ def load(spark: SparkSession, root: str) -> Layout:
     return Layout(blocks, np.array([r.unit for r in centroids]), _segments(blocks))
 
 
-#: From angles to the centroids and a floor for each query: the blocks it visits.
-Visit = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]
+#: From angles to the centroids and a floor for each query: for each query and block whether they meet.
+Visit = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def _bounds(angles: np.ndarray, segments: pd.DataFrame) -> np.ndarray:
@@ -220,109 +312,160 @@ def _bounds(angles: np.ndarray, segments: pd.DataFrame) -> np.ndarray:
 
 
 def _visit_first(layout_segments: pd.DataFrame) -> Visit:
-    def visit(angles: np.ndarray, floors: np.ndarray) -> list[np.ndarray]:
+    def visit(angles: np.ndarray, floors: np.ndarray) -> np.ndarray:
         bounds = _bounds(angles, layout_segments)
-        top = bounds.argmax(axis=1)
-        return [np.array([t]) if b[t] >= f else np.empty(0, int) for t, b, f in zip(top, bounds, floors)]
+        reach, rows, top = np.zeros(bounds.shape, bool), np.arange(len(bounds)), bounds.argmax(axis=1)
+        reach[rows, top] = bounds[rows, top] >= floors
+        return reach
 
     return visit
 
 
 def _visit_rest(layout_segments: pd.DataFrame) -> Visit:
-    def visit(angles: np.ndarray, floors: np.ndarray) -> list[np.ndarray]:
+    def visit(angles: np.ndarray, floors: np.ndarray) -> np.ndarray:
         bounds = _bounds(angles, layout_segments)
         reach = bounds >= floors[:, None]
         reach[np.arange(len(bounds)), bounds.argmax(axis=1)] = False
-        return [np.flatnonzero(r) for r in reach]
+        return reach
 
     return visit
 
 
 def _visit_near(segments: pd.DataFrame, probes: int) -> Visit:
-    blocks, cells = segments["block"].to_numpy(), segments["cell"].to_numpy()
+    cells = segments["cell"].to_numpy()
+    firsts = np.flatnonzero(np.diff(segments["block"].to_numpy(), prepend=-1))
 
-    def visit(angles: np.ndarray, floors: np.ndarray) -> list[np.ndarray]:
+    def visit(angles: np.ndarray, floors: np.ndarray) -> np.ndarray:
         nearest = np.argsort(angles, axis=1, kind="stable")[:, :probes]
         near = np.zeros(angles.shape, dtype=bool)
         np.put_along_axis(near, nearest, True, axis=1)
-        return [np.unique(blocks[n[cells]]) for n in near]
+        return np.logical_or.reduceat(near[:, cells], firsts, axis=1)
 
     return visit
 
 
+def _per_shelf(layout: Layout) -> int:
+    """How many blocks stand on a shelf."""
+    if not layout.n_blocks:
+        return 1
+    sizes = layout.segments.groupby("block")["n"].sum()
+    rows, largest = int(sizes.sum()), int(sizes.max())
+    sides = min(MOST_SIDES, ceil(rows / sqrt(PAIRS)))
+    held = min(ceil(rows / sides), SHELF_BYTES // (8 * max(1, layout.centroids.shape[1])))
+    return max(1, held // largest)
+
+
 def _planned(queries: DataFrame, layout: Layout, visit: Visit, label: str) -> DataFrame:
-    """``query_id``, ``unit``, ``floor`` and the ``blocks`` each query visits; stored."""
-    nothing = layout.n_blocks == 0
-    centroids, per_tile = layout.centroids, max(1, TILE_CELLS // max(1, len(layout.segments), len(layout.centroids)))
+    """``query_id``, ``unit``, ``floor``, the shelves each query visits with its blocks there as bits, and their numbers; stored."""
+    nothing, per = layout.n_blocks == 0, _per_shelf(layout)
+    centroids, per_tile = layout.centroids, max(1, SAMPLE_CELLS // max(1, len(layout.segments), len(layout.centroids)))
+    sizes = layout.segments.groupby("block")["n"].sum().sort_index().to_numpy(np.int64)
+    firsts = np.arange(0, layout.n_blocks, per)
+
+    def shelves(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """How many shelves each query visits, their numbers, and the blocks on them."""
+        asked = np.logical_or.reduceat(reach, firsts, axis=1)
+        q, shelf = np.nonzero(asked)
+        padded = np.pad(reach, ((0, 0), (0, len(firsts) * per - reach.shape[1]))).reshape(len(reach), len(firsts), per)
+        return asked.sum(axis=1), shelf, [bits.tobytes() for bits in np.packbits(padded[q, shelf], axis=1)]
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = matrix(batch.column("vector"))
             whole = np.isfinite(units).all(axis=1) if units.size else np.zeros(len(units), bool)
-            units, floors = units[whole], batch.column("floor").to_numpy()[whole]
-            visits: list[np.ndarray] = []
-            if nothing:
-                visits = [np.empty(0, int)] * len(units)
-            for at in range(0, 0 if nothing else len(units), per_tile):
-                angles = np.arccos(np.clip(units[at : at + per_tile] @ centroids.T, -1, 1))
-                visits += visit(angles, floors[at : at + per_tile])
-            if not visits:
-                continue
-            ends = np.cumsum([0, *map(len, visits)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(visits), pa.int32()))
-            rows = pa.array(np.arange(len(units) + 1) * units.shape[1], pa.int32())
-            columns = [
-                batch.column("id").filter(pa.array(whole)),
-                pa.ListArray.from_arrays(rows, pa.array(units.ravel())),
-                pa.array(floors),
-                lists,
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "unit", "floor", "blocks"])
-
-    schema = "query_id bigint, unit array<double>, floor double, blocks array<int>"
-    return keep(queries.select("id", "vector", "floor").mapInArrow(plan, schema), label)
+            units, floors, ids = units[whole], batch.column("floor").to_numpy()[whole], batch.column("id").filter(pa.array(whole))
+            for at in range(0, len(units), per_tile):
+                some = units[at : at + per_tile]
+                reach = np.zeros((len(some), 0), bool)
+                counts, shelf, bits = np.zeros(len(some), int), [], []
+                if not nothing:
+                    reach = visit(np.arccos(np.clip(some @ centroids.T, -1, 1)), floors[at : at + per_tile])
+                    counts, shelf, bits = shelves(reach)
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                kinds = [pa.array(shelf, pa.int32()), pa.array(bits, pa.binary())]
+                columns = [
+                    ids[at : at + per_tile],
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * some.shape[1], pa.int32()), pa.array(some.ravel())),
+                    pa.array(floors[at : at + per_tile]),
+                    pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(kinds, ["shelf", "blocks"])),
+                    pa.array(reach.sum(axis=1), pa.int64()),
+                    pa.array(reach @ sizes, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "unit", "floor", "asks", "met", "candidates"])
+
+    schema = (
+        "query_id bigint, unit array<double>, floor double, asks array<struct<shelf:int,blocks:binary>>, "
+        "met bigint, candidates bigint"
+    )
+    dealt = queries.select("id", "vector", "floor")
+    # a small file of queries is one partition, but many bounds
+    parts = ceil(dealt.count() * (len(layout.segments) + len(layout.centroids)) / BOUNDS)
+    return keep((dealt.repartition(parts, "id") if parts > 1 else dealt).mapInArrow(plan, schema), label)
 
 
 def _meet(layout: Layout, planned: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """Take every query past the blocks it visits; at most ``k`` matches of each at its floor or above."""
-    asks = planned.select("query_id", "unit", "floor", F.explode("blocks").alias("block"))
-    shares = asks.groupBy("block").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("shares"))
-    shares = keep(shares, "asked-blocks")
-    # blocks that nobody visits stay where they are
+    """Take every query past the blocks it visits; at most ``k`` matches of each and a shelf at its floor or above."""
+    spark, per = planned.sparkSession, _per_shelf(layout)
+    rows = layout.segments.groupby(layout.segments["block"] // per)["n"].sum()
+    asks = planned.select("query_id", "unit", "floor", F.inline("asks"))
+    # one row a shelf; shelves that nobody visits stay where they are
+    tasks, many = [], 0
+    for shelf, n in asks.groupBy("shelf").agg(F.count("*").alias("n")).orderBy("shelf").collect():
+        shares = max(ceil(n / ASKS), min(MOST_SIDES, ceil(n * int(rows[shelf]) / PAIRS)))
+        tasks.append((shelf, many, shares))
+        many += shares
+    if not tasks:
+        return spark.createDataFrame([], MATCHES)
+    tasks = F.broadcast(spark.createDataFrame(tasks, "shelf int, first int, shares int"))
     held = (
-        layout.blocks.join(shares, "block")
-        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        .select("block", "share", F.lit(False).alias("asks"), F.col("vid").alias("id"), "unit", F.lit(0.0).alias("floor"))
+        layout.blocks.withColumn("shelf", F.expr(f"block div {per}").cast("int"))
+        .join(tasks, "shelf")
+        .withColumn("task", F.explode(F.sequence("first", F.col("first") + F.col("shares") - 1)))
+        .select(
+            "task", (F.col("block") - F.col("shelf") * per).alias("place"), F.col("vid").alias("id"), "unit",
+            F.lit(0.0).alias("floor"), F.lit(None).cast("binary").alias("blocks"),
+        )
     )
-    sent = (
-        asks.join(shares, "block")
-        .withColumn("share", F.pmod(F.xxhash64("query_id"), F.col("shares")).cast("int"))
-        .select("block", "share", F.lit(True).alias("asks"), F.col("query_id").alias("id"), "unit", "floor")
+    sent = asks.join(tasks, "shelf").select(
+        (F.col("first") + F.pmod(F.xxhash64("query_id"), F.col("shares"))).cast("int").alias("task"),
+        F.lit(per).alias("place"), F.col("query_id").alias("id"), "unit", "floor", "blocks",
     )
-    line = ["block", "share", "asks"]
-    streamed = held.unionByName(sent).repartition("block", "share").sortWithinPartitions(*line)
+    # the queries of a task come after the blocks of its shelf
+    streamed = held.unionByName(sent).repartitionById(many, F.col("task")).sortWithinPartitions("task", "place")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, rows = None, [], []
+        at, ids, units, shelf, full = None, [], [], [], []
+
+        def close() -> None:
+            """The vectors of one block are there."""
+            if ids:
+                shelf.append(as_block(np.concatenate(ids), np.concatenate(units), k))
+                ids.clear()
+                units.clear()
+
         for batch in batches:
             if not len(batch):
                 continue
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in line]
-            numbers, floors = batch.column("id").to_numpy(), batch.column("floor").to_numpy()
-            units = batch.column("unit").flatten().to_numpy().reshape(len(batch), -1)
-            change = np.logical_or.reduce([key[1:] != key[:-1] for key in keys])
-            starts = [0, *(np.flatnonzero(change) + 1).tolist()]
+            task, place = (batch.column(c).to_numpy() for c in ("task", "place"))
+            numbers, floors, bits = batch.column("id").to_numpy(), batch.column("floor").to_numpy(), batch.column("blocks")
+            vectors = batch.column("unit").flatten().to_numpy().reshape(len(batch), -1)
+            starts = [0, *(np.flatnonzero((np.diff(task) != 0) | (np.diff(place) != 0)) + 1).tolist()]
             for begin, end in zip(starts, [*starts[1:], len(batch)]):
-                block, share, asking = (key[begin] for key in keys)
-                if at != (block, share):
-                    at, ids, rows = (block, share), [], []
-                if not asking:
+                now = (task[begin], place[begin])
+                if now != at:
+                    close()
+                    if at is None or at[0] != now[0]:
+                        shelf, full = [], []
+                    at = now
+                if now[1] < per:
+                    if not ids:
+                        full.append(now[1])
                     ids.append(numbers[begin:end])
-                    rows.append(units[begin:end])
+                    units.append(vectors[begin:end])
                     continue
-                if len(ids) > 1:
-                    ids, rows = [np.concatenate(ids)], [np.concatenate(rows)]
-                for part in best(numbers[begin:end], units[begin:end], ids[0], rows[0], k, floors[begin:end], skip_self):
+                told = np.frombuffer(b"".join(bits[begin:end].to_pylist()), np.uint8).reshape(end - begin, -1)
+                visits = np.unpackbits(told, axis=1, count=per)[:, full].astype(bool)
+                for part in best(numbers[begin:end], vectors[begin:end], shelf, k, floors[begin:end], skip_self, visits):
                     yield pa.RecordBatch.from_pandas(part, preserve_index=False)
 
     return streamed.mapInArrow(search, MATCHES)
@@ -330,18 +473,10 @@ def _meet(layout: Layout, planned: DataFrame, k: int, skip_self: bool) -> DataFr
 
 def _report(layout: Layout, planned: list[DataFrame]) -> DataFrame:
     """One row: the pairs of a query and a block, those that met, and the vectors these compared."""
-    sizes = layout.segments.groupby("block")["n"].sum()
-    sizes = layout.blocks.sparkSession.createDataFrame(
-        [(int(b), int(n)) for b, n in sizes.items()], "block int, rows bigint"
-    )
-    met = None
-    for part in planned:
-        some = part.select(F.explode("blocks").alias("block"))
-        met = some if met is None else met.unionByName(some)
-    counts = met.groupBy("block").agg(F.count("*").alias("n")).join(sizes, "block")
-    totals = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("met"), F.coalesce(F.sum(F.col("n") * F.col("rows")), F.lit(0)).alias("candidates")
-    )
+    met = planned[0].select("met", "candidates")
+    for part in planned[1:]:
+        met = met.unionByName(part.select("met", "candidates"))
+    totals = met.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("met", "candidates")))
     return planned[0].agg((F.count("*") * layout.n_blocks).alias("pairs")).join(totals).select("pairs", "met", "candidates")
 
 

@@ -9,6 +9,7 @@ the approximate one looks into the cells around it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -36,7 +37,7 @@ class Found(NamedTuple):
 
 
 def _against_broadcast(
-    queries: DataFrame, corpus: DataFrame, k: int, least: float, skip_self: bool
+    queries: DataFrame, corpus: DataFrame, rows: int, k: int, least: float, skip_self: bool
 ) -> DataFrame:
     block = queries.select("id", "vector").toArrow().combine_chunks()
     if not len(block):
@@ -49,11 +50,14 @@ def _against_broadcast(
         query_ids, vectors = shared.value
         for batch in batches:
             if len(batch):
-                ids, rows = batch.column("id").to_numpy(), cells.matrix(batch.column("vector"))
-                for part in cells.best(query_ids, vectors, ids, rows, k, least, skip_self):
+                block = cells.as_block(batch.column("id").to_numpy(), cells.matrix(batch.column("vector")), k)
+                for part in cells.best(query_ids, vectors, [block], k, least, skip_self):
                     yield pa.RecordBatch.from_pandas(part, preserve_index=False)
 
-    return corpus.select("id", "vector").mapInArrow(scan, cells.MATCHES)
+    corpus = corpus.select("id", "vector")
+    tasks = min(cells.MOST_SIDES**2, ceil(len(block) * rows / cells.PAIRS))
+    # a small file of vectors is one partition, but many pairs
+    return (corpus.repartition(tasks, "id") if tasks > 1 else corpus).mapInArrow(scan, cells.MATCHES)
 
 
 def _tidy(vectors: DataFrame) -> DataFrame:
@@ -108,7 +112,7 @@ def similar(
     size, held = _measured(queries), _measured(corpus)
     _one_width(size, held)
     if 8 * (size["cells"] or 0) + ROW_BYTES * size["n"] <= broadcast_bytes:
-        return _ranked(_against_broadcast(queries, corpus, k, min_similarity, skip_self), k)
+        return _ranked(_against_broadcast(queries, corpus, held["n"], k, min_similarity, skip_self), k)
     layout = cells.lay_out(corpus, held["n"], block_rows=block_rows)
     return _ranked(cells.exact(queries, layout, k, min_similarity, skip_self)[0], k)
 

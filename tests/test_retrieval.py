@@ -150,3 +150,51 @@ def test_layouts_of_nothing(spark):
     assert similar(some, flat, broadcast_bytes=0).count() == 0
     assert similar_by_blocks(flat, lay_out(some)).matches.count() == 0
     assert similar_in_cells(flat, lay_out(some)).report.first().candidates == 0
+
+
+def test_a_query_is_sent_once_a_shelf_however_many_blocks_it_visits(spark):
+    vectors = as_frame(spark, np.random.default_rng(3).normal(size=(400, 16)))
+    layout = lay_out(vectors, block_rows=20)
+    planned = cells._planned(vectors.selectExpr("id", "vector", "0D AS floor"), layout, cells._visit_rest(layout.segments), "t")
+    rows = planned.selectExpr("size(asks) AS shelves", "met").collect()
+    assert layout.n_blocks == 20 and max(r.met for r in rows) > 10 and {r.shelves for r in rows} == {1}
+
+
+@pytest.mark.parametrize("pairs,shelf", [(2_000, 1 << 26), (250_000_000, 6_400), (2_000, 6_400)])
+def test_several_shelves_and_shares_equal_brute_force(spark, monkeypatch, pairs, shelf):
+    monkeypatch.setattr(cells, "PAIRS", pairs)
+    monkeypatch.setattr(cells, "SHELF_BYTES", shelf)
+    base = clustered(500)
+    base[100:300] = base[7]
+    vectors = as_frame(spark, base)
+    layout = lay_out(vectors, 12, 30)
+    assert cells._per_shelf(layout) < layout.n_blocks
+    assert ids_of(similar_by_blocks(vectors, layout, 5, 0.6, True).matches.collect()) == brute_force(base, 5, 0.6, True)
+    near = similar_in_cells(vectors, layout, 5, 0.6, True, probes=12)
+    assert ids_of(near.matches.collect()) == brute_force(base, 5, 0.6, True)
+
+
+def test_one_partition_of_many_pairs_becomes_several_tasks(spark, space, monkeypatch):
+    monkeypatch.setattr(cells, "PAIRS", 20_000)
+    base, vectors = space
+    found = similar(vectors, vectors.coalesce(1), 5, 0.6, True)
+    assert ids_of(found.collect()) == brute_force(base, 5, 0.6, True)
+    from bibliospark.operators.retrieval import _against_broadcast, _tidy
+
+    one = _tidy(vectors.coalesce(1))
+    assert _against_broadcast(one, one, 302, 5, 0.6, True).rdd.getNumPartitions() == 5
+
+
+def test_copies_beyond_any_list_leave_a_block():
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(60, 6))
+    base[10:50] = base[3]
+    ids = np.arange(60)
+    ids[20:24] = 15  # rows of one id too
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    block = cells.as_block(ids, unit, 3)
+    # the ids 3, 10, 11 and 12 of the copies stay
+    assert len(block.ids) == 19 + 4 and set(block.ids) == {*range(10), 10, 11, 12, *range(50, 60)}
+    for part in cells.best(ids, unit, [block], 3, 0.0, True):
+        assert part[part.query_id == 10].id.tolist() == [3, 11, 12]
+        assert part[part.query_id == 40].id.tolist() == [3, 10, 11]
