@@ -6,8 +6,9 @@ The output is the expected grade, the sum of ``P(grade > k)``. Features are the
 words of a text and the first letters of its words, hashed, each with the
 logarithm of its count; those that tell grades apart are kept.
 
-The fit uses a bounded sample of labelled rows on the driver; texts are scored
-where they lie.
+The fit uses a bounded sample of labelled rows on the driver, which gets of
+their features only those that tell grades apart; these are chosen from counts
+that tasks make. Texts are scored where they lie.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import math
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibliospark.llm.common import given_back, replace_column, set_aside
+from bibliospark.sources.durable import keep
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Features are hashed into this many slots.
@@ -81,14 +84,18 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def screen(rows: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """The slots whose presence goes with toxicity, or its absence, beyond chance.
+    """The slots whose presence goes with toxicity, or its absence, beyond chance."""
+    with_it = np.bincount(slots, minlength=SLOTS).astype(float)
+    both = np.bincount(slots[toxic[rows]], minlength=SLOTS).astype(float)
+    return telling(with_it, both, len(toxic), int(toxic.sum()))
+
+
+def telling(with_it: np.ndarray, both: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """``screen`` from how many of ``n`` rows, and of the toxic ones, have each slot.
 
     The log-likelihood ratio of the two-by-two table must exceed what the best
     of as many useless features would reach.
     """
-    n, n_toxic = len(toxic), int(toxic.sum())
-    with_it = np.bincount(slots, minlength=SLOTS).astype(float)
-    both = np.bincount(slots[toxic[rows]], minlength=SLOTS).astype(float)
     ratio = np.zeros(SLOTS)
     cells = (
         (both, with_it * n_toxic / n),
@@ -106,12 +113,19 @@ def screen(rows: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> np.ndarray
 
 @dataclass
 class Sample:
-    """Labelled rows: each feature of each row, and whether the row is toxic."""
+    """Labelled rows: each feature of each row, and whether the row is toxic.
+
+    Where the slots that tell toxic rows from others were ``chosen`` before, the others are not there.
+    """
 
     rows: np.ndarray
     slots: np.ndarray
     values: np.ndarray
     toxic: np.ndarray
+    chosen: np.ndarray | None = None
+
+    def screened(self, toxic: np.ndarray) -> np.ndarray:
+        return screen(self.rows, self.slots, toxic) if self.chosen is None else self.chosen
 
     @classmethod
     def of(cls, sizes: np.ndarray, slots: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> Sample:
@@ -126,7 +140,7 @@ def fit(sample: Sample, grades: np.ndarray, steps: int = 300, penalty: float = 0
     it would be for one row of that grade.
     """
     n, top = len(grades), max(int(grades.max(initial=0)), 1)
-    slots = screen(sample.rows, sample.slots, grades > 0)
+    slots = sample.screened(grades > 0)
     column = np.full(SLOTS, -1)
     column[slots] = np.arange(len(slots))
     used = column[sample.slots] >= 0
@@ -168,7 +182,7 @@ def grade(sample: Sample) -> np.ndarray:
     with more marks than the median toxic row are of grade 2.
     """
     toxic = sample.toxic
-    chosen = screen(sample.rows, sample.slots, toxic)
+    chosen = sample.screened(toxic)
     inside = np.bincount(sample.slots[toxic[sample.rows]], minlength=SLOTS)[chosen] / max(1, toxic.sum())
     outside = np.bincount(sample.slots[~toxic[sample.rows]], minlength=SLOTS)[chosen] / max(1, (~toxic).sum())
     marks_it = np.zeros(SLOTS, dtype=bool)
@@ -179,10 +193,43 @@ def grade(sample: Sample) -> np.ndarray:
     return toxic.astype(int) + (toxic & (marks > median))
 
 
+def _chosen_slots(rows: DataFrame) -> np.ndarray:
+    """The slots that ``screen`` chooses from stored rows of ``toxic`` and ``features``, counted by tasks."""
+    is_toxic = F.when(F.col("toxic") > 0, 1).otherwise(0)
+    n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum(is_toxic), F.lit(0))).first()
+    if not n_toxic:
+        return np.zeros(0, int)
+    present = rows.select(is_toxic.alias("both"), F.explode(F.map_keys("features")).alias("slot"))
+    counts = present.groupBy("slot").agg(F.count("*").alias("with_it"), F.sum("both").alias("both")).toArrow()
+    slots = counts["slot"].to_numpy()
+    with_it, both = np.zeros(SLOTS), np.zeros(SLOTS)
+    with_it[slots], both[slots] = counts["with_it"].to_numpy(), counts["both"].to_numpy()
+    return telling(with_it, both, n, n_toxic)
+
+
+def _with_slots(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``rows`` with only the ``chosen`` slots among their ``features``."""
+    others = [c for c in rows.columns if c != "features"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(SLOTS, bool)
+        wanted[chosen] = True
+        for batch in batches:
+            features = batch.column("features")
+            stays = wanted[features.keys.to_numpy()]
+            ends = np.concatenate([[0], np.cumsum(stays)])[features.offsets.to_numpy()]
+            kept = pa.array(np.flatnonzero(stays)[ends[0] : ends[-1]])
+            offsets = pa.array(ends - ends[0], pa.int32())
+            made = pa.MapArray.from_arrays(offsets, features.keys.take(kept), features.items.take(kept))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), made], [*others, "features"])
+
+    return rows.select(*others, "features").mapInArrow(run, rows.select(*others, "features").schema)
+
+
 def sample_labelled(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_LABELLED
 ) -> Sample:
-    """Features and labels of at most ``max_rows`` labelled rows, by a hash of the id.
+    """Labels and telling features of at most ``max_rows`` labelled rows, by a hash of the id.
 
     Rows with a null id, text or label are no labelled rows, and rows that agree
     in id, text and label are one. The ids are drawn before the texts are joined,
@@ -212,12 +259,15 @@ def sample_labelled(
     # repeated rows meet as features, combined by the tasks that made them
     once = found.groupBy("_order.a", "_order.b", "toxic").agg(F.any_value("features").alias("features"))
     bounded = once.orderBy(F.xxhash64("a", "b"), "a", "b", "toxic").limit(max_rows)
+    stored = keep(bounded.select("a", "b", "toxic", "features"), "labelled-features")
+    chosen = _chosen_slots(stored)
     # in one order, so that sums agree to the last bit when the fit is run again
-    rows = bounded.select("a", "b", "toxic", "features").toArrow().combine_chunks()
+    rows = _with_slots(stored, chosen).toArrow().combine_chunks()
     rows = rows.sort_by([("a", "ascending"), ("b", "ascending"), ("toxic", "ascending")]).combine_chunks()
     features = rows["features"].combine_chunks() if len(rows) else pa.array([], pa.map_(pa.int32(), pa.int32()))
     sizes = np.diff(features.offsets.to_numpy()) if len(rows) else np.zeros(0, int)
-    return Sample.of(sizes, features.keys.to_numpy(), features.items.to_numpy(), rows["toxic"].to_numpy() > 0)
+    sample = Sample.of(sizes, features.keys.to_numpy(), features.items.to_numpy(), rows["toxic"].to_numpy() > 0)
+    return replace(sample, chosen=chosen)
 
 
 def train(docs: DataFrame, labels: DataFrame, **sample) -> Severity:

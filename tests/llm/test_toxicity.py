@@ -119,3 +119,23 @@ def test_the_bound_holds_where_one_id_has_many_rows(spark):
     assert len(toxicity.sample_labelled(docs, labels, max_rows=150).toxic) <= 150
     few = toxicity.sample_labelled(docs.where("doc_id = 3"), labels, max_rows=200)
     assert len(few.toxic) == 200
+
+
+def test_the_driver_gets_only_the_features_that_tell_and_fits_the_same(spark):
+    rows = made(400, 6)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sample = toxicity.sample_labelled(docs, labels)
+    encoder = toxicity.Features()
+    features = [encoder.of(t) for _, t, _ in rows]
+    slots = np.array([s for f in features for s in f])
+    toxic = np.array([y for *_, y in rows]) > 0
+    at = np.repeat(np.arange(len(rows)), [len(f) for f in features])
+    chosen = toxicity.screen(at, slots, toxic)
+    assert 0 < len(chosen) < len(set(slots.tolist())) and sample.chosen.tolist() == chosen.tolist()
+    assert len(sample.toxic) == 400 and sample.toxic.sum() == toxic.sum()
+    assert len(sample.slots) == np.isin(slots, chosen).sum() and set(sample.slots.tolist()) <= set(chosen.tolist())
+    whole = toxicity.Sample.of(np.array([len(f) for f in features]), slots, np.array([c for f in features for c in f.values()]), toxic)
+    one, other = toxicity.fit(sample, toxicity.grade(sample)), toxicity.fit(whole, toxicity.grade(whole))
+    assert one.slots.tolist() == other.slots.tolist()
+    assert np.allclose(one.weights, other.weights) and np.allclose(one.thresholds, other.thresholds)
