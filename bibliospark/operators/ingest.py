@@ -201,7 +201,8 @@ def _link_authors(
     paper_ids = ids.select(order, F.col("id").alias("paper_id"))
     # a mention is told by its own number: the same author may stand twice at one position
     numbered = author_lists.drop("id").withColumn("_mention", F.monotonically_increasing_id())
-    listed = keep(numbered, "author-lists").join(paper_ids, order)
+    # read several times below: the join is made and the names are normalised once
+    listed = keep(with_name_key(keep(numbered, "author-lists").join(paper_ids, order)), "listed-authors")
     lacking = F.when(F.col("name").isNull(), "name").when(F.col("position").isNull(), "position")
     resolved = resolve_authors(
         listed.where(lacking.isNull()), authors, above, now, (order, "position", "_mention")

@@ -4,8 +4,9 @@ A join of two stored tables needs no help: both sides are shuffled for the
 join, and adaptive execution splits the partitions a heavy key makes large.
 It cannot do so where a side arrives already grouped by the join key, so such
 a side is stored first. For a window, keys with more rows than one task should
-sort are counted exactly, with partial counts before the shuffle, and only
-their rows are sorted over range partitions.
+sort are counted exactly, and only their rows are sorted over range partitions.
+Keys are counted in groups first, so that only those in large groups are
+shuffled for it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from bibliospark.sources.durable import keep
 # n / HEAVY_ROWS keys are heavy, which bounds what is broadcast about them.
 HEAVY_ROWS = 1_000_000
 
+# Groups of keys, by a hash, that are counted to find where heavy keys may be.
+KEY_GROUPS = 1 << 16
+
 _LOCAL_ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
@@ -49,6 +53,16 @@ def laid_out(df: DataFrame, order: list[str | Column], label: str) -> DataFrame:
     return keep(placed, label).withColumn("_part", F.shiftright("_slot", _LOCAL_ROW_BITS))
 
 
+def _heavy_keys(keys: DataFrame, least: int) -> DataFrame | None:
+    """The values of ``_key`` in at least ``least`` rows; None if no group of keys has so many."""
+    grouped = keys.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(KEY_GROUPS)))
+    large = keep(grouped.groupBy("_group").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_group"), "heavy-groups")
+    if large.isEmpty():
+        return None
+    counts = grouped.join(F.broadcast(large), "_group", "left_semi").groupBy("_key").agg(F.count("*").alias("_n"))
+    return keep(counts.where(F.col("_n") >= least).select("_key"), "heavy-keys")
+
+
 def rank_within(
     df: DataFrame,
     key: str,
@@ -66,10 +80,9 @@ def rank_within(
     a narrow table that ``df`` was joined from.
     """
     least = HEAVY_ROWS if min_rows is None else min_rows
-    counts = (df if counted is None else counted).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
-    heavy = keep(counts.where(F.col("_n") >= least).select("_key"), "heavy-keys")
+    heavy = _heavy_keys((df if counted is None else counted).select(F.col(key).alias("_key")), least)
     in_key = Window.partitionBy(key).orderBy(*order)
-    if heavy.isEmpty():
+    if heavy is None or heavy.isEmpty():
         return df.withColumn(name, F.row_number().over(in_key).cast("bigint"))
     same_key = F.col(key).eqNullSafe(F.col("_key"))
     light = df.join(F.broadcast(heavy), same_key, "left_anti")

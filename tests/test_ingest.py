@@ -227,3 +227,18 @@ def test_author_lists_with_missing_and_repeated_places(spark):
         ("duplicate", "paper_id,author_id"),
         ("not_null", "position"),
     ]
+
+
+def test_lists_of_accepted_papers_are_joined_and_their_names_normalised_once(spark, monkeypatch):
+    batch = spark.createDataFrame([(1, "one", "a"), (2, "two", "a")], "seq bigint, title string, arxiv_id string")
+    lists = spark.createDataFrame(
+        [(1, 1, " Ann "), (1, 2, "Bo"), (2, 1, "Cy"), (1, 3, "ann")], "seq bigint, position int, name string"
+    )
+    kept, keep = {}, ingest.keep
+    monkeypatch.setattr(ingest, "keep", lambda df, label: kept.setdefault(label, keep(df, label)))
+    out = ingest.insert_papers(
+        batch, make(spark, "papers"), make(spark, "authors"), make(spark, "venues"), 0, 0, lists, NOW
+    )
+    assert sorted(map(tuple, out.paper_authors.collect())) == [(1, 1, 1), (1, 2, 2)]
+    listed = kept["listed-authors"].orderBy("position").collect()
+    assert [(r.paper_id, r.name_normalized) for r in listed] == [(1, "ann"), (1, "bo"), (1, "ann")]

@@ -94,3 +94,17 @@ def test_adaptive_execution_splits_a_heavy_paper(spark, tmp_path):
         for name in settings:
             spark.conf.unset(name)
     assert "skew=true" in plan
+
+
+@pytest.mark.parametrize("groups", [1, 1 << 16])
+def test_keys_are_counted_one_by_one_only_in_large_groups(spark, fact, monkeypatch, groups):
+    monkeypatch.setattr(spread, "KEY_GROUPS", groups)
+    kept, keep = [], spread.keep
+    monkeypatch.setattr(spread, "keep", lambda df, label: kept.append((label, df.columns)) or keep(df, label))
+    order = [F.col("id").asc()]
+    plain = fact.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    for least, heavy in [(500, True), (100_000, False)]:
+        kept.clear()
+        ranked = spread.rank_within(fact, "k", order, "rank", least)
+        assert sorted(map(str, ranked.collect())) == sorted(map(str, plain.collect()))
+        assert kept[0] == ("heavy-groups", ["_group"]) and (("heavy-keys", ["_key"]) in kept) == heavy
